@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import quality_rules, secrets, simhash
 
 QUERIES = {
     "op4_simhash_near_dedup": simhash.query,
+    "op5_quality_rules": quality_rules.query,
+    "op8_secret_scans": secrets.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_secret_scans": secrets.SQL}
