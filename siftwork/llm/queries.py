@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secrets, simhash
+from . import ann, mixing, quality_rules, secrets, simhash, warc
 
 QUERIES = {
+    "op3_warc": warc.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_quality_rules": quality_rules.query,
     "op8_secret_scans": secrets.query,
+    "op9_nearest_neighbours": ann.query,
+    "op10_mixing": mixing.query,
 }
 
-ORACLES: dict[str, str] = {"op8_secret_scans": secrets.SQL}
+ORACLES: dict[str, str] = {"op8_secret_scans": secrets.SQL, "op10_mixing": mixing.SQL}
