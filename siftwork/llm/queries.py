@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, quality_rules, secrets, simhash, warc
+from . import ann, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_shards, warc
 
 QUERIES = {
+    "op2_token_shards": token_shards.query,
     "op3_warc": warc.query,
     "op4_simhash_near_dedup": simhash.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_sentencepiece": pieces.query,
+    "op7_quality_classifier": quality_model.query,
     "op8_secret_scans": secrets.query,
     "op9_nearest_neighbours": ann.query,
     "op10_mixing": mixing.query,
