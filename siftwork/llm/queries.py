@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_shards, warc
+from . import ann, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_shards, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
     "op2_token_shards": token_shards.query,
     "op3_warc": warc.query,
     "op4_simhash_near_dedup": simhash.query,
