@@ -24,8 +24,8 @@ from .scan import mix
 
 #: Token ids in a sequence, sequences in a shard, the id after each document, and rounds of the network.
 LENGTH, SHARD, END, ROUNDS, KEY = 2048, 4096, 50256, 6, 20240229
-#: Token ids in a row of the first table.
-BLOCK = 1 << 17
+#: Token ids in a row of the first table, and documents whose counts of ids set how rows are packed.
+BLOCK, PACK_DOCS = 1 << 17, 100
 
 
 def _keys(key: int) -> np.ndarray:
@@ -70,21 +70,44 @@ def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, public_tokenizers.PATTERN
 
 
+def _tiktoken(vocabulary: tuple[dict[bytes, int], str]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=vocabulary[1], mergeable_ranks=vocabulary[0], special_tokens={}).encode_ordinary
+
+
+def _packing(docs: DataFrame, ranks) -> np.ndarray:
+    """All 16-bit ids, the most frequent of some documents first: as places in this order they pack better.
+
+    Which documents are counted changes the size of the tables between the steps, and nothing else.
+    """
+    encode, counts = _tiktoken(ranks), np.zeros(1 << 16, np.int64)
+    for row in docs.select("text").limit(PACK_DOCS).toLocalIterator():
+        counts += np.bincount(encode(row["text"] or ""), minlength=1 << 16)
+    return np.argsort(-counts, kind="stable").astype("<u2")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """High and low bytes apart, which pack better."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def _joined(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+
+
 def _tokenizer(shared, end: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        ranks, pattern = shared.value
-        encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        ranks, order = shared.value
+        encode, places = _tiktoken(ranks), np.argsort(order).astype("<u2")
         pack = zstandard.ZstdCompressor(level=3)
         names = ["file", "row", "place", "size", "ids"]
         # a stretch is a run of consecutive rows of a file that this task reads
         file, first, following, place, ids, size = None, 0, None, 0, [], 0
 
         def flush():
-            flat = np.concatenate(ids).astype("<u2")
-            planes = flat.view(np.uint8).reshape(-1, 2).T.tobytes()  # high and low bytes apart pack better
-            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first], pa.int64()), pa.array([place], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([pack.compress(planes)], pa.binary())], names=names)
+            flat = places[np.concatenate(ids)]
+            return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first], pa.int64()), pa.array([place], pa.int64()), pa.array([len(flat)], pa.int64()), pa.array([pack.compress(_planes(flat))], pa.binary())], names=names)
 
         for batch in batches:
             for name, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -108,24 +131,24 @@ def _cutter(places: dict, total: int, length: int, key: int, shard: int):
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
+        unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for file, row, place, size, ids in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-                raw = np.frombuffer(unpack.decompress(ids), np.uint8).reshape(2, -1).T.tobytes()
+                flat = _joined(unpack.decompress(ids))
                 start = places[file, row] + place
                 sequence = np.arange(start // length, (start + size - 1) // length + 1)
                 low, high = np.maximum(sequence * length, start), np.minimum((sequence + 1) * length, start + size)
                 slot = permute(sequence, n, key)
-                parts = [pack.compress(raw[2 * (a - start) : 2 * (b - start)]) for a, b in zip(low, high, strict=True)]
+                parts = [pack.compress(_planes(flat[a - start : b - start])) for a, b in zip(low, high, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(slot // shard), pa.array(slot), pa.array((low - sequence * length).astype(np.int32)), pa.array(parts, pa.binary())], names=["shard", "slot", "at", "ids"])
 
     return run
 
 
-def _shard_writer(folder: str, length: int, shard: int, end: int):
+def _shard_writer(shared, folder: str, length: int, shard: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = arrow_fs.FileSystem.from_uri(folder)
-        unpack = zstandard.ZstdDecompressor()
+        unpack, order = zstandard.ZstdDecompressor(), shared.value[1]
         out, name, now, slots, held = None, "", None, 0, []
 
         def close():
@@ -135,8 +158,7 @@ def _shard_writer(folder: str, length: int, shard: int, end: int):
         def put():
             record = np.full(length, end, "<u2")
             for at, ids in held:
-                flat = np.frombuffer(ids, "<u2")
-                record[at : at + len(flat)] = flat
+                record[at : at + len(ids)] = ids
             out.write(record.tobytes())
 
         slot = None
@@ -151,7 +173,7 @@ def _shard_writer(folder: str, length: int, shard: int, end: int):
                     now, name, slots = s, f"shard-{s:08d}-{uuid.uuid4().hex}.bin", 0
                     out = files.open_output_stream(f"{root}/{name}", compression=None)
                 slot = where
-                held.append((at, unpack.decompress(ids)))
+                held.append((at, order[_joined(unpack.decompress(ids))]))
         if held:
             put()
             slots += 1
@@ -166,7 +188,7 @@ def _located(docs: DataFrame) -> DataFrame:
     try:
         return docs.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), "text")
     except AnalysisException:
-        return docs.select(F.spark_partition_id().cast("string").alias("file"), F.monotonically_increasing_id().alias("row"), "text")
+        return docs.select(F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias("file"), F.monotonically_increasing_id().alias("row"), "text")
 
 
 def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH, shard: int = SHARD, key: int = KEY, end: int = END, ranks=None) -> tuple[DataFrame, str, int]:
@@ -184,7 +206,8 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     spark = docs.sparkSession
     bounded_batches(spark, 4)
     folder = folder or new_path(spark, "shards")
-    shared = spark.sparkContext.broadcast(ranks or vocabulary())
+    ranks = ranks or vocabulary()
+    shared = spark.sparkContext.broadcast((ranks, _packing(docs, ranks)))
     blocks = written(_located(docs).mapInArrow(_tokenizer(shared, end, BLOCK), "file string, row bigint, place bigint, size bigint, ids binary"), "blocks")
     stretches = blocks.groupBy("file", "row").agg(F.sum("size").alias("size")).collect()
     places, total = {}, 0
@@ -196,27 +219,29 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     cut = blocks.mapInArrow(_cutter(places, total, length, key, shard), "shard bigint, slot bigint, at int, ids binary")
     n_shards = max(1, -(-total // (length * shard)))
     ranged = cut.repartition(min(n_shards, 20_000), "shard").sortWithinPartitions("slot", "at")
-    manifest = written(ranged.mapInArrow(_shard_writer(folder, length, shard, end), "shard bigint, file string, slots bigint"), "manifest")
+    manifest = written(ranged.mapInArrow(_shard_writer(shared, folder, length, shard, end), "shard bigint, file string, slots bigint"), "manifest")
     return manifest, folder, total
 
 
 def read(manifest: DataFrame, folder: str, start: int = 0, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Rows (slot, ids) from a slot on: a resumed reader goes straight to the first record it needs."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = arrow_fs.FileSystem.from_uri(folder)
-        for pdf in batches:
-            for s, name, slots in zip(pdf["shard"], pdf["file"], pdf["slots"], strict=True):
+        for batch in batches:
+            for s, name, slots in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 first = max(start, s * shard)
                 with files.open_input_file(f"{root}/{name}") as f:
                     f.seek((first - s * shard) * 2 * length)
                     for at in range(first, s * shard + slots, 256):
                         n = min(256, s * shard + slots - at)
-                        ids = np.frombuffer(f.read(n * 2 * length), "<u2").astype(np.int32).reshape(n, length)
-                        yield pd.DataFrame({"slot": np.arange(at, at + n), "ids": list(ids)})
+                        ids = np.frombuffer(f.read(n * 2 * length), "<u2").astype(np.int32)
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * length, length, dtype=np.int32)), pa.array(ids))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n)), lists], names=["slot", "ids"])
 
-    wanted = manifest.where((F.col("shard") + 1) * shard > start)
-    return wanted.repartition("shard").mapInPandas(run, "slot long, ids array<int>")
+    wanted = manifest.select("shard", "file", "slots").where((F.col("shard") + 1) * shard > start)
+    # one task a shard: the rows are few, the files behind them large
+    return wanted.repartition(max(1, min(wanted.count(), 20_000)), "shard").mapInArrow(run, "slot bigint, ids array<int>")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
