@@ -129,13 +129,13 @@ def _spans(df: DataFrame, rule: Rule, order: int, indexed: bool) -> DataFrame:
     """df with a column named as the rule's kind: an array of (start, kind's place, end, kind)."""
     k, pattern = rule.kind, F.lit(rule.pattern)
     none = F.array().cast("array<string>")
-    may = F.array_contains("rules", k) if indexed else F.lit(True)
-    df = df.withColumn(f"{k}_m", F.when(may, F.regexp_extract_all("body", pattern, F.lit(0))).otherwise(none))
+    may = F.array_contains("_rules", k) if indexed else F.lit(True)
+    df = df.withColumn(f"{k}_m", F.when(may, F.regexp_extract_all("_body", pattern, F.lit(0))).otherwise(none))
     some = F.size(f"{k}_m") > 0
     kept = F.length if not rule.group else None
-    df = df.withColumn(f"{k}_p", F.when(some, F.split("body", rule.pattern, -1)).otherwise(none))
+    df = df.withColumn(f"{k}_p", F.when(some, F.split("_body", rule.pattern, -1)).otherwise(none))
     if rule.group:
-        df = df.withColumn(f"{k}_g", F.when(some, F.regexp_extract_all("body", pattern, F.lit(rule.group))).otherwise(none))
+        df = df.withColumn(f"{k}_g", F.when(some, F.regexp_extract_all("_body", pattern, F.lit(rule.group))).otherwise(none))
     df = df.withColumn(f"{k}_s", F.transform(f"{k}_m", lambda m, i: F.length(m) + F.length(F.get(f"{k}_p", i))))
     helpers, total = _running(f"{k}_s")
     for name, value in helpers.items():
@@ -165,11 +165,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     found = candidates(docs, rules)
     columns = docs.columns
     if found is None:
-        df = docs.withColumn("rules", F.array().cast("array<string>"))
+        df = docs.withColumn("_rules", F.array().cast("array<string>"))
     else:
-        found = found.select(F.col("doc_id").alias("candidate"), "rules")
-        df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("candidate")), "left").withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
-    df = df.withColumn("body", F.coalesce("text", F.lit("")))
+        found = found.select(F.col("doc_id").alias("_candidate"), F.col("rules").alias("_rules"))
+        df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left").withColumn("_rules", F.coalesce("_rules", F.array().cast("array<string>")))
+    df = df.withColumn("_body", F.coalesce("text", F.lit("")))
     for place, rule in enumerate(rules):
         df = _spans(df, rule, place, trigram_query(rule.pattern) is not None)
     return df.select(*columns, *[r.kind for r in rules])
