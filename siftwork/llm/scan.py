@@ -14,6 +14,8 @@ _LEAD = (np.arange(256) & 0xC0) != 0x80
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes scanned at once: arrays of 8 bytes for each still fit a core's cache.
+CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,7 +32,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(21, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -51,7 +53,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[off[0] : off[-1]], off - off[0]
 
 
-def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(off: np.ndarray, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about limit bytes; a longer document is a range of its own."""
     at, n = 0, len(off) - 1
     while at < n:
@@ -60,7 +62,7 @@ def chunks(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         at = min(to, n)
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first document, last document + 1, bytes, offsets) for each range of documents."""
     b, off = buffers(column)
     for i, j in chunks(off, limit):
@@ -99,6 +101,25 @@ def hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
 
 
+class Counts:
+    """Counts of small numbers that come in many short arrays."""
+
+    def __init__(self, size: int):
+        self.total, self.held, self.n = np.zeros(size, np.int64), [], 0
+
+    def add(self, values: np.ndarray) -> None:
+        self.held.append(values)
+        self.n += len(values)
+        if self.n > 1 << 21:
+            self.result()
+
+    def result(self) -> np.ndarray:
+        if self.held:
+            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total))
+            self.held, self.n = [], 0
+        return self.total
+
+
 def windows(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of every n consecutive values of h."""
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
