@@ -1 +1,6 @@
+"""The queries of the engine, and the SQL they are held against."""
 
+from . import scalars  # noqa: F401  (registers its queries)
+from .registry import ORACLES, QUERIES
+
+flagship = next(iter(QUERIES.values()))
