@@ -13,8 +13,8 @@ from .samples import PATHS, QUESTIONS, listed, pick, quoted, sql_any, sql_pick
 _W = r"[\p{L}\p{N}_]+"
 #: Byte histograms by document: n bytes, entropies h1 and h2.
 BYTES = """
-b AS (SELECT doc_id, hex(encode(text)) AS x FROM documents),
-c AS (SELECT doc_id, substr(x, 2 * i + 1, 2) AS byte, count(*) AS n FROM b, unnest(range(0, length(x) // 2)) AS r(i) GROUP BY ALL),
+b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents),
+c AS (SELECT doc_id, byte, count(*) AS n FROM b GROUP BY ALL),
 t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id),
 h AS (SELECT doc_id, -sum((n / total) * log2(n / total)) AS h1, -log2(sum((n / total) * (n / total))) AS h2 FROM c JOIN t USING (doc_id) GROUP BY doc_id),
 e AS (SELECT doc_id, text, coalesce(h1, 0.0) AS h1, coalesce(h2, 0.0) AS h2 FROM documents LEFT JOIN h USING (doc_id))"""
