@@ -10,6 +10,7 @@ from typing import NamedTuple
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _SENTINEL = -1e8
 _UNKNOWN_PENALTY = 10.0
 #: Words of which a task remembers the ids, at most.
-CACHE = 500_000
+CACHE = 600_000
 _NEVER = float("-inf")
 
 
@@ -118,10 +119,8 @@ class Encoder(dict):
         return out[::-1]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         packed = array("i", self.viterbi(word)).tobytes()
-        if len(word) < 64:
+        if len(word) < 64 and len(self) < CACHE:
             self[word] = packed
         return packed
 
@@ -131,15 +130,38 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, self.split((self.prefix + text).replace(" ", _SPACE))))
 
 
-def decoder(pieces: Pieces):
-    """A function from ids to text: pieces joined, bytes put together, spaces restored, the dummy one removed."""
-    shown = [t.replace(_SPACE, " ").encode() if k in (_NORMAL, _USER) else bytes([int(t[3:5], 16)]) if k == _BYTE else b" \xe2\x81\x87 " if k == _UNKNOWN else b"" for t, k in zip(pieces.texts, pieces.types, strict=True)]
+class Decoder:
+    """From ids to texts: pieces joined, bytes put together, spaces restored, the dummy one removed."""
 
-    def decode(ids: list[int]) -> str:
-        text = b"".join([shown[n] for n in ids]).decode(errors="replace")
-        return text[1:] if pieces.dummy_prefix and text.startswith(" ") else text
-
-    return decode
+    def __init__(self, pieces: Pieces):
+        self.prefix = pieces.dummy_prefix
+        self.shown = [t.replace(_SPACE, " ").encode() if k in (_NORMAL, _USER) else bytes([int(t[3:5], 16)]) if k == _BYTE else b" \xe2\x81\x87 " if k == _UNKNOWN else b"" for t, k in zip(pieces.texts, pieces.types, strict=True)]
+        self.flat = np.frombuffer(b"".join(self.shown), np.uint8)
+        self.size = np.array([len(x) for x in self.shown])
+        self.start = np.cumsum(self.size) - self.size
+
+    def one(self, ids: list[int]) -> str:
+        text = b"".join([self.shown[n] for n in ids]).decode(errors="replace")
+        return text[1:] if self.prefix and text.startswith(" ") else text
+
+    def many(self, ids: pa.ListArray) -> pa.Array:
+        """All texts of a batch at once, from the bytes of the pieces. Null ids give null."""
+        flat, off = np.asarray(ids.flatten()), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))])
+        size = self.size[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        data = self.flat[np.repeat(self.start[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        cut = ends[off]
+        if self.prefix and len(data):
+            first = np.flatnonzero((np.diff(cut) > 0) & (data[np.minimum(cut[:-1], len(data) - 1)] == 32))
+            keep = np.ones(len(data), bool)
+            keep[cut[first]] = False
+            data, cut = data[keep], cut - np.searchsorted(cut[first], cut, "left")
+        texts = pa.Array.from_buffers(pa.string(), len(ids), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8: such ids come from no text
+            texts = pa.array([self.one(x or []) for x in ids.to_pylist()], pa.string())
+        return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string())) if ids.null_count else texts
 
 
 def _encode_batches(shared):
@@ -156,11 +178,10 @@ def _encode_batches(shared):
 
 def _decode_batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(shared.value)
+        decoder = Decoder(shared.value)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("ids"))
-            texts = [None if x is None else decode(x) for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoder.many(ids)], names=[*batch.schema.names, "decoded"])
 
     return run
 

@@ -198,13 +198,21 @@ def test_pieces_equal_the_unigram_encoder():
     for p, s in zip(proto.pieces, vocabulary.scores, strict=True):
         p.score = s
     reference = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-    encoder, decode = pieces.Encoder(vocabulary), pieces.decoder(vocabulary)
+    encoder, decode = pieces.Encoder(vocabulary), pieces.Decoder(vocabulary).one
     for text in ["", " ", "a", "  two  spaces ", "naïve café ☃🎉\tx\n\ny", "Hello, world!", prose(5, 40), "x" * 300, "日本語のテキスト"]:
         ids = np.frombuffer(encoder.encode(text), np.int32).tolist()
         assert ids == (reference.encode(text) if text else [])
         assert decode(ids) == text
 
 
+def test_decode_of_odd_ids():
+    import pyarrow as pa
+
+    vocabulary = pieces.load()
+    ids = [[], [vocabulary.texts.index("<0xFF>"), vocabulary.texts.index("▁t")], None, [vocabulary.texts.index("▁t")], [1, 2]]
+    assert pieces.Decoder(vocabulary).many(pa.array(ids, pa.list_(pa.int32()))).to_pylist() == ["", "\ufffd t", None, "t", ""]
+
+
 def test_pieces_round_trip(spark):
     found = pieces.decode(pieces.encode(frame(spark, clashes=True))).collect()
     assert len(found) == len(documents())
