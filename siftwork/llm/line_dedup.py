@@ -13,30 +13,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
-from .scan import hashes, lines, mix, pieces, words
+from .scan import Counts, hashes, lines, mix, pieces, words
 
 #: The similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5
 #: log2 of the table of word counts that orders words by rarity, and of the bit table that picks lines to verify.
 COUNT_BITS, PICK_BITS = 20, 23
-#: Postings for a task, and candidates of a line for one word that are verified at first.
-TASK, FIRST = 400_000, 4
+#: Postings for a task; candidates of a line for one word that are verified at first, and of very close ones.
+TASK, FIRST, SURE = 400_000, 64, 8
+#: Lines that are still open then, and words of them, that one more scan of all lines is held against.
+OPEN_LINES, OPEN_WORDS = 20_000, 2_000_000
 _ID_BITS, _RANK_BITS = 44, 6
 _TOKEN = np.uint64((1 << (_ID_BITS + _RANK_BITS)) - 1)
 _GROUP = 1 << 13
 _COLUMNS = (("token", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("line", "<u4"), ("size", "<u4"), ("place", "<u4"), ("sum", "<u4"), ("parity", "<u8"))
-_FOUND = "kind int, doc bigint, version bigint, line int, y_doc bigint, y_version bigint, y_line int, pick int, y_pick int"
+_FOUND = "kind int, near int, doc bigint, version bigint, line int, y_doc bigint, y_version bigint, y_line int, pick int, y_pick int, doc_pick int, y_doc_pick int"
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    of_words = Counts(1 << COUNT_BITS)
     for batch in batches:
         for _, _, b, off in pieces(batch.column(0)):
-            counts += np.bincount((hashes(b, *words(b, off)) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
+            of_words.add((hashes(b, *words(b, off)) >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
+    counts = of_words.result()
     some = np.flatnonzero(counts)
     for k in range(0, len(some), 1 << 16):
         s = some[k : k + (1 << 16)]
@@ -111,7 +114,7 @@ def _post(shared, parts: int):
 
         def flush():
             columns = {name: np.concatenate([h[name] for h in held]) for name, _ in _COLUMNS}
-            part = (mix(columns["token"]) >> np.uint64(33)).astype(np.int64) % parts
+            part = ((mix(columns["token"]) >> np.uint64(33)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
             some = np.flatnonzero(np.diff(cuts))
@@ -128,23 +131,27 @@ def _post(shared, parts: int):
                     total = np.add.reduceat(mixed, at[:-1])
                     parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at[:-1])
                     d, v = ids[i + doc], versions[i + doc]
-                    order = np.lexsort((line, v, d, parity, size, total))
-                    same = (total[order[1:]] == total[order[:-1]]) & (size[order[1:]] == size[order[:-1]]) & (parity[order[1:]] == parity[order[:-1]])
-                    lead = order[np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))]
-                    head = np.empty_like(order)
-                    head[order] = lead
-                    first = head == np.arange(len(order))
+                    same = mix(total ^ mix(parity + mix(size.astype(np.uint64))))
+                    _, of, copies = np.unique(same, return_inverse=True, return_counts=True)
+                    head = np.arange(len(size))
+                    many = np.flatnonzero(copies[of] > 1)
+                    if len(many):
+                        # the earliest of equal lines stands for them
+                        order = many[np.lexsort((line[many], v[many], d[many], of[many]))]
+                        lead = np.append(True, of[order[1:]] != of[order[:-1]])
+                        head[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
+                    first = head == np.arange(len(size))
                     itself = ~first & (d == d[head]) & (v == v[head]) & (line == line[head])  # a repeated row
                     # up to three words, only equal sets match: their rarest word is enough to meet
                     prefix = np.where(size <= 3, 1, size - (NUM * size + DEN - 1) // DEN + 1)
-                    # lines that repeat one of this chunk go on as such, under no word (token 0)
+                    # lines that repeat one of this chunk go on as such, under no word and of no size
                     prefix[~first] = 1
                     prefix[itself] = 0
                     k = np.repeat(np.arange(len(size)), prefix)
                     place = np.arange(len(k)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
                     post = {"token": token[at[k] + place], "doc": d[k], "version": v[k], "line": line[k], "size": size[k], "place": place, "sum": total[k] >> np.uint64(32), "parity": parity[k]}
                     again = ~first[k]
-                    post["token"][again] = 0
+                    post["token"][again] = mix(post["doc"][again].astype(np.uint64) + mix(post["line"][again].astype(np.uint64)))  # to any task
                     post["size"][again] = 0
                     held.append(post)
                     n += len(k)
@@ -157,6 +164,20 @@ def _post(shared, parts: int):
     return run
 
 
+def _in_order(c: dict[str, np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """The rows by word, and by (document, version, line) within a word."""
+    doc, line, version = c["doc"][rows], c["line"][rows], c["version"][rows]
+    if len(rows) and doc.min() >= 0 and doc.max() < 1 << 42 and line.max() < 1 << 21:
+        key = doc << 21 | line
+        order = np.argsort(key, kind="stable")
+        equal = key[order[1:]] == key[order[:-1]]
+        if (version[order[1:]][equal] != version[order[:-1]][equal]).any():
+            order = np.lexsort((line, version, doc))
+    else:
+        order = np.lexsort((line, version, doc))
+    return rows[order[np.argsort(c["token"][rows[order]], kind="stable")]]
+
+
 def _pairs(first: int | None, only: np.ndarray | None):
     """Candidates among the postings of this task's words: rows of kind 0 (a line that repeats an earlier one),
     1 (a line and an earlier candidate) and 2 (a line with more candidates than were given)."""
@@ -169,71 +190,93 @@ def _pairs(first: int | None, only: np.ndarray | None):
         c = {name: np.concatenate([x[name] for x in blocks]) for name, _ in _COLUMNS}
         del blocks
 
-        def out(kind, x, y=None):
+        def out(kind, x, y=None, near=None):
+            near = np.zeros(len(x), np.int32) if near is None else near
             a = [c["doc"][x], c["version"][x], c["line"][x].astype(np.int32)]
             e = [c["doc"][y], c["version"][y], c["line"][y].astype(np.int32)] if y is not None else a
             for k in range(0, len(x), 1 << 15):
                 s = slice(k, k + (1 << 15))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a[0][s]), kind, np.int32)), *[pa.array(v[s]) for v in (*a, *e)], pa.array(_pick(*[v[s] for v in a])), pa.array(_pick(*[v[s] for v in e]))],
-                    names=["kind", "doc", "version", "line", "y_doc", "y_version", "y_line", "pick", "y_pick"],
+                    [pa.array(np.full(len(a[0][s]), kind, np.int32)), pa.array(near[s]), *[pa.array(v[s]) for v in (*a, *e)], *[pa.array(_pick(v[0][s], v[1][s], v[2][s] * whole)) for whole in (1, 0) for v in (a, e)]],
+                    names=["kind", "near", "doc", "version", "line", "y_doc", "y_version", "y_line", "pick", "y_pick", "doc_pick", "y_doc_pick"],
                 )
 
         repeated = c["size"] == 0
         if only is None:
             yield from out(0, np.flatnonzero(repeated))
-        order = np.flatnonzero(~repeated)
-        order = order[np.lexsort([c[k][order] for k in ("line", "version", "doc", "parity", "size", "sum", "token")])]
-        same = np.ones(max(0, len(order) - 1), bool)
-        for k in ("token", "sum", "size", "parity"):
-            same &= c[k][order[1:]] == c[k][order[:-1]]
-        later = order[1:][same]
+        order = _in_order(c, np.flatnonzero(~repeated))
+        # equal sets under a word: the earliest stands for all
+        with np.errstate(over="ignore"):
+            same = mix(c["token"][order] ^ mix(c["parity"][order] + mix(c["size"][order].astype(np.uint64) << np.uint64(32) | c["sum"][order].astype(np.uint64))))
+        _, lead, of = np.unique(same, return_index=True, return_inverse=True)
         if only is None:
             # the same document and line twice is a repeated row, not a later line
-            lead = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(len(order)), 0))[1:][same] if len(order) else order
-            mine, head = later, order[lead] if len(order) else later
+            later = np.flatnonzero((lead[of] != np.arange(len(order))) & (c["place"][order] == 0))
+            mine, head = order[later], order[lead[of[later]]]
             other = (c["doc"][mine] != c["doc"][head]) | (c["version"][mine] != c["version"][head]) | (c["line"][mine] != c["line"][head])
-            yield from out(0, mine[(c["place"][mine] == 0) & other])
-        order = order[np.append(True, ~same)] if len(order) else order
-        order = order[np.lexsort([c[k][order] for k in ("line", "version", "doc", "token")])]
-        token, size, place, parity = (c[k][order] for k in ("token", "size", "place", "parity"))
+            yield from out(0, mine[other])
+        order = order[np.sort(lead)]
+        # by word, class of size and order: sizes of a match are of the same class or of neighbours
+        kind = np.clip(np.log(c["size"][order]) / np.log(1.26), 0, 61).astype(np.uint64) + np.uint64(1)
+        key = c["token"][order] << np.uint64(6) | kind
+        at = np.argsort(key, kind="stable")
+        order, key = order[at], key[at]
+        size, place, parity = (c[k][order] for k in ("size", "place", "parity"))
         size, place = size.astype(np.int64), place.astype(np.int64)
-        start = np.searchsorted(token, token)
-        rank = np.arange(len(token)) - start
-        active = np.flatnonzero((rank > 0) & (size > 3))
-        if only is not None and len(active):
-            at = order[active]
-            active = active[only[_pick(c["doc"][at], c["version"][at], c["line"][at])]]
-        given = np.zeros(len(token), np.int64)
-        for j in range(1 << 62):
-            active = active[rank[active] > j]
-            if not len(active):
-                break
-            for k in range(0, len(active), 1 << 20):
-                x = active[k : k + (1 << 20)]
-                y = start[x] + j
-                both, nx, ny = size[x] + size[y], size[x], size[y]
-                need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)
-                fit = (DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & (1 + np.minimum(nx - place[x], ny - place[y]) - 1 >= need)
-                fit[fit] = np.bitwise_count(parity[x[fit]] ^ parity[y[fit]]) <= (both - 2 * need)[fit]
-                x, y = x[fit], y[fit]
-                given[x] += 1
-                yield from out(1, order[x], order[y])
-            if first is not None:
-                full = active[given[active] >= first]
-                yield from out(2, order[full[rank[full] > j + 1]])
-                active = active[given[active] < first]
+        group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.zeros(0, np.int64)
+        turn = group << 32 | at  # at grows with the order of lines within a word
+        asked = np.flatnonzero(size > 3)
+        if only is not None and len(asked):
+            x = order[asked]
+            asked = asked[only[_pick(c["doc"][x], c["version"][x], c["line"][x])]]
+        given = np.zeros(len(key), np.int64)
+        for step in (0, -1, 1) if len(asked) else ():
+            other = key[asked] + np.uint64(step % (1 << 64))
+            start = np.searchsorted(key, other)
+            there = start < len(key)
+            there[there] = key[start[there]] == other[there]
+            active, start = asked[there], start[there]
+            # the earlier lines of that class: from start on, so many
+            count = np.searchsorted(turn, group[start] << 32 | at[active]) - start
+            full = (count > 0) & (given[active] >= first) if first is not None else np.zeros(len(active), bool)
+            yield from out(2, order[active[full]])
+            active, start, count = active[~full], start[~full], count[~full]
+            for j in range(1 << 62):
+                more = count > j
+                active, start, count = active[more], start[more], count[more]
+                if not len(active):
+                    break
+                for k in range(0, len(active), 1 << 20):
+                    x, y = active[k : k + (1 << 20)], start[k : k + (1 << 20)] + j
+                    both, nx, ny = size[x] + size[y], size[x], size[y]
+                    need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)
+                    fit = np.flatnonzero((DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & (np.minimum(nx - place[x], ny - place[y]) >= need))
+                    near = np.bitwise_count(parity[x[fit]] ^ parity[y[fit]]).astype(np.int32)
+                    room = (both - 2 * need)[fit]
+                    ok = near <= room
+                    x, y, near, room = x[fit[ok]], y[fit[ok]], near[ok], room[ok]
+                    given[x] += 1
+                    if first is not None:
+                        # as close as this: most likely a match, and then few others are needed
+                        given[x[2 * near <= room]] += first // SURE
+                    yield from out(1, order[x], order[y], near)
+                if first is not None:
+                    full = given[active] >= first
+                    yield from out(2, order[active[full & (count > j + 1)]])
+                    active, start, count = active[~full], start[~full], count[~full]
 
     return run
 
 
 def _whole_sets(shared, picked):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (ranks, _), wanted = shared.value, picked.value
+        (ranks, _), (wanted, wanted_docs) = shared.value, picked.value
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null((1 << 63) - 1))
             versions = np.asarray(batch.column(1))
-            for i, _, b, off in pieces(batch.column(2)):
+            asked = np.flatnonzero(wanted_docs[_pick(ids, versions, np.zeros_like(ids))])
+            ids, versions = ids[asked], versions[asked]
+            for i, _, b, off in pieces(batch.column(2).take(pa.array(asked))):
                 for doc, line, at, token in line_sets(b, off, ranks):
                     d, v = ids[i + doc], versions[i + doc]
                     some = np.flatnonzero(wanted[_pick(d, v, line)])
@@ -246,6 +289,41 @@ def _whole_sets(shared, picked):
     return run
 
 
+def _scan_open(shared, asked):
+    """The open lines (document, version, line, words) that have a match among the earlier lines of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ranks, _), rows = shared.value, asked.value
+        sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+        index = sorted((int(t), u) for u, w in enumerate(sets) for t in w[: len(w) - (NUM * len(w) + DEN - 1) // DEN + 1])
+        token_of, line_of = np.array([t for t, _ in index], np.uint64), np.array([u for _, u in index], np.int64)
+        found: set[int] = set()
+        for batch in batches:
+            ids = np.asarray(batch.column(0).fill_null((1 << 63) - 1))
+            versions = np.asarray(batch.column(1))
+            for i, _, b, off in pieces(batch.column(2)):
+                for doc, line, at, token in line_sets(b, off, ranks):
+                    low, high = np.searchsorted(token_of, token), np.searchsorted(token_of, token, "right")
+                    met = np.flatnonzero(high > low)
+                    if not len(met):
+                        continue
+                    n = (high - low)[met]
+                    u = line_of[np.repeat(low[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    x = np.repeat(np.searchsorted(at, met, "right") - 1, n)
+                    for k in np.unique(x * len(sets) + u).tolist():
+                        x1, u1 = divmod(k, len(sets))
+                        size, other = at[x1 + 1] - at[x1], len(sets[u1])
+                        place = (int(ids[i + doc[x1]]), int(versions[i + doc[x1]]), int(line[x1]))
+                        if u1 not in found and DEN * min(size, other) >= NUM * max(size, other) and place < rows[u1][:3]:
+                            both = len(np.intersect1d(token[at[x1] : at[x1 + 1]], sets[u1], assume_unique=True))
+                            if (NUM + DEN) * both >= NUM * (size + other):
+                                found.add(u1)
+        hits = [rows[u] for u in found]
+        yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int32())], names=["doc", "version", "line"])
+
+    return run
+
+
 def _bit_table(df: DataFrame, columns: list[str]) -> np.ndarray:
     """A table of 2**PICK_BITS flags, on where a row has the number: its size does not grow with the rows."""
     bits = df.select(F.explode(F.array(*columns)).alias("pick")).select(F.shiftright("pick", 5).alias("word"), F.pmod("pick", F.lit(32)).alias("bit"))
@@ -262,7 +340,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     A line goes if an earlier one, by (doc_id, version, line), has a similarity of NUM / DEN or more, whether
     that one stays or goes. Only the first few candidates of a line for a word are verified at first, which
     settles nearly all lines, however many near copies share the word. Lines that are still open then, and had
-    more candidates, are joined again with all of them.
+    more candidates, are held against all lines: by one more scan if they are few, else by joining again.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -273,24 +351,38 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     posted = docs.mapInArrow(_post(shared, parts), "part int, block binary").repartition(parts, "part")
     key = ["doc", "version", "line"]
 
-    def verified(found: DataFrame) -> DataFrame:
-        pairs = found.where("kind = 1").select(*key, "y_doc", "y_version", "y_line").distinct()
-        picked = spark.sparkContext.broadcast(_bit_table(found.where("kind = 1"), ["pick", "y_pick"]))
+    def verified(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = found.where("kind = 1").groupBy(*key, "y_doc", "y_version", "y_line").agg(F.min("near").alias("near"))
+        picked = spark.sparkContext.broadcast([_bit_table(found.where("kind = 1"), c) for c in (["pick", "y_pick"], ["doc_pick", "y_doc_pick"])])
         sets = docs.mapInArrow(_whole_sets(shared, picked), "doc bigint, version bigint, line int, words array<bigint>")
         sets = written(sets, "sets").dropDuplicates(key)
         y = sets.select(F.col("doc").alias("y_doc"), F.col("version").alias("y_version"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
-        both = pairs.join(sets, key).join(y, ["y_doc", "y_version", "y_line"])
-        alike = (NUM + DEN) * F.size(F.array_intersect("words", "y_words")) >= NUM * (F.size("words") + F.size("y_words"))
-        return both.where(alike).select(*key).distinct()
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("near", "y_doc", "y_version", "y_line"))
+        pairs = written(pairs.withColumn("place", place).drop("near"), "pairs")
+
+        def alike(some: DataFrame) -> DataFrame:
+            both = some.join(sets, key).join(y, ["y_doc", "y_version", "y_line"])
+            same = (NUM + DEN) * F.size(F.array_intersect("words", "y_words")) >= NUM * (F.size("words") + F.size("y_words"))
+            return both.where(same).select(*key).distinct()
+
+        # the closest candidate settles most lines; only the others' sets are moved again
+        most = written(alike(pairs.where("place = 1")), "matched")
+        return most.unionByName(alike(pairs.where("place > 1").join(most, key, "left_anti"))), sets
 
     found = written(posted.mapInArrow(_pairs(FIRST, None), _FOUND), "candidates")
-    gone = written(found.where("kind = 0").select(*key).unionByName(verified(found)).distinct(), "removed")
-    open_ = written(found.where("kind = 2").select(*key, "pick").distinct().join(gone, key, "left_anti"), "open")
-    if open_.isEmpty():
+    matched, sets = verified(found)
+    gone = written(found.where("kind = 0").select(*key).unionByName(matched).distinct(), "removed")
+    open_ = written(found.where("kind = 2").select(*key, "pick").distinct().join(gone, key, "left_anti").join(sets, key), "open")
+    lines_left, words_left = open_.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    if not lines_left:
         return gone
+    if lines_left <= OPEN_LINES and words_left <= OPEN_WORDS:
+        rows = [(r["doc"], r["version"], r["line"], np.array(r["words"], np.int64).tobytes()) for r in open_.toLocalIterator()]
+        rest = docs.mapInArrow(_scan_open(shared, spark.sparkContext.broadcast(rows)), "doc bigint, version bigint, line int")
+        return gone.unionByName(rest).distinct()
     rest = written(posted.mapInArrow(_pairs(None, _bit_table(open_, ["pick"])), _FOUND), "candidates")
     rest = rest.join(open_.select(*key), key, "left_semi").select(*found.columns)
-    return gone.unionByName(verified(written(rest, "candidates"))).distinct()
+    return gone.unionByName(verified(written(rest, "candidates"))[0]).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -302,15 +394,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     result. Columns of docs named as the new ones are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = removed_lines(docs).groupBy("doc", "version").agg(F.collect_list("line").alias("gone"))
-    keyed = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_version", F.xxhash64("text"))
-    joined = keyed.join(gone, (F.col("_doc") == F.col("doc")) & (F.col("_version") == F.col("version")), "left")
-    parts = F.split("text", "\n", -1)
-    cut = joined.withColumn("_lines", parts)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    gone = removed_lines(docs).groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_list("line").alias("_gone"))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_version"])
+    cut = docs.join(gone, same, "left").withColumn("_lines", F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
     columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return cut.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return cut.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
