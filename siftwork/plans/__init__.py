@@ -1,6 +1,6 @@
 """The queries of the engine, and the SQL they are held against."""
 
-from . import learning, outside, relational, scalars  # noqa: F401  (they register their queries)
+from . import learning, more, outside, relational, scalars  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 flagship = relational.flagship
