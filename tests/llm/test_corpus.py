@@ -36,9 +36,11 @@ def near_lines(n=160):
     return rows
 
 
-@pytest.mark.parametrize("first", [1, 4])
-def test_line_dedup(spark, monkeypatch, first):
+@pytest.mark.parametrize(("first", "few"), [(1, 0), (1, 20_000), (64, 20_000)])
+def test_line_dedup(spark, monkeypatch, first, few):
+    """With few candidates at first, lines stay open, which a scan settles, or a second join where they are many."""
     monkeypatch.setattr(line_dedup, "FIRST", first)
+    monkeypatch.setattr(line_dedup, "OPEN_LINES", few)
     rows = near_lines()
     want = plain_removed(rows)
     assert want
