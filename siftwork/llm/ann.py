@@ -46,8 +46,8 @@ def axes(y: np.ndarray, probes: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), axis=1, kind="stable"), 1)
 
 
-def _assign(length: float, dim: int, tables: int, probes: int, seed: int):
-    """Index rows: each vector's bucket in every table. Query rows, marked: the buckets probed too."""
+def _assign(lengths: dict[int, float], dim: int, tables: int, probes: int, seed: int):
+    """Index rows: each vector's bucket in every table of its norm range. Query rows, marked: the buckets probed, in any range."""
     width = 1 << max(1, int(dim).bit_length())  # room for one more coordinate
     signs = _signs(width, tables, seed)
 
@@ -55,16 +55,17 @@ def _assign(length: float, dim: int, tables: int, probes: int, seed: int):
         for pdf in frames:
             x = np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, dim))
             norm = np.linalg.norm(x, axis=1)
-            index = np.concatenate([x / length, np.sqrt(np.maximum(0.0, 1.0 - (norm / length) ** 2))[:, None]], axis=1)
+            length = np.maximum([lengths[k] for k in pdf["span"]], np.finfo(float).tiny)
+            index = np.concatenate([x / length[:, None], np.sqrt(np.maximum(0.0, 1.0 - (norm / length) ** 2))[:, None]], axis=1)
             asked = np.flatnonzero(pdf["asked"].to_numpy(bool))
             unit = np.concatenate([x[asked] / norm[asked][:, None], np.zeros((len(asked), 1))], axis=1)
             for t in range(tables):
                 home = axes(rotated(index, signs[t]), 1)[:, 0]
-                yield pd.DataFrame({"bucket": t * 2 * width + home, "id": pdf["id"], "v": pdf["v"], "query": False})
+                yield pd.DataFrame({"bucket": t * 2 * width + home, "span": pdf["span"], "id": pdf["id"], "v": pdf["v"], "query": False})
                 if len(asked):
                     near = axes(rotated(unit, signs[t]), probes)
                     rows = np.repeat(asked, near.shape[1])
-                    yield pd.DataFrame({"bucket": t * 2 * width + near.ravel(), "id": pdf["id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows], "query": True})
+                    yield pd.DataFrame({"bucket": t * 2 * width + near.ravel(), "span": 0, "id": pdf["id"].to_numpy()[rows], "v": pdf["v"].to_numpy()[rows], "query": True})
 
     return run
 
@@ -101,15 +102,29 @@ def valid_vectors(df: DataFrame, id_col: str, vector: str, dim: int) -> DataFram
     return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & fine & F.exists("v", lambda x: x != 0))
 
 
+def _best(q: DataFrame, x: DataFrame, k: int) -> DataFrame:
+    """Rows (query_id, best): the k best of x for each of q, within buckets and spans cut into q_cuts by x_cuts blocks."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
+    q = q.withColumn("q_block", F.pmod(salt, F.col("q_cuts"))).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_cuts") - 1)))
+    x = x.withColumn("x_block", F.pmod(salt, F.col("x_cuts"))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
+    by = ["bucket", "span", "q_block", "x_block"]
+    found = q.select(*by, "id", "v").groupBy(*by).cogroup(x.select(*[F.col(c).alias(c) for c in (*by, "id", "v")]).groupBy(*by)).applyInPandas(_rank(k), "query_id long, vec_id long, score double")
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("best"))
+
+
 def nearest(vectors: DataFrame, asked, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, seed: int = SEED, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each asked vector the k nearest by inner product, but itself.
 
     asked is a condition on the column id. Inner products become angles by one more coordinate (vectors are
-    divided by the greatest norm M and filled up to norm 1). A table rotates all by random signs and fast
+    divided by the greatest norm of their range and filled up to norm 1). Norms in a range differ by a factor
+    of at most the root of 2, and each range has buckets of its own, so long vectors do not turn all others
+    to the axis of the added coordinate. A table rotates all by random signs and fast
     Hadamard transforms and files each vector under its nearest signed axis; a query probes its nearest axes.
     Buckets are cut into blocks of about `block` rows by a hash of the id, on both sides, so no bucket has to
     fit a task; each block ranks its candidates exactly, on the vectors as they are, and the best of all
-    blocks stay. Results are approximate only in which candidates are met.
+    blocks stay. A query that met fewer than k is held against all rows, in such blocks too, and gets k, or
+    all there are. Results are approximate only in which candidates are met.
 
     Null vectors, those with null or non-finite components, of zero length or of another dimension than the
     most frequent one take no part, nor do rows without an id. Ties go to the smaller id. Rows repeated with
@@ -121,23 +136,31 @@ def nearest(vectors: DataFrame, asked, k: int = 20, tables: int = TABLES, probes
         return vectors.sparkSession.createDataFrame([], schema)
     dim = dims["dim"]
     rows = valid_vectors(vectors, id_col, vector, dim)
-    length = rows.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).first()[0]
-    if length is None:
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    # ranges of half an octave, 1 in the middle of one; squares that leave the numbers' range go to the outermost
+    rows = rows.withColumn("norm", norm).withColumn("span", F.greatest(F.lit(-9999), F.least(F.lit(9999), F.floor(2 * F.log2("norm") + 0.5))).cast("int"))
+    lengths = {r["span"]: r["norm"] for r in rows.groupBy("span").agg(F.max("norm").alias("norm")).collect()}
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], schema)
+    rows = rows.drop("norm").withColumn("asked", asked)
     kind = dict(rows.dtypes)["v"]
-    filed = rows.withColumn("asked", asked).mapInPandas(_assign(length, dim, tables, probes, seed), f"bucket int, id long, v {kind}, query boolean")
+    filed = rows.mapInPandas(_assign(lengths, dim, tables, probes, seed), f"bucket int, span int, id long, v {kind}, query boolean")
     filed = written(filed, "buckets")
-    # at most tables * 4 * dim buckets, whatever the number of vectors
-    sizes = filed.groupBy("bucket").agg(F.count_if("query").alias("queries"), F.count_if(~F.col("query")).alias("rows"))
-    cuts = sizes.select("bucket", F.ceil(F.col("queries") / block).cast("int").alias("q_cuts"), F.ceil(F.col("rows") / block).cast("int").alias("x_cuts")).where("q_cuts > 0 and x_cuts > 0")
-    cut = filed.join(F.broadcast(cuts), "bucket")
-    salt = F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("int")
-    q = cut.where("query").withColumn("q_block", F.pmod(salt, F.col("q_cuts"))).withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_cuts") - 1)))
-    x = cut.where("not query").withColumn("x_block", F.pmod(salt, F.col("x_cuts"))).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_cuts") - 1)))
-    by = ["bucket", "q_block", "x_block"]
-    found = q.select(*by, "id", "v").groupBy(*by).cogroup(x.select(*[F.col(c).alias(c) for c in (*by, "id", "v")]).groupBy(*by)).applyInPandas(_rank(k), "query_id long, vec_id long, score double")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = once.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))), 1, k).alias("best"))
+    # at most tables * 4 * dim buckets a range of norms, whatever the number of vectors
+    asking = filed.where("query").groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_cuts"))
+    cuts = filed.where("not query").groupBy("bucket", "span").agg(F.ceil(F.count("*") / block).cast("int").alias("x_cuts")).join(asking, "bucket")
+    cuts = written(cuts, "cuts")
+    q = filed.where("query").drop("span").join(F.broadcast(cuts), "bucket")
+    x = filed.where("not query").join(F.broadcast(cuts), ["bucket", "span"])
+    best = written(_best(q, x, k), "nearest")
+    ids = rows.where("asked").select(F.col("id").alias("query_id")).distinct()
+    short = written(ids.join(best.where(F.size("best") >= k).select("query_id"), "query_id", "left_anti"), "short")
+    n_short = short.count()
+    if n_short:
+        q_cuts, x_cuts = -(-n_short // block), -(-rows.count() // block)
+        every = rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("span"), "id", "v", F.lit(q_cuts).alias("q_cuts"), F.lit(x_cuts).alias("x_cuts"))
+        filled = _best(every.join(short, every.id == short.query_id, "left_semi"), every, k)
+        best = best.where(F.size("best") >= k).unionByName(filled)
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
