@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, spaced_words
@@ -73,6 +73,38 @@ def close_pairs(prints: DataFrame, distance: int = 3, key: str = "doc_id") -> Da
     return pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"), d.alias("distance")).distinct()
 
 
+def nearest_earlier(prints: DataFrame, known: DataFrame, q_cuts: int, x_cuts: int, k: int = 3, farthest: int = 24) -> DataFrame:
+    """Rows (doc_id, near, distance): of the rows of known of smaller doc_ids, the k nearest by Hamming distance, ties to
+    the smaller doc_id; none where the nearest is over `farthest` bits away.
+
+    All pairs are held against each other, in q_cuts by x_cuts blocks. Of equal fingerprints of known, only the k of
+    the smallest doc_ids can be among the nearest. Every member of a group of copies is asked for itself.
+    """
+    least = known.withColumn("r", F.row_number().over(Window.partitionBy("simhash").orderBy("doc_id"))).where(F.col("r") <= k)
+    q = prints.withColumn("q", F.pmod(F.xxhash64("doc_id"), F.lit(q_cuts)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(x_cuts - 1))))
+    x = least.select("doc_id", "simhash", F.pmod(F.xxhash64("doc_id"), F.lit(x_cuts)).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(q_cuts - 1))).alias("q"))
+
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        qid, qh = asked["doc_id"].to_numpy(), asked["simhash"].to_numpy()
+        xid, xh = rows["doc_id"].to_numpy(), rows["simhash"].to_numpy()
+        out, n = [], len(xid)
+        for at in range(0, len(qid) if n else 0, 64):
+            far = np.bitwise_count((qh[at : at + 64, None] ^ xh[None, :]).view(np.uint64)).astype(np.int32)
+            far[qid[at : at + 64, None] <= xid[None, :]] = 65
+            best = far * n + np.arange(n, dtype=np.int32)
+            best = np.partition(best, k - 1, axis=1)[:, :k] if n > k else best
+            row, col = np.nonzero(best < 65 * n)
+            key = best[row, col]
+            out.append(pd.DataFrame({"doc_id": qid[at + row], "near": xid[key % n], "distance": key // n}))
+        return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "near": [], "distance": []})
+
+    met = q.groupBy("q", "x").cogroup(x.groupBy("q", "x")).applyInPandas(run, "doc_id long, near long, distance int")
+    w = Window.partitionBy("doc_id").orderBy("distance", "near")
+    met = met.withColumn("r", F.row_number().over(w)).withColumn("nearest", F.first("distance").over(w))
+    return met.where((F.col("r") <= k) & (F.col("nearest") <= farthest)).select("doc_id", "near", "distance")
+
+
 def clone_type(distance: Column) -> Column:
     return F.when(distance <= 2, "type1").when(distance <= 8, "type2").otherwise("type3")
 

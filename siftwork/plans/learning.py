@@ -248,11 +248,10 @@ def stm_window(spark, sf):
 
 @query("lrn39_knn_policy")
 def lrn39(spark, sf):
-    """The three most similar earlier documents vote on a document's quality; by bands, within 7 bits."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    pairs = dedup.close_pairs(dedup.simhash(d), 7)
-    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("a"), "quality")
-    near = pairs.join(labels, "a").withColumn("r", F.row_number().over(W.partitionBy("b").orderBy("distance", "a"))).where("r <= 3")
-    return near.groupBy(F.col("b").alias("doc_id")).agg(_r(F.avg("quality")).alias("vote"), F.count("*").alias("n"))
+    """The three most similar earlier labelled documents vote on a document's quality, unless the nearest is over 24 bits away."""
+    d, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "quality")
+    known = dedup.simhash(d.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"))
+    near = dedup.nearest_earlier(dedup.simhash(d), known, max(1, -(-d.count() // 4000)), max(1, -(-labels.count() // 20_000)))
+    return near.join(labels.withColumnRenamed("doc_id", "near"), "near").groupBy("doc_id").agg(_r(F.avg("quality")).alias("vote"), F.count("*").alias("n"))
 
 
