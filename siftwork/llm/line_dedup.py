@@ -21,16 +21,24 @@ from .scan import Counts, hashes, lines, mix, pieces, words
 
 #: The similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5
-#: log2 of the table of word counts that orders words by rarity, and of the bit table that picks lines to verify.
-COUNT_BITS, PICK_BITS = 20, 23
+#: log2 of the table of word counts that orders words by rarity.
+COUNT_BITS = 20
+#: Bits of the hash that picks lines to verify, and the least and greatest log2 of the table of flags under it.
+PICK_BITS, LEAST_FLAGS, MOST_FLAGS = 30, 16, 27
+#: Lines of more words have a parity of 128 bits; in 64 the words of long lines would fill all places.
+WIDE = 40
 #: Postings for a task; candidates of a line for one word that are verified at first, and of very close ones.
-TASK, FIRST, SURE = 400_000, 64, 8
+TASK, FIRST, SURE = 400_000, 1024, 4
+#: Equal lines that a scanning task remembers from one block of postings to the next.
+KNOWN = 200_000
+#: Buckets of lines by hash that tell which lines have many partners, and the partners for a task.
+HEAT, PARTNERS = 1 << 14, 2_000
 #: Lines that are still open then, and words of them, that one more scan of all lines is held against.
 OPEN_LINES, OPEN_WORDS = 20_000, 2_000_000
 _ID_BITS, _RANK_BITS = 44, 6
 _TOKEN = np.uint64((1 << (_ID_BITS + _RANK_BITS)) - 1)
 _GROUP = 1 << 13
-_COLUMNS = (("token", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("line", "<u4"), ("size", "<u4"), ("place", "<u4"), ("sum", "<u4"), ("parity", "<u8"))
+_COLUMNS = (("token", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("line", "<u4"), ("size", "<u4"), ("place", "<u4"), ("sum", "<u4"), ("parity", "<u8"), ("more", "<u8"))
 _FOUND = "kind int, near int, doc bigint, version bigint, line int, y_doc bigint, y_version bigint, y_line int, pick int, y_pick int, doc_pick int, y_doc_pick int"
 
 
@@ -83,6 +91,17 @@ def _pick(doc: np.ndarray, version: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - PICK_BITS)).astype(np.int32)
 
 
+def _flag_bits(n: int) -> int:
+    """log2 of the table of flags for n keys: sixteen places for a key, within fixed bounds."""
+    return min(MOST_FLAGS, max(LEAST_FLAGS, int(n).bit_length() + 4))
+
+
+def _flagged(table: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """Whether the packed table has the flags of the picks on."""
+    at = pick.astype(np.int64) >> (PICK_BITS - 3 - (len(table).bit_length() - 1))
+    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+
 def _packed(columns: dict[str, np.ndarray], where: np.ndarray, pack) -> bytes:
     """Columns as one compressed block; numbers are kept by byte planes, which pack better."""
     out = [np.uint32(where.size).tobytes()]
@@ -105,12 +124,50 @@ def _unpacked(data: bytes, unpack) -> dict[str, np.ndarray]:
     return out
 
 
+class _Known:
+    """The places of lines that a task has posted; of equal ones the earliest. Forgetting some costs postings only."""
+
+    def __init__(self):
+        self.kept = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.hits, self.new = np.zeros(0, np.int64), []
+
+    def earlier(self, same, d, v, line, first) -> np.ndarray:
+        """Flags of the lines that equal a known one from an earlier place. The others of `first` become known."""
+        sig, kd, kv, kl = self.kept
+        out = np.zeros(len(same), bool)
+        at = np.searchsorted(sig, same)
+        found = np.flatnonzero(at < len(sig))
+        found = found[(sig[at[found]] == same[found]) & first[found]]
+        k = at[found]
+        x, y = (kd[k], kv[k], kl[k]), (d[found], v[found], line[found])
+        before = (x[0] < y[0]) | ((x[0] == y[0]) & ((x[1] < y[1]) | ((x[1] == y[1]) & (x[2] < y[2]))))
+        out[found[before]] = True
+        np.add.at(self.hits, k, 1)
+        keep = first & ~out
+        self.new.append((same[keep], d[keep], v[keep], line[keep]))
+        return out
+
+    def settle(self) -> None:
+        """Takes up what is new: lines met twice or more since, and what was of use before."""
+        new = [np.concatenate(c) for c in zip(*self.new, strict=True)]
+        of_old = np.concatenate([np.ones(len(self.hits), np.int64) + self.hits, np.ones(len(new[0]), np.int64)])
+        sig, d, v, line = (np.concatenate([a, b.astype(a.dtype)]) for a, b in zip(self.kept, new, strict=True))
+        order = np.lexsort((line, v, d, sig))
+        lead = np.flatnonzero(np.append(True, sig[order[1:]] != sig[order[:-1]])) if len(order) else order
+        met = np.add.reduceat(of_old[order], lead) if len(lead) else of_old[:0]
+        some = np.flatnonzero(met > 1)
+        some = np.sort(some[np.argsort(-met[some], kind="stable")[:KNOWN]])
+        self.kept = tuple(c[order[lead[some]]].astype(t) for c, t in zip((sig, d, v, line), (np.uint64, np.int64, np.int64, np.int64), strict=True))
+        self.hits, self.new = np.zeros(len(some), np.int64), []
+
+
 def _post(shared, parts: int):
-    """Postings of each line's prefix, by the task that joins the word; lines that repeat an earlier one of the same chunk are found at once."""
+    """Postings of each line's prefix, by the task that joins the word; lines that repeat one that the task has met are found at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, _ = shared.value
         pack, held, n = zstandard.ZstdCompressor(level=1), [], 0
+        known = _Known()
 
         def flush():
             columns = {name: np.concatenate([h[name] for h in held]) for name, _ in _COLUMNS}
@@ -129,7 +186,10 @@ def _post(shared, parts: int):
                     size = np.diff(at)
                     mixed = mix(token)
                     total = np.add.reduceat(mixed, at[:-1])
-                    parity = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), at[:-1])
+                    bit = np.uint64(1) << (mixed >> np.uint64(58))
+                    parity = np.bitwise_xor.reduceat(bit, at[:-1])
+                    upper = np.bitwise_xor.reduceat(np.where(mixed & np.uint64(1), bit, np.uint64(0)), at[:-1])
+                    upper[size <= WIDE] = 0
                     d, v = ids[i + doc], versions[i + doc]
                     same = mix(total ^ mix(parity + mix(size.astype(np.uint64))))
                     _, of, copies = np.unique(same, return_inverse=True, return_counts=True)
@@ -142,6 +202,8 @@ def _post(shared, parts: int):
                         head[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
                     first = head == np.arange(len(size))
                     itself = ~first & (d == d[head]) & (v == v[head]) & (line == line[head])  # a repeated row
+                    # a line that this task has posted before, from an earlier place
+                    first &= ~known.earlier(same, d, v, line, first)
                     # up to three words, only equal sets match: their rarest word is enough to meet
                     prefix = np.where(size <= 3, 1, size - (NUM * size + DEN - 1) // DEN + 1)
                     # lines that repeat one of this chunk go on as such, under no word and of no size
@@ -149,7 +211,7 @@ def _post(shared, parts: int):
                     prefix[itself] = 0
                     k = np.repeat(np.arange(len(size)), prefix)
                     place = np.arange(len(k)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-                    post = {"token": token[at[k] + place], "doc": d[k], "version": v[k], "line": line[k], "size": size[k], "place": place, "sum": total[k] >> np.uint64(32), "parity": parity[k]}
+                    post = {"token": token[at[k] + place], "doc": d[k], "version": v[k], "line": line[k], "size": size[k], "place": place, "sum": total[k] >> np.uint64(32), "parity": parity[k] ^ upper[k], "more": upper[k]}
                     again = ~first[k]
                     post["token"][again] = mix(post["doc"][again].astype(np.uint64) + mix(post["line"][again].astype(np.uint64)))  # to any task
                     post["size"][again] = 0
@@ -158,6 +220,7 @@ def _post(shared, parts: int):
                 if n >= 1_500_000:
                     yield flush()
                     held, n = [], 0
+                    known.settle()
         if held:
             yield flush()
 
@@ -207,7 +270,7 @@ def _pairs(first: int | None, only: np.ndarray | None):
         order = _in_order(c, np.flatnonzero(~repeated))
         # equal sets under a word: the earliest stands for all
         with np.errstate(over="ignore"):
-            same = mix(c["token"][order] ^ mix(c["parity"][order] + mix(c["size"][order].astype(np.uint64) << np.uint64(32) | c["sum"][order].astype(np.uint64))))
+            same = mix(c["token"][order] ^ mix((c["parity"][order] ^ c["more"][order]) + mix(c["size"][order].astype(np.uint64) << np.uint64(32) | c["sum"][order].astype(np.uint64))))
         _, lead, of = np.unique(same, return_index=True, return_inverse=True)
         if only is None:
             # the same document and line twice is a repeated row, not a later line
@@ -221,14 +284,14 @@ def _pairs(first: int | None, only: np.ndarray | None):
         key = c["token"][order] << np.uint64(6) | kind
         at = np.argsort(key, kind="stable")
         order, key = order[at], key[at]
-        size, place, parity = (c[k][order] for k in ("size", "place", "parity"))
+        size, place, lower, upper = (c[k][order] for k in ("size", "place", "parity", "more"))
         size, place = size.astype(np.int64), place.astype(np.int64)
         group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.zeros(0, np.int64)
         turn = group << 32 | at  # at grows with the order of lines within a word
         asked = np.flatnonzero(size > 3)
         if only is not None and len(asked):
             x = order[asked]
-            asked = asked[only[_pick(c["doc"][x], c["version"][x], c["line"][x])]]
+            asked = asked[_flagged(only, _pick(c["doc"][x], c["version"][x], c["line"][x]))]
         given = np.zeros(len(key), np.int64)
         for step in (0, -1, 1) if len(asked) else ():
             other = key[asked] + np.uint64(step % (1 << 64))
@@ -251,14 +314,18 @@ def _pairs(first: int | None, only: np.ndarray | None):
                     both, nx, ny = size[x] + size[y], size[x], size[y]
                     need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)
                     fit = np.flatnonzero((DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & (np.minimum(nx - place[x], ny - place[y]) >= need))
-                    near = np.bitwise_count(parity[x[fit]] ^ parity[y[fit]]).astype(np.int32)
+                    a, b = x[fit], y[fit]
+                    # both halves of the parity where both lines have them, else the two laid over one another
+                    low, high = lower[a] ^ lower[b], upper[a] ^ upper[b]
+                    wide = (nx[fit] > WIDE) & (ny[fit] > WIDE)
+                    near = np.where(wide, np.bitwise_count(low) + np.bitwise_count(high), np.bitwise_count(low ^ high)).astype(np.int32)
                     room = (both - 2 * need)[fit]
                     ok = near <= room
                     x, y, near, room = x[fit[ok]], y[fit[ok]], near[ok], room[ok]
                     given[x] += 1
                     if first is not None:
                         # as close as this: most likely a match, and then few others are needed
-                        given[x[2 * near <= room]] += first // SURE
+                        given[x[2 * near <= room]] += -(-first // SURE)
                     yield from out(1, order[x], order[y], near)
                 if first is not None:
                     full = given[active] >= first
@@ -274,12 +341,12 @@ def _whole_sets(shared, picked):
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null((1 << 63) - 1))
             versions = np.asarray(batch.column(1))
-            asked = np.flatnonzero(wanted_docs[_pick(ids, versions, np.zeros_like(ids))])
+            asked = np.flatnonzero(_flagged(wanted_docs, _pick(ids, versions, np.zeros_like(ids))))
             ids, versions = ids[asked], versions[asked]
             for i, _, b, off in pieces(batch.column(2).take(pa.array(asked))):
                 for doc, line, at, token in line_sets(b, off, ranks):
                     d, v = ids[i + doc], versions[i + doc]
-                    some = np.flatnonzero(wanted[_pick(d, v, line)])
+                    some = np.flatnonzero(_flagged(wanted, _pick(d, v, line)))
                     if len(some):
                         sizes = np.diff(at)[some]
                         take = np.repeat(at[some], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -298,11 +365,22 @@ def _scan_open(shared, asked):
         index = sorted((int(t), u) for u, w in enumerate(sets) for t in w[: len(w) - (NUM * len(w) + DEN - 1) // DEN + 1])
         token_of, line_of = np.array([t for t, _ in index], np.uint64), np.array([u for _, u in index], np.int64)
         found: set[int] = set()
+        some_word = np.zeros(1 << 22, bool)
+        some_word[(token_of & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null((1 << 63) - 1))
             versions = np.asarray(batch.column(1))
             for i, _, b, off in pieces(batch.column(2)):
+                # only documents that may have one of the words
+                starts, ends = words(b, off)
+                hit = np.flatnonzero(some_word[(hashes(b, starts, ends) & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                if not len(hit):
+                    continue
+                own = np.unique(np.searchsorted(off, starts[hit], "right") - 1)
+                b = np.concatenate([b[off[d] : off[d + 1]] for d in own])
+                off = np.concatenate([[0], np.cumsum(off[own + 1] - off[own])])
                 for doc, line, at, token in line_sets(b, off, ranks):
+                    doc = own[doc]
                     low, high = np.searchsorted(token_of, token), np.searchsorted(token_of, token, "right")
                     met = np.flatnonzero(high > low)
                     if not len(met):
@@ -324,18 +402,18 @@ def _scan_open(shared, asked):
     return run
 
 
-def _bit_table(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """A table of 2**PICK_BITS flags, on where a row has the number: its size does not grow with the rows."""
-    bits = df.select(F.explode(F.array(*columns)).alias("pick")).select(F.shiftright("pick", 5).alias("word"), F.pmod("pick", F.lit(32)).alias("bit"))
-    rows = bits.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("flags")).toArrow()
-    table = np.zeros(1 << (PICK_BITS - 5), np.uint32)
+def _bit_table(df: DataFrame, columns: list[str], bits: int) -> np.ndarray:
+    """A packed table of 2**bits flags, on where a row has the number (of PICK_BITS) in one of the columns."""
+    places = df.select(F.explode(F.array(*[F.shiftright(c, PICK_BITS - bits) for c in columns])).alias("pick"))
+    rows = places.select(F.shiftright("pick", 5).alias("word"), F.col("pick").bitwiseAND(31).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("flags")).toArrow()
+    table = np.zeros(1 << (bits - 5), np.uint32)
     table[np.asarray(rows["word"])] = np.asarray(rows["flags"]).astype(np.uint32)
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+    return table.view(np.uint8)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """Rows (doc, version, line) of the lines to remove: doc is doc_id (the greatest long for null), version a hash
-    of the text, line counts from 0.
+    of the text (0 for all if no doc_id comes twice), line counts from 0.
 
     A line goes if an earlier one, by (doc_id, version, line), has a similarity of NUM / DEN or more, whether
     that one stays or goes. Only the first few candidates of a line for a word are verified at first, which
@@ -344,47 +422,66 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("version"), "text").where("text is not null")
+    docs = keyed(docs.select("doc_id", "text").where("text is not null")).select("doc", "version", "text")
     shared = rarity(docs)
     parts = max(8, -(-shared[1] * (DEN - NUM) // DEN // TASK))
     shared = spark.sparkContext.broadcast(shared)
     posted = docs.mapInArrow(_post(shared, parts), "part int, block binary").repartition(parts, "part")
-    key = ["doc", "version", "line"]
+    key, other = ["doc", "version", "line"], ["y_doc", "y_version", "y_line"]
+
+    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The lines of pairs whose sets are alike. Lines with many partners are dealt to several tasks, by a table of fixed size."""
+        bucket = F.pmod(F.xxhash64(*other), F.lit(HEAT)).cast("int").alias("bucket")
+        heat = pairs.groupBy(bucket).agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")).where("salts > 1")
+        y = sets.select(*[F.col(a).alias(b) for a, b in zip(key, other, strict=True)], F.col("words").alias("y_words")).withColumn("bucket", bucket)
+        y = y.join(F.broadcast(heat), "bucket", "left").select(*other, "y_words", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        x = pairs.join(sets, key).withColumn("bucket", bucket).join(F.broadcast(heat), "bucket", "left")
+        x = x.withColumn("salt", F.pmod(F.xxhash64(*key), F.coalesce("salts", F.lit(1))).cast("int")).drop("bucket", "salts")
+        same = (NUM + DEN) * F.size(F.array_intersect("words", "y_words")) >= NUM * (F.size("words") + F.size("y_words"))
+        return x.join(y, [*other, "salt"]).where(same).select(*key).distinct()
 
     def verified(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        pairs = found.where("kind = 1").groupBy(*key, "y_doc", "y_version", "y_line").agg(F.min("near").alias("near"))
-        picked = spark.sparkContext.broadcast([_bit_table(found.where("kind = 1"), c) for c in (["pick", "y_pick"], ["doc_pick", "y_doc_pick"])])
+        pairs = found.where("kind = 1")
+        bits = _flag_bits(2 * pairs.count())
+        picked = spark.sparkContext.broadcast([_bit_table(pairs, c, bits) for c in (["pick", "y_pick"], ["doc_pick", "y_doc_pick"])])
         sets = docs.mapInArrow(_whole_sets(shared, picked), "doc bigint, version bigint, line int, words array<bigint>")
         sets = written(sets, "sets").dropDuplicates(key)
-        y = sets.select(F.col("doc").alias("y_doc"), F.col("version").alias("y_version"), F.col("line").alias("y_line"), F.col("words").alias("y_words"))
-        place = F.row_number().over(Window.partitionBy(*key).orderBy("near", "y_doc", "y_version", "y_line"))
-        pairs = written(pairs.withColumn("place", place).drop("near"), "pairs")
-
-        def alike(some: DataFrame) -> DataFrame:
-            both = some.join(sets, key).join(y, ["y_doc", "y_version", "y_line"])
-            same = (NUM + DEN) * F.size(F.array_intersect("words", "y_words")) >= NUM * (F.size("words") + F.size("y_words"))
-            return both.where(same).select(*key).distinct()
-
         # the closest candidate settles most lines; only the others' sets are moved again
-        most = written(alike(pairs.where("place = 1")), "matched")
-        return most.unionByName(alike(pairs.where("place > 1").join(most, key, "left_anti"))), sets
+        closest = pairs.groupBy(*key).agg(F.min(F.struct("near", *other)).alias("y")).select(*key, *[f"y.{c}" for c in other])
+        closest = written(closest, "closest")
+        matched = written(alike(closest, sets), "matched")
+        rest = pairs.select(*key, *other).join(closest.select(*key).join(matched, key, "left_anti"), key, "left_semi").distinct().join(closest, [*key, *other], "left_anti")
+        rest = written(rest, "pairs")
+        if rest.isEmpty():
+            return matched, sets
+        ends = rest.select(*key).unionByName(rest.select(*[F.col(b).alias(a) for a, b in zip(key, other, strict=True)])).distinct()
+        return matched.unionByName(alike(rest, sets.join(ends, key, "left_semi"))), sets
 
     found = written(posted.mapInArrow(_pairs(FIRST, None), _FOUND), "candidates")
     matched, sets = verified(found)
     gone = written(found.where("kind = 0").select(*key).unionByName(matched).distinct(), "removed")
-    open_ = written(found.where("kind = 2").select(*key, "pick").distinct().join(gone, key, "left_anti").join(sets, key), "open")
-    lines_left, words_left = open_.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    open_ = written(found.where("kind = 2").select(*key, "pick").distinct().join(gone, key, "left_anti"), "open")
+    lines_left = open_.count()
     if not lines_left:
         return gone
-    if lines_left <= OPEN_LINES and words_left <= OPEN_WORDS:
-        rows = [(r["doc"], r["version"], r["line"], np.array(r["words"], np.int64).tobytes()) for r in open_.toLocalIterator()]
-        rest = docs.mapInArrow(_scan_open(shared, spark.sparkContext.broadcast(rows)), "doc bigint, version bigint, line int")
-        return gone.unionByName(rest).distinct()
-    rest = written(posted.mapInArrow(_pairs(None, _bit_table(open_, ["pick"])), _FOUND), "candidates")
+    if lines_left <= OPEN_LINES:
+        rows = open_.join(sets, key)
+        if rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= OPEN_WORDS:
+            rows = [(r["doc"], r["version"], r["line"], np.array(r["words"], np.int64).tobytes()) for r in rows.toLocalIterator()]
+            rest = docs.mapInArrow(_scan_open(shared, spark.sparkContext.broadcast(rows)), "doc bigint, version bigint, line int")
+            return gone.unionByName(rest).distinct()
+    rest = written(posted.mapInArrow(_pairs(None, _bit_table(open_, ["pick"], _flag_bits(lines_left))), _FOUND), "candidates")
     rest = rest.join(open_.select(*key), key, "left_semi").select(*found.columns)
     return gone.unionByName(verified(written(rest, "candidates"))[0]).distinct()
 
 
+def keyed(docs: DataFrame, doc: str = "doc", version: str = "version") -> DataFrame:
+    """docs with two columns which tell documents apart: without repeated doc_ids no text has to be hashed."""
+    docs = docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+    once = docs.groupBy(doc).count().where("count > 1").isEmpty()
+    return docs.withColumn(version, F.lit(0).cast("long") if once else F.xxhash64("text"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the text rid of its removed lines, and the columns n_lines and n_removed.
 
@@ -395,11 +492,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     gone = removed_lines(docs).groupBy(F.col("doc").alias("_doc"), F.col("version").alias("_version")).agg(F.collect_list("line").alias("_gone"))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit((1 << 63) - 1)) == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_version"])
-    cut = docs.join(gone, same, "left").withColumn("_lines", F.split("text", "\n", -1))
+    columns, docs = docs.columns, keyed(docs, "__line_doc", "__line_version")
+    cut = docs.join(gone, (docs["__line_doc"] == gone["_doc"]) & (docs["__line_version"] == gone["_version"]), "left").withColumn("_lines", F.split("text", "\n", -1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    columns = [text.alias("text") if c == "text" else F.col(c) for c in columns]
     return cut.select(*columns, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 

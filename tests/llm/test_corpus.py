@@ -36,11 +36,13 @@ def near_lines(n=160):
     return rows
 
 
-@pytest.mark.parametrize(("first", "few"), [(1, 0), (1, 20_000), (64, 20_000)])
-def test_line_dedup(spark, monkeypatch, first, few):
+@pytest.mark.parametrize(("first", "few", "wide"), [(1, 0, 40), (1, 20_000, 3), (1024, 20_000, 5)])
+def test_line_dedup(spark, monkeypatch, first, few, wide):
     """With few candidates at first, lines stay open, which a scan settles, or a second join where they are many."""
     monkeypatch.setattr(line_dedup, "FIRST", first)
     monkeypatch.setattr(line_dedup, "OPEN_LINES", few)
+    monkeypatch.setattr(line_dedup, "WIDE", wide)
+    monkeypatch.setattr(line_dedup, "PARTNERS", 1 if wide == 3 else 2_000)
     rows = near_lines()
     want = plain_removed(rows)
     assert want
@@ -51,6 +53,19 @@ def test_line_dedup(spark, monkeypatch, first, few):
         assert (found[d].text, found[d].n_removed) == ("\n".join(stay), len(t.split("\n")) - len(stay))
 
 
+def test_known_lines():
+    """A line counts as met only where an equal one of an earlier place was posted."""
+    known = line_dedup._Known()
+    one = lambda *rows: [np.array(c, k) for c, k in zip(zip(*rows, strict=True), (np.uint64, np.int64, np.int64, np.int64), strict=True)]
+    meet = lambda *rows: known.earlier(*one(*rows), np.ones(len(rows), bool)).tolist()
+    assert meet((5, 9, 0, 1), (6, 1, 0, 0), (7, 2, 0, 0)) == [False] * 3
+    assert meet((5, 8, 0, 0), (6, 3, 0, 0)) == [False] * 2
+    known.settle()
+    assert meet((5, 8, 0, 0), (5, 8, 0, 1), (5, 7, 5, 5), (6, 2, 0, 0), (7, 3, 0, 0)) == [False, True, False, True, False]
+    known.settle()
+    assert meet((5, 8, 0, 0), (5, 7, 5, 5), (6, 1, 0, 0), (7, 9, 0, 0)) == [True, False, False, False]
+
+
 def test_line_dedup_edges(spark):
     found = line_dedup.dedup_lines(frame(spark, clashes=True)).collect()
     assert len(found) == len(documents())
