@@ -215,9 +215,9 @@ def _post(shared, parts: int):
                     again = ~first[k]
                     post["token"][again] = mix(post["doc"][again].astype(np.uint64) + mix(post["line"][again].astype(np.uint64)))  # to any task
                     post["size"][again] = 0
-                    held.append(post)
+                    held.append({name: post[name].astype(kind) for name, kind in _COLUMNS})
                     n += len(k)
-                if n >= 1_500_000:
+                if n >= 1_000_000:
                     yield flush()
                     held, n = [], 0
                     known.settle()
@@ -309,8 +309,8 @@ def _pairs(first: int | None, only: np.ndarray | None):
                 active, start, count = active[more], start[more], count[more]
                 if not len(active):
                     break
-                for k in range(0, len(active), 1 << 20):
-                    x, y = active[k : k + (1 << 20)], start[k : k + (1 << 20)] + j
+                for k in range(0, len(active), 1 << 18):
+                    x, y = active[k : k + (1 << 18)], start[k : k + (1 << 18)] + j
                     both, nx, ny = size[x] + size[y], size[x], size[y]
                     need = (NUM * both + NUM + DEN - 1) // (NUM + DEN)
                     fit = np.flatnonzero((DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)) & (np.minimum(nx - place[x], ny - place[y]) >= need))
