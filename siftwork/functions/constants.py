@@ -99,3 +99,36 @@ LAYERS = (
     ("presentation", ("view", "component", "page", "screen", "widget", "ui", "template")),
     ("test", ("test", "spec", "mock", "stub", "fixture")),
 )
+
+# --- fixed values: kinds of content, in the order they are asked; pattern and the characters at the start it is sought in (None: all) ---
+CONTENT_SIGNS = (
+    ("json", r"\A\s*[{\[]", None),
+    ("xml", r"\A\s*<", None),
+    ("markdown", r"(?m)^#{1,6}\s", 500),
+    ("log", r"(?m)^\d{4}[-/]\d{2}|^\[?\d{2}:\d{2}|^(DEBUG|INFO|WARN|ERROR)", 500),
+    ("csv", None, None),
+    ("table", None, None),
+    ("email", r"(?m)^(From|To|Subject|Date):\s", 500),
+    ("legal", r"(?i)whereas|hereby|hereinafter|pursuant|notwithstanding", 2000),
+    ("stacktrace", r"(?m)(Traceback|Exception|at\s+\S+\.\S+\(|^\s+at\s)", 1000),
+)
+MAIL_HEADERS = ("From", "To", "Cc", "Bcc", "Subject", "Date", "Reply-To")
+FAULT_WORDS = ("Exception", "Error", "Caused by", "Traceback", "panic")
+
+# --- fixed values: words without weight in summaries ---
+SUMMARY_STOP_WORDS = (
+    "the", "be", "to", "of", "and", "in", "that", "have", "it", "for", "not", "on", "with", "he", "as", "you", "do", "at", "this", "but",
+    "his", "by", "from", "they", "we", "say", "her", "she", "or", "an", "will", "my", "one", "all", "would", "there", "their", "what", "so", "up",
+    "out", "if", "about", "who", "get", "which", "go", "me", "when", "make", "can", "like", "time", "no", "just", "him", "know", "take", "people", "into",
+    "year", "your", "good", "some", "could", "them", "see", "other", "than", "then", "now", "look", "only", "come", "its", "over", "think", "also", "back", "after",
+    "use", "two", "how", "our", "work", "first", "well", "way", "even", "new", "want", "because", "any", "these", "give", "day", "most", "us", "is", "are",
+    "was", "were", "been", "has", "had", "did", "does", "am",
+)
+
+# --- fixed values: the bits of a fingerprint that make the key of each LSH table, and how many low bits of a key are flipped when probing ---
+LSH_PLACES = (
+    (0, 19, 20, 21, 40, 41, 42, 61, 62, 63), (2, 3, 4, 5, 24, 25, 26, 45, 46, 47), (7, 8, 9, 10, 29, 30, 31, 50, 51, 52), (12, 13, 14, 15, 34, 35, 36, 55, 56, 57),
+    (17, 18, 19, 20, 39, 40, 41, 60, 61, 62), (1, 2, 3, 22, 23, 24, 25, 44, 45, 46), (6, 7, 8, 27, 28, 29, 30, 49, 50, 51), (11, 12, 13, 32, 33, 34, 35, 54, 55, 56),
+    (16, 17, 18, 37, 38, 39, 40, 59, 60, 61), (0, 1, 2, 21, 22, 23, 42, 43, 44, 45), (5, 6, 7, 26, 27, 28, 47, 48, 49, 50), (10, 11, 12, 31, 32, 33, 52, 53, 54, 55),
+)
+LSH_FLIPS = 3

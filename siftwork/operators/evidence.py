@@ -11,29 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from ..functions.constants import LSH_FLIPS, LSH_PLACES
+
 
 def bit_key(value: Column, places: tuple[int, ...]) -> Column:
     """The bits at some places, as a number."""
     return reduce(lambda a, b: a + b, [F.shiftleft(F.shiftrightunsigned(value, p).bitwiseAND(1), k) for k, p in enumerate(places)])
 
 
-def lsh_places(tables: int = 12, bits: int = 10) -> list[tuple[int, ...]]:
-    """Distinct bit places of each table, by a multiplicative rule."""
-    out = []
-    for t in range(tables):
-        taken: list[int] = []
-        for b in range(bits):
-            p = (t * 0x9E3779B1 + b * 0x85EBCA6B) % 64
-            while p in taken:
-                p = (p + 1) % 64
-            taken.append(p)
-        out.append(tuple(taken))
-    return out
-
-
-def lsh_candidates(index: DataFrame, queries: DataFrame, key: str = "doc_id", flips: int = 3) -> DataFrame:
+def lsh_candidates(index: DataFrame, queries: DataFrame, key: str = "doc_id", flips: int = LSH_FLIPS) -> DataFrame:
     """Rows (query, candidate): ids that share a table's key with a query, its first bits flipped one at a time too."""
-    places = lsh_places()
+    places = LSH_PLACES
     filed = index.select(F.col(key).alias("candidate"), F.posexplode(F.array(*[bit_key(F.col("simhash"), p) for p in places])).alias("table", "slot"))
     probes = F.array(*[F.struct(F.lit(t).alias("table"), bit_key(F.col("simhash"), p).bitwiseXOR(F.lit(0 if f < 0 else 1 << f)).alias("slot")) for t, p in enumerate(places) for f in range(-1, flips)])
     asked = queries.select(F.col(key).alias("query"), F.inline(probes))

@@ -31,14 +31,14 @@ def conv11(spark, sf):
 
 @query("conv12_compress_documents")
 def conv12(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", compress.compress_text("text").alias("short"))
+    d = table(spark, sf, "documents").select("doc_id", "text", compress.compress_text(F.col("text")).alias("short"))
     return d.select("doc_id", F.length("text").alias("before"), F.length("short").alias("after"), F.md5("short").alias("digest"))
 
 
 @query("conv15_universal_compress")
 def conv15(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.regexp_replace("html", "><", ">\n<").alias("t"))
-    return p.select("page_id", compress.type_of("t").alias("kind"), F.md5(compress.compress_text("t")).alias("digest"))
+    return p.select("page_id", compress.content_type(F.col("t")).alias("kind"), F.md5(compress.compress_text(F.col("t"))).alias("digest"))
 
 
 @query("conv20_compress_xml")

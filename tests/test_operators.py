@@ -1,6 +1,8 @@
 """Properties of operators whose results SQL does not give."""
 
 import json
+import math
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
@@ -67,23 +69,66 @@ def test_pagerank_and_components(spark):
     assert labels == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 7}
 
 
-def test_content_types_and_compression():
-    kinds = {
-        '{"a": [1, 2, 3], "b": "text"}': "json", "<html><body>text</body></html>": "xml", "# Title\n\nSome text below it": "markdown",
-        "2024-01-01 10:00:00 INFO started": "log", "From: a@b.c\nSubject: hello there": "email", "Whereas the party of the first part": "legal",
-        "short": "prose", "Nothing of note stands in this sentence.": "prose",
-    }
-    for text, kind in kinds.items():
-        assert compress.content_type(text) == kind
+KINDS = {
+    '{"a": [1, 2, 3], "b": "text"}': "json", "<html><body>text</body></html>": "xml", "# Title\n\nSome text below it": "markdown",
+    "2024-01-01 10:00:00 INFO started": "log", "From: a@b.c\nSubject: hello there": "email", "Whereas the party of the first part": "legal",
+    "short": "prose", "Nothing of note stands in this sentence.": "prose", "a,b,c\n" + "\n".join(f"{k},x,y" for k in range(50)): "csv",
+    "a | b | c\n--|--|--\n1 | 2 | 3\n4 | 5 | 6": "table", "Traceback (most recent call last):": "stacktrace",
+}
+
+
+def test_content_types(spark):
+    df = spark.createDataFrame([*KINDS.items(), (None, None)], "t string, kind string")
+    assert all(r.found == r.kind for r in df.withColumn("found", compress.content_type(F.col("t"))).collect())
+
+
+def plain_summary(text, ratio=0.3):
+    """All gains anew for each choice."""
+    s = compress.sentences_of(text)
+    if len(s) <= 3:
+        return text
+    bags = [Counter(compress.terms(x)) for x in s]
+    df = Counter(w for b in bags for w in b)
+    vec = [{w: (1 + math.log(c)) * math.log(len(s) / df[w]) for w, c in b.items()} for b in bags]
+    got, covered = [], {}
+    for _ in range(max(3, min(100, int(len(s) * ratio)))):
+        gains = [(sum(max(0.0, v - covered.get(w, 0.0)) for w, v in vec[k].items()) * (1.3 if k < 3 else 1.1 if k >= len(s) - 2 else 1.0), -k) for k in range(len(s)) if k not in got]
+        if not gains or max(gains)[0] <= 0:
+            break
+        k = -max(gains)[1]
+        got.append(k)
+        for w, v in vec[k].items():
+            covered[w] = max(covered.get(w, 0.0), v)
+    return "\n".join(s[k] for k in sorted(got))
+
+
+def test_summary_is_the_greedy_one(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect() if r.text and len(r.text) < 20_000]
+    texts += [" ".join(f"Sentence number {k} speaks of topic{k % 7} and thing{k}." for k in range(40)), "", "A. B. C.", "One short text. Two short texts. Three short texts. Four short texts."]
+    assert any(plain_summary(t) != t for t in texts)
+    for t in texts:
+        assert compress.summarise(t) == plain_summary(t)
+
+
+def test_compression_by_kind():
     rows = "a,b,c\n" + "\n".join(f"{k},x,y" for k in range(50))
-    assert compress.csv(rows).endswith("[... 45 more rows, 3 columns]") and compress.content_type(rows) == "csv"
-    trace = "Traceback\n" + "\n".join(f"  File x.py:{k}" for k in range(30)) + "\nValueError: no"
-    assert compress.stacktrace(trace).count("File x.py") == 1
-    assert json.loads(compress.json_text(json.dumps([{"k": "v" * 60}] * 40)))[1] == "... (40 items)"
-    log = "\n".join(f"2024-01-01 10:00:{k:02d} same message" for k in range(20))
-    assert compress.log(log).endswith("(×20)")
+    assert compress.csv(rows).endswith("[... 45 more rows, 3 columns]")
+    trace = "Traceback\n" + "\n".join(f"  File x.py:{k}" for k in range(30)) + "\n  at Error:1\n  at Error:2\nValueError: no"
+    assert compress.stacktrace(trace) == "Traceback\n  File x.py:0\n  at Error:1\n  at Error:2\nValueError: no\n  [1 repeated frames deduplicated]"
+    assert json.loads(compress.json_text(json.dumps([{"k": "v" * 60}] * 40)).split("\n", 1)[1])[1] == "... (40 items)"
+    assert compress.json_schema({"a": [1.5, 2], "b": None, "c": True, "d": []}) == {"a": ["<float>", "... (2 items)"], "b": "NoneType", "c": True, "d": []}
+    log = "\n".join(f"2024-01-01 10:00:{k:02d} same message" for k in range(20)) + "\n\nother"
+    assert compress.log(log) == "2024-01-01 10:00:00 same message  [×20]\nother"
     prose = " ".join(f"Sentence number {k} speaks of topic{k} and thing{k}." for k in range(40))
-    assert len(compress.compress(prose)) < 0.5 * len(prose) and compress.compress("tiny") == "tiny"
+    assert len(compress.compress(prose, "prose")) < 0.5 * len(prose) and compress.compress("tiny", "prose") == "tiny"
+    mail = "From: a\nTo: b\n\n" + "\n".join(f"line {k}" for k in range(9)) + "\n--- Original Message\nx1\n\ny1\n\ny2"
+    assert compress.email(mail) == "From: a\nTo: b\n\nline 0\nline 1\nline 2\nline 3\nline 4\n  [...]\n--- Original Message\nx1\n\ny1\n\ny2"
+    page = "intro\n\nmore\n# A\na1\n\na2\na3\na4\na5\n## B\n\nb1\n" + "b\n" * 60
+    assert compress.markdown(page) == "intro\n\nmore\n# A\na1\n\na2\na3\n## B\n\nb1\nb\nb"
+    tree = "<a>\n<b>\n<c>\n<d>\n<e>\n<f>\ndeep\n</f>\n</e>\n</d>\n</c>\n<x/>\n</b>\n</a>"
+    assert compress.xml(tree) == "<a>\n<b>\n<c>\n<d>\n        <!-- ... content compressed ... -->\n</d>\n</c>\n<x/>\n</b>\n</a>"
+    bars = "top\n" + "\n".join(f"| {k} |" for k in range(9)) + "\nend"
+    assert compress.table(bars) == "top\nend\n| 0 |\n| 1 |\n| 2 |\n| 3 |\n| 4 |\n| ... 4 more rows ... |"
 
 
 def test_information_edges(spark):
