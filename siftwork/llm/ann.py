@@ -81,7 +81,8 @@ def _rank(k: int):
                 s[qid[at : at + 32][:, None] == vid] = -np.inf
                 # every candidate that may be among the k best, whatever the rounding of the product; then the
                 # sums in one order for all, so that equal vectors tie and the smaller id goes first
-                least = np.partition(s, -k, axis=1)[:, -k] - 1e-9 if s.shape[1] > k else np.full(len(s), -np.finfo(float).max)
+                slack = 1e-13 * x.shape[1] * np.linalg.norm(q[at : at + 32], axis=1) * np.linalg.norm(x, axis=1).max()
+                least = np.partition(s, -k, axis=1)[:, -k] - slack if s.shape[1] > k else np.full(len(s), -np.finfo(float).max)
                 row, col = np.nonzero(s >= least[:, None])
                 exact = (q[at + row] * x[col]).sum(axis=1)
                 order = np.lexsort((vid[col], -exact, row))

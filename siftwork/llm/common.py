@@ -16,11 +16,14 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary folder of this process is used.
+    Only where a local session names none, as in tests, a temporary folder of this process is used; on a
+    cluster, whose executors do not see it, that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="siftwork-")
@@ -41,8 +44,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Arrow batches are limited by bytes, so that very long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Arrow batches are limited by bytes, so that very long texts do not pile up in a Python worker.
+
+    A smaller limit that the session has already, from its user or from an operator planned before, stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > mb << 20:
+        spark.conf.set(name, str(mb << 20))
 
 
 def components(edges: DataFrame) -> DataFrame:

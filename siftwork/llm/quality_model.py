@@ -102,7 +102,8 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, train_docs: int
     """
     bounded_batches(docs.sparkSession)
     some = labels.where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
+    # of texts that share an id the one of the smallest hash, so that the model is the same in every run
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
     rows = picked.repartition(1).sortWithinPartitions("doc_id").select("text", "label").mapInArrow(_trainer(bits), "vectors binary, weights binary, bias binary").collect()
     if not rows:
         return None

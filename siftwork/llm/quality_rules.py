@@ -15,8 +15,8 @@ from .scan import _LEAD, _SPACE, Counts, hashes, lines, mix, per_document, piece
 
 #: log2 of the number of hashed n-grams; the tables of counts have this fixed size at any scale.
 BITS = 18
-#: Trusted documents that the target multinomial is fitted on, at most: those of the smallest hashes of doc_id.
-TARGET_DOCS = 20_000
+#: Trusted documents up to which their ids are broadcast; more are joined by shuffle. Both count all of them.
+BROADCAST_DOCS = 1_000_000
 #: Mean log-likelihood ratio per n-gram, in nats, from which a document is kept.
 THRESHOLD = -0.25
 #: Counts of the flat prior beside each bucket's target count.
@@ -72,18 +72,18 @@ def _count_batches(bits: int):
     return run
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS, target_docs: int = TARGET_DOCS) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndarray:
     """log p(target) - log p(raw) of each bucket.
 
-    raw counts every n-gram of every document. target counts those of trusted (column doc_id): of at most
-    `target_docs` of them, which bounds what is broadcast. Both multinomials are smoothed by the same flat
+    raw counts every n-gram of every document, target those of all trusted ones (column doc_id). Both multinomials are smoothed by the same flat
     prior, worth PRIOR counts a bucket beside the target's counts and as much more beside the raw ones as
     there are more of these, so that rare n-grams tell little however small the target is. Only the table
     of 2**bits counts reaches the driver.
     """
     bounded_batches(docs.sparkSession)
-    some = trusted.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    marked = docs.select("doc_id", "text").join(F.broadcast(some.withColumn("trusted", F.lit(True))), "doc_id", "left").select("text", "trusted")
+    some = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
+    few = some.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
+    marked = docs.select("doc_id", "text").join(F.broadcast(some) if few else some, "doc_id", "left").select("text", "trusted")
     counts = marked.mapInArrow(_count_batches(bits), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     table = counts.toArrow()
@@ -153,7 +153,7 @@ def _measure_batches(shared, bits: int):
     return run
 
 
-def scored(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bits: int = BITS, target_docs: int = TARGET_DOCS) -> DataFrame:
+def scored(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept.
 
     A document fails the base rules with fewer than 20 words or with over 30 % of its words in 8-word windows
@@ -164,7 +164,7 @@ def scored(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bi
     spark = docs.sparkSession
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     docs = docs.drop(*new, "llr", "base_failed", "kept")
-    ratios = log_ratios(docs, trusted, bits, target_docs)
+    ratios = log_ratios(docs, trusted, bits)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, T.LongType()) for k in new], T.StructField("llr", T.DoubleType())])
     out = docs.mapInArrow(_measure_batches(spark.sparkContext.broadcast(ratios), bits), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))

@@ -73,9 +73,12 @@ def document_fingerprints(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(width), f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint")
 
 
-def _segments(distance: int) -> list[tuple[int, int]]:
-    """(shift, bits) of distance + 1 segments of 64 bits: of two fingerprints within the distance, one is equal."""
-    m = distance + 1
+#: Fingerprints that a key of the join should have, on average at most, and segments of the ring at most.
+PER_KEY, MOST_SEGMENTS = 16, 32
+
+
+def _segments(m: int) -> list[tuple[int, int]]:
+    """(shift, bits) of m segments of 64 bits."""
     sizes = [64 // m + (k < 64 % m) for k in range(m)]
     return [(sum(sizes[:k]), n) for k, n in enumerate(sizes)]
 
@@ -84,26 +87,47 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(prints: DataFrame, distance: int = 2, hot: int = 2000) -> DataFrame:
+def _chain(parts: list[tuple[int, int]], start: int, length: int) -> int:
+    """The mask of `length` consecutive segments of the ring from `start` on."""
+    return sum(((1 << n) - 1) << at for at, n in (parts[(start + k) % len(parts)] for k in range(length)))
+
+
+def ring(n: int, distance: int) -> tuple[int, int]:
+    """(segments, segments that must be equal) for n fingerprints.
+
+    A chain of l segments may have l * distance / segments differences, so the longest chain that may have
+    none is the join's key. With more segments it has more bits: 21 of 64 for distance 2 and three segments,
+    24 for eight, 30 for 32. The ring is the first of these whose keys have few fingerprints on average.
+    """
+    m = distance + 1
+    while True:
+        equal = -(-m // distance) - 1 if distance else m
+        bits = min(bin(_chain(_segments(m), s, equal)).count("1") for s in range(m))
+        if n <= PER_KEY << bits or 2 * m > MOST_SEGMENTS:
+            return m, equal
+        m = 8 if m < 8 else 2 * m
+
+
+def links(prints: DataFrame, distance: int = 2, hot: int = 2000, segments: int | None = None) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp), so that their components are those of all pairs within the distance.
 
-    Pigeonring: the 64 bits form a ring of distance + 1 segments. If two fingerprints differ in at most
-    `distance` bits, a segment exists from which every chain of l consecutive segments has at most
-    l * distance / (distance + 1) differences. The first segment of the chain must hence be equal, which is
-    the join's key; longer chains are checked before the full distance.
+    Pigeonring: the 64 bits form a ring of segments. If two fingerprints differ in at most `distance` bits, a
+    segment exists from which every chain of l consecutive segments has at most l * distance / segments
+    differences. The first segments of the chain, as far as that allows none, must hence be equal, which is
+    the join's key; longer chains are checked before the full distance. There are as many segments as keep
+    the keys narrow at the number of fingerprints (`ring`), unless they are given.
 
-    A key with more than `hot` fingerprints gives no pairs. There, for distance 2, two fingerprints are
-    linked through what both reach by flipping at most one bit outside the segment (which holds for
-    exactly those within distance 2), each to the smallest one that reaches it: the work stays linear,
-    and the components are the same. For other distances pairs are joined in every bucket.
+    What is left above `hot` fingerprints in a key are groups of near copies, and these give no pairs. There,
+    for distance 2, two fingerprints are linked through what both reach by flipping at most one bit outside
+    the key (which holds for exactly those within distance 2), each to the smallest one that reaches it: the
+    work stays linear, and the components are the same. For other distances pairs are joined in every key.
     """
-    parts = _segments(distance)
-    m = len(parts)
-    masks = [_signed(((1 << n) - 1) << at) for at, n in parts]
-    keyed = prints.select(
-        "fp",
-        F.posexplode(F.array(*[F.shiftrightunsigned("fp", at).bitwiseAND((1 << n) - 1) for at, n in parts])).alias("segment", "value"),
-    )
+    m, equal = ring(prints.count(), distance)
+    if segments:
+        m, equal = segments, (-(-segments // distance) - 1 if distance else segments)
+    parts = _segments(m)
+    masks = [_signed(_chain(parts, start, equal)) for start in range(m)]
+    keyed = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(x)) for x in masks])).alias("segment", "value"))
     keyed = written(keyed, "segments")
     sizes = keyed.groupBy("segment", "value").agg(F.count("*").alias("n"))
     if distance == 2:
@@ -116,13 +140,10 @@ def links(prints: DataFrame, distance: int = 2, hot: int = 2000) -> DataFrame:
     chains = F.lit(True)
     for start in range(m):
         held = F.lit(True)
-        for length in range(2, m):
-            mask = 0
-            for k in range(length):
-                mask |= masks[(start + k) % m] & ((1 << 64) - 1)
-            held = held & (F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) <= length * distance // m)
+        for length in range(equal + 1, m):
+            held = held & (F.bit_count(differ.bitwiseAND(F.lit(_signed(_chain(parts, start, length))))) <= length * distance // m)
         chains = chains & (held | (F.col("a.segment") != start))
-    pairs = a.join(b, (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp")) & chains & (F.bit_count(differ) <= distance))
+    pairs = a.join(b, (F.col("a.segment") == F.col("b.segment")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.fp") < F.col("b.fp")) & (F.bit_count(differ) <= distance) & chains)
     pairs = pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if distance != 2:
         return pairs.distinct()
@@ -155,18 +176,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, distance: int = 2) -> DataF
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, distance: int = 2) -> DataFrame:
-    """docs without the near-duplicates: of each component the row of the smallest doc_id stays.
-
-    Rows repeated with one doc_id are one document, of which one row stays. Rows without a doc_id cannot be
-    told apart by it: one row of each text stays.
-    """
-    groups = near_duplicates(docs, width, distance)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = near_duplicates(docs, width=3, distance=2)

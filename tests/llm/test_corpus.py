@@ -7,10 +7,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siftwork.llm import ann, line_dedup, mixing, token_shards, warc
+import corpus_pipeline
+from siftwork.llm import ann, line_dedup, mixing, pieces, quality_rules, token_shards, warc
 
 from .common import WORDS, documents, frame, prose
+from .test_near_copies import plain_kept
 
 
 def plain_removed(rows):
@@ -161,8 +164,6 @@ def test_nearest_edges(spark):
     rows = [(k, [float(x) for x in rng.normal(size=5) * (1 + k % 3)], "x") for k in range(30)]
     rows += [(40, rows[0][1], "x"), (41, rows[0][1], "x"), (41, rows[0][1], "x"), (42, None, "x"), (43, [0.0] * 5, "x"), (44, [1.0, None, 0.0, 0.0, 0.0], "x"), (45, [float("nan")] * 5, "x"), (46, [float("inf")] * 5, "x"), (47, [1.0], "x"), (None, rows[1][1], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket string")
-    from pyspark.sql import functions as F
-
     for block in (3, 4000):
         found = ann.nearest(df, F.col("id") % 20 == 0, k=50, tables=8, probes=16, block=block).collect()
         good = {k: np.array(v) for k, v, _ in rows[:33]}
@@ -195,9 +196,72 @@ def test_mixing_joins_many_sources_alike(spark, monkeypatch):
     assert sorted(map(str, mixing.mix(docs).select("doc_id", "source", "copy").collect())) == want
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline
+def test_mixing_edges(spark):
+    docs = frame(spark, [(None, prose(k, 20), "en", "a", 1) for k in range(400)] + [(None, "same", "en", "b", 1)] * 3)
+    mixed = mixing.mix(docs)
+    assert 300 < mixed.where("source = 'a'").count() < 500  # drawn one by one
+    assert mixed.where("source = 'b'").count() % 3 == 0
+    named = [("a", 1.0), ("a", 1.0), ("b", -5.0), (None, 3.0)]
+    found = {r.source: r.rate for r in mixing.rates(docs, spark.createDataFrame(named, "source string, weight double")).collect()}
+    assert len(found) == 2 and found["b"] == 0.0 and found["a"] > 0
+    assert mixing.mix(docs, spark.createDataFrame([("a", 0.0)], "source string, weight double")).count() == 0
+    keys = [r.shuffle_key for r in mixed.select("shuffle_key").collect()]
+    assert keys == sorted(keys)
+
+
+def plain_copies(rows):
+    """How often each (doc_id, source, text) is drawn, by plain sums of Poisson probabilities."""
+    size, out = {}, []
+    for _, source, text in rows:
+        size[source] = size.get(source, 0) + len(text or "")
+    weight = {s: n**mixing.ALPHA for s, n in size.items()}
+    for d, source, text in rows:
+        rate = weight[source] / sum(weight.values()) * sum(size.values()) / size[source] if size[source] else 1.0
+        parts = max(1, math.ceil(rate / mixing.PART))
+        for j in range(parts):
+            u = int(hashlib.md5(f"{mixing.SEED}:{d}:{j}".encode()).hexdigest()[:13], 16) / (1 << 52)
+            p, c = math.exp(-rate / parts), math.exp(-rate / parts)
+            k = 0
+            while c <= u:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            out += [(d, source, text)] * k
+    return out
+
+
+def test_pipeline_against_plain_stages(spark, sf, tmp_path):
+    """All five stages on a small corpus, against plain Python from the quality verdicts on."""
+    rng, rows = random.Random(5), []
+    shared = prose(900, 30)
+    for d in range(40):
+        text = [prose(1000 + 5 * d + j, rng.randint(25, 60)) for j in range(rng.randint(1, 3))]
+        if d % 3 == 0:
+            text.append(shared)
+        rows.append((d, "\n".join(text), "en", "ab"[d % 5 == 0], 1))
+    for d in range(40, 50):
+        words = rows[d - 40][1].split(" ")
+        words[len(words) // 2] = f"new{d}"
+        rows.append((d, " ".join(words), "en", "a", 1))
+    rows += [(60, None, "en", "a", 0), (61, "too short", "en", "a", 0), (62, "la la la la " * 30, "en", "b", 1)]
+    frame(spark, rows).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, 1, 0) for d in range(50)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    judged = quality_rules.scored(frame(spark, rows), quality_rules.trusted_ids(spark, str(tmp_path))).collect()
+    kept = {r.doc_id for r in judged if r.kept}
+    assert 60 not in kept and 61 not in kept and 62 not in kept and len(kept) > 40
+    docs = [(d, t, s) for d, t, _, s, _ in rows if d in kept]
+    gone = plain_removed([(d, t) for d, t, _ in docs])
+    assert gone
+    docs = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone), s) for d, t, s in docs]
+    stay = plain_kept([(d, t) for d, t, _ in docs])
+    assert len(stay) < len(docs)
+    encode = pieces.Encoder(pieces.load())
+    want = sorted((d, s, np.frombuffer(encode.encode(t), np.int32).tolist()) for d, s, t in plain_copies([(d, s, t) for d, t, s in docs if d in stay]))
+    found = sorted((r.doc_id, r.source, list(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert found == want and len(want) > 20
 
+
+def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -206,7 +270,11 @@ def test_pipeline(spark, sf):
         before = after
     last = corpus_pipeline.run(spark, sf)
     assert last.count() == before.count() > 0
-    tiny = frame(spark)
-    for _, stage in corpus_pipeline.STAGES:
-        tiny = stage(spark, tiny, sf)
-    tiny.collect()
+    for tiny in (frame(spark, clashes=True).withColumn("n_removed", F.lit("mine")), frame(spark, [])):
+        columns = tiny.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            tiny = stage(spark, tiny, sf)
+            assert tiny.columns == columns, name
+        if "kept" in columns:
+            assert {(r.kept, r.copy, r.n_removed, r.shuffle_key) for r in tiny.collect()} == {("x", "x", "mine", "x")}
+        corpus_pipeline.encoded(spark, tiny, sf).collect()

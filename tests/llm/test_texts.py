@@ -1,6 +1,7 @@
 """SimHash, quality rules, secrets, the classifier and pieces against plain Python."""
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -79,12 +80,31 @@ def test_links_have_all_components(spark, hot):
     assert {v: root(v) for v in signed} == groups
 
 
-def test_keep_one(spark):
-    kept = simhash.keep_one(frame(spark), width=5).collect()
-    ids = [r.doc_id for r in kept]
-    assert {0, 1, 2, 3, 5} <= set(ids) and 10 not in ids and ids.count(3) == 1
-    assert sum(not (r.text or "").split() for r in kept) == 1
-    assert simhash.keep_one(frame(spark, [])).count() == 0
+@pytest.mark.parametrize("segments", [8, 16, 32])
+@pytest.mark.parametrize("hot", [4, 10_000])
+def test_links_of_narrow_keys(spark, segments, hot):
+    """More segments have wider keys, of which several segments must be equal, and link the same fingerprints."""
+    rng = np.random.default_rng(4)
+    values = {int(x) for x in rng.integers(0, 1 << 63, 6, dtype=np.uint64)}
+    for b in list(values):
+        for flips in (1, 1, 1, 2, 2, 2, 3, 4):
+            values.add(b ^ sum(1 << int(k) for k in rng.choice(64, flips, replace=False)))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, hot, segments).collect()
+    close = {(a, b) for a in signed for b in signed if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+    found = {tuple(sorted((e.a, e.b))) for e in edges}
+    assert found <= close and (hot < 100 or found == close)
+    groups = plain_components({v: v & (1 << 64) - 1 for v in signed}, 2)
+    linked = {v: v for v in signed}
+    for _ in signed:
+        for a, b in found:
+            linked[a] = linked[b] = min(linked[a], linked[b])
+    assert linked == groups
+
+
+def test_ring_grows_with_the_fingerprints():
+    assert simhash.ring(10**6, 2) == (3, 1) and simhash.ring(10**8, 2) == (8, 3) and simhash.ring(10**9, 2) == (16, 7)
+    assert simhash.ring(10**14, 2) == (32, 15)
 
 
 def plain_measures(text):
@@ -118,6 +138,42 @@ def test_quality_rules(spark):
     assert all(r.llr == 0 for r in quality_rules.scored(frame(spark), trusted.limit(0)).collect())
 
 
+def plain_ngrams(text):
+    """Names of a text's n-grams: words, pairs (one for all words said twice), and 4 bytes in a row."""
+    words, data = WORDS.findall(text), text.encode()
+    pairs = [("twice",) if a == b else (a, b) for a, b in zip(words, words[1:], strict=False)]
+    return [("word", w) for w in words] + [("pair", *p) for p in pairs] + [("bytes", data[i : i + 4]) for i in range(len(data) - 3)]
+
+
+def test_quality_ratio_is_that_of_the_multinomials(spark, monkeypatch):
+    """Every document's ratio from counts by name, where no two n-grams share a bucket; both joins of trusted ids."""
+    texts = {k: " ".join(f"{a}{(k * 7 + j * j) % 9}" for j in range(25)) for k, a in enumerate("xyzxyz")} | {7: "", 8: "x1 x1 x1"}
+    rows = [(k, t, "en", "a", 1) for k, t in texts.items()] + [(0, texts[0], "en", "a", 1)]
+    names = {}
+    for t in texts.values():
+        b, off = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
+        starts, ends = quality_rules.words(b, off)
+        found = [x for buckets, _ in quality_rules.ngrams(b, off, starts, quality_rules.hashes(b, starts, ends), 22) for x in buckets.tolist()]
+        for name, bucket in zip(plain_ngrams(t), found, strict=True):
+            assert names.setdefault(name, bucket) == bucket
+    trusted = {0, 1, 2}
+    raw, target = {}, {}
+    for k, t, *_ in rows:
+        for g in plain_ngrams(t):
+            raw[names[g]] = raw.get(names[g], 0) + 1
+            target[names[g]] = target.get(names[g], 0) + (k in trusted)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + quality_rules.PRIOR) / (raw[g] * share + quality_rules.PRIOR)) for g in raw}
+    df, ids = frame(spark, rows), spark.createDataFrame([(0,), (1,), (2,), (99,)], "doc_id long")
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST_DOCS", limit)
+        for r in quality_rules.scored(df, ids, bits=22, threshold=0.0).collect():
+            grams = plain_ngrams(texts[r.doc_id])
+            want = sum(ratio[names[g]] for g in grams) / max(1, len(grams))
+            assert abs(r.llr - want) < 1e-5
+            assert abs(want) < 1e-5 or r.kept == (not r.base_failed and want >= 0)
+
+
 def test_quality_rules_drop_junk(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -131,6 +187,36 @@ def test_classifier_held_out(spark, sf):
     assert rows and sum(r.predicted == r.quality for r in rows) >= 0.9 * len(rows)
 
 
+def test_classifier_is_plain_descent_and_averages(spark):
+    """The gradients against differences of the loss, and scores against averages of vectors, one document at a time."""
+    rng = np.random.default_rng(0)
+    docs = [(np.unique(rng.integers(0, 16, 6)).astype(np.int32),) for _ in range(8)]
+    docs = [(ids, np.full(len(ids), 1 / len(ids), np.float32)) for (ids,) in docs]
+    labels = np.array([0, 1, 0, 1, 1, 0, 1, 0])
+
+    def loss(m):
+        total = 0.0
+        for (ids, w), y in zip(docs, labels, strict=True):
+            z = m.weights @ (m.vectors[ids] * w[:, None]).sum(0) + m.bias
+            total += np.log(np.exp(z).sum()) - z[y]
+        return total / len(docs)
+
+    start = quality_model.fit(docs, labels, bits=4, dim=3, epochs=1, rate=0.0)
+    end = quality_model.fit(docs, labels, bits=4, dim=3, epochs=200, rate=1.0)
+    assert loss(end) < 0.5 * loss(start)
+    texts = {r[0]: r[1] or "" for r in documents() if r[0] is not None}
+    model = quality_model.train(frame(spark), spark.createDataFrame([(0, 1), (1, 1), (16, 0), (15, 0), (18, 0)], "doc_id long, label int"))
+    for r in quality_model.score(frame(spark), model).collect():
+        if r.doc_id is not None:
+            b = np.frombuffer(texts[r.doc_id].encode(), np.uint8)
+            grams = quality_model.features(b, np.array([0, len(b)]))[0]
+            mean = model.vectors[grams].mean(0) if len(grams) else np.zeros(model.vectors.shape[1])
+            z = model.weights @ mean + model.bias
+            assert abs(r.score - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
+    again = quality_model.train(frame(spark).repartition(3), spark.createDataFrame([(0, 1), (1, 1), (16, 0), (15, 0), (18, 0)], "doc_id long, label int"))
+    assert all((a == b).all() for a, b in zip(model, again, strict=True))
+
+
 def test_classifier_edges(spark):
     docs = frame(spark, clashes=True)
     scores = quality_model.score(docs, None).collect()
@@ -156,7 +242,7 @@ def plain_secrets(text):
     return ",".join(x[2] for x in sorted(out))
 
 
-def test_secrets(spark):
+def test_secrets(spark, monkeypatch):
     texts = [
         None,
         "",
@@ -176,6 +262,9 @@ def test_secrets(spark):
     last = next(r for r in found if r.doc_id == 7)
     assert all(len(last[k]) == 1 for k in ("pem", "forge", "chat", "jwt"))
     assert secrets.scan(frame(spark, [])).count() == 0
+    monkeypatch.setattr(secrets, "BROADCAST_CANDIDATES", 0)
+    again = secrets.scan(frame(spark, rows, clashes=True)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
 
 
 def test_trigram_queries():
