@@ -13,6 +13,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
+
+#: Candidate documents up to which they are broadcast; more are joined by shuffle.
+BROADCAST_CANDIDATES = 500_000
+
 
 class Rule(NamedTuple):
     kind: str
@@ -167,8 +173,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     if found is None:
         df = docs.withColumn("_rules", F.array().cast("array<string>"))
     else:
-        found = found.select(F.col("doc_id").alias("_candidate"), F.col("rules").alias("_rules"))
-        df = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left").withColumn("_rules", F.coalesce("_rules", F.array().cast("array<string>")))
+        found = written(found.select(F.col("doc_id").alias("_candidate"), F.col("rules").alias("_rules")), "candidates")
+        few = found.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
+        df = docs.join(F.broadcast(found) if few else found, F.col("doc_id").eqNullSafe(F.col("_candidate")), "left").withColumn("_rules", F.coalesce("_rules", F.array().cast("array<string>")))
     df = df.withColumn("_body", F.coalesce("text", F.lit("")))
     for place, rule in enumerate(rules):
         df = _spans(df, rule, place, trigram_query(rule.pattern) is not None)
