@@ -15,9 +15,9 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, written
 from .scan import mix
@@ -26,6 +26,8 @@ from .scan import mix
 LENGTH, SHARD, END, ROUNDS, KEY = 2048, 4096, 50256, 6, 20240229
 #: Token ids in a row of the first table, and documents whose counts of ids set how rows are packed.
 BLOCK, PACK_DOCS = 1 << 17, 100
+#: Beginnings of stretches (a file's rows read by one task) up to which they are broadcast.
+BROADCAST_STRETCHES = 500_000
 
 
 def _keys(key: int) -> np.ndarray:
@@ -81,9 +83,18 @@ def _packing(docs: DataFrame, ranks) -> np.ndarray:
 
     Which documents are counted changes the size of the tables between the steps, and nothing else.
     """
-    encode, counts = _tiktoken(ranks), np.zeros(1 << 16, np.int64)
-    for row in docs.select("text").limit(PACK_DOCS).toLocalIterator():
-        counts += np.bincount(encode(row["text"] or ""), minlength=1 << 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, counts = _tiktoken(ranks), np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts += np.bincount(encode(text or ""), minlength=1 << 16)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["id", "n"])
+
+    table = docs.select("text").limit(PACK_DOCS).mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << 16, np.int64)
+    counts[np.asarray(table["id"])] = np.asarray(table["n"])
     return np.argsort(-counts, kind="stable").astype("<u2")
 
 
@@ -127,15 +138,14 @@ def _tokenizer(shared, end: int, block: int):
     return run
 
 
-def _cutter(places: dict, total: int, length: int, key: int, shard: int):
+def _cutter(total: int, length: int, key: int, shard: int):
     n = -(-total // length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for file, row, place, size, ids in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+            for start, size, ids in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
                 flat = _joined(unpack.decompress(ids))
-                start = places[file, row] + place
                 sequence = np.arange(start // length, (start + size - 1) // length + 1)
                 low, high = np.maximum(sequence * length, start), np.minimum((sequence + 1) * length, start + size)
                 slot = permute(sequence, n, key)
@@ -199,9 +209,10 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     an `end` alone, repeated rows repeat, other columns are not read, and an empty table gives no shard. Ids
     must fit 16 bits.
 
-    Texts are tokenised once, into a table of packed blocks. Where each task's stretches of the stream begin
-    is known from their sizes, of which the driver gets as many as it has scheduled scan tasks and files. One
-    shuffle then takes every sequence to the task of its range of slots.
+    Texts are tokenised once, into a table of packed blocks. Where a task's stretch of the stream begins is the
+    sum of the sizes before it: of its file, and of the files before, a row for each of which goes through one
+    task. The beginnings are broadcast where they are few, else joined. One shuffle then takes every sequence
+    to the task of its range of slots.
     """
     spark = docs.sparkSession
     bounded_batches(spark, 4)
@@ -209,14 +220,16 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     ranks = ranks or vocabulary()
     shared = spark.sparkContext.broadcast((ranks, _packing(docs, ranks)))
     blocks = written(_located(docs).mapInArrow(_tokenizer(shared, end, BLOCK), "file string, row bigint, place bigint, size bigint, ids binary"), "blocks")
-    stretches = blocks.groupBy("file", "row").agg(F.sum("size").alias("size")).collect()
-    places, total = {}, 0
-    for s in sorted(stretches, key=lambda s: (s["file"], s["row"])):
-        places[s["file"], s["row"]] = total
-        total += s["size"]
+    stretches = written(blocks.groupBy("file", "row").agg(F.sum("size").alias("size")), "stretches")
+    before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_files = stretches.groupBy("file").agg(F.sum("size").alias("size")).withColumn("base", before(Window.orderBy("file"))).drop("size")
+    begins = stretches.withColumn("begin", before(Window.partitionBy("file").orderBy("row"))).join(of_files, "file").select("file", "row", (F.col("base") + F.col("begin")).alias("begin"))
+    begins = written(begins, "begins")
+    total, n_stretches = stretches.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    placed = blocks.join(F.broadcast(begins) if n_stretches <= BROADCAST_STRETCHES else begins, ["file", "row"])
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
-    cut = blocks.mapInArrow(_cutter(places, total, length, key, shard), "shard bigint, slot bigint, at int, ids binary")
+    cut = placed.select(F.col("begin") + F.col("place"), "size", "ids").mapInArrow(_cutter(total, length, key, shard), "shard bigint, slot bigint, at int, ids binary")
     n_shards = max(1, -(-total // (length * shard)))
     ranged = cut.repartition(min(n_shards, 20_000), "shard").sortWithinPartitions("slot", "at")
     manifest = written(ranged.mapInArrow(_shard_writer(shared, folder, length, shard, end), "shard bigint, file string, slots bigint"), "manifest")
