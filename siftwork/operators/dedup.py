@@ -106,6 +106,7 @@ def nearest_earlier(prints: DataFrame, known: DataFrame, q_cuts: int, x_cuts: in
 
 
 def clone_type(distance: Column) -> Column:
+    """Type 1 up to 2 bits, type 2 up to 8, type 3 beyond."""
     return F.when(distance <= 2, "type1").when(distance <= 8, "type2").otherwise("type3")
 
 
@@ -134,3 +135,41 @@ def redundancy(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     r4 = F.when(F.col("n") >= 4, F.coalesce("r4", F.lit(0.0))).otherwise(r3)
     weighted = F.when(F.col("n") < 20, 0.55 * r2 + 0.35 * r3 + 0.10 * r4).when(F.col("n") < 100, 0.25 * r2 + 0.50 * r3 + 0.25 * r4).otherwise(0.15 * r2 + 0.35 * r3 + 0.50 * r4)
     return out.select(key, F.when(F.col("n") < 2, 0.0).otherwise(weighted).alias("redundancy"))
+
+
+def uniqueness(prints: DataFrame, sample: int = 50, key: str = "doc_id", value: str = "simhash") -> DataFrame:
+    """Rows (key, uniqueness) of the fragments behind a sample of the first ones: one less the greatest similarity to it.
+
+    A fingerprint of 0 tells nothing (0.5), and nor does an empty sample (0.7). The sample is bounded by its size.
+    """
+    first = prints.orderBy(key).limit(sample)
+    seen = first.agg(F.collect_list(value).alias("seen"), F.max(key).alias("last"))
+    rest = prints.crossJoin(F.broadcast(seen)).where(F.col("last").isNull() | (F.col(key) > F.col("last")))  # one row
+    near = F.array_max(F.transform("seen", lambda h: 1 - hamming(F.col(value), h) / 64))
+    return rest.select(key, F.when(F.col(value) == 0, 0.5).when(F.size("seen") == 0, 0.7).otherwise(1 - near).alias("uniqueness"))
+
+
+def pairs_within(prints: DataFrame, distance: int, key: str = "doc_id", value: str = "simhash", rows: int = 8_000) -> DataFrame:
+    """Pairs (a, b, distance) of the smallest ids of different fingerprints at most `distance` bits apart.
+
+    For distances at which no equal slice narrows the search: fingerprints meet in blocks of bounded size, each pair
+    of blocks in one task, so the work is shared however many there are. Copies are one fingerprint.
+    """
+    from .fragments import blocked
+
+    nodes = prints.groupBy(value).agg(F.min(key).alias("id"))
+    n = nodes.count()
+
+    def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": [], "b": [], "distance": []}).astype({"a": "int64", "b": "int64", "distance": "int32"})]
+        x, y = left[value].to_numpy(np.int64), right["other"].to_numpy(np.int64)
+        ids, others = left["id"].to_numpy(), right["other_id"].to_numpy()
+        for k in range(0, len(x), 256):
+            far = np.bitwise_count((x[k : k + 256, None] ^ y[None, :]).view(np.uint64))
+            r, c = np.nonzero((far <= distance) & (ids[k : k + 256, None] < others[None, :]))
+            out.append(pd.DataFrame({"a": ids[k + r], "b": others[c], "distance": far[r, c].astype(np.int32)}))
+        return pd.concat(out)
+
+    others = nodes.select(F.col(value).alias("other"), F.col("id").alias("other_id"))
+    a, b = blocked(nodes, others, rows, n, n, value, "other")
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "a long, b long, distance int")

@@ -83,10 +83,14 @@ def trimmed_mean(df: DataFrame, group: str, value: str, share: float = 0.1) -> D
 
 
 def contradictions(beliefs: DataFrame, gap: float = 0.4) -> DataFrame:
-    """Pairs (a, b) of beliefs (entity, id, confidence) on one entity whose confidences differ by more than the gap."""
-    a, b = beliefs.alias("a"), beliefs.alias("b")
-    far = F.abs(F.col("a.confidence") - F.col("b.confidence")) > gap
-    return a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.id") < F.col("b.id")) & far).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    """Rows (entity, low, high, pairs): confidences of beliefs on one entity that lie over the gap apart, and how many pairs these are.
+
+    Beliefs on an entity with one confidence are counted together first, so that no entity's beliefs are paired one by one.
+    """
+    n = beliefs.groupBy("entity", "confidence").agg(F.count("*").alias("n"))
+    a, b = n.alias("a"), n.alias("b")
+    far = F.col("b.confidence") - F.col("a.confidence") > gap
+    return a.join(b, (F.col("a.entity") == F.col("b.entity")) & far).select(F.col("a.entity").alias("entity"), F.col("a.confidence").alias("low"), F.col("b.confidence").alias("high"), (F.col("a.n") * F.col("b.n")).alias("pairs"))
 
 
 def classify_by_centroid(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:

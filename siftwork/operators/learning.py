@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,16 +82,31 @@ def online_weights(events: DataFrame, order: str, kinds: list[str], rate: float
     return sums.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "kind string, weight double")
 
 
-def mmd_squared(a: DataFrame, b: DataFrame, vector: str, width: float) -> DataFrame:
-    """One row: the squared maximum mean discrepancy under a Gaussian kernel, with the diagonal.
+def mmd_squared(cloud: DataFrame, key: str, vector: str, label: str, width: float, rows: int = 2_000) -> DataFrame:
+    """One row: the squared maximum mean discrepancy of labels 0 and 1 under a Gaussian kernel, with the diagonal.
 
-    Both are particle clouds, small by definition (they stand for a persona); the kernel is one row to all.
+    Kernel means are sums over blocks of vectors: each pair of blocks is one group of bounded size.
     """
-    cloud = lambda df, name: df.agg(F.collect_list(F.col(vector).cast("array<double>")).alias(name))
-    both = cloud(a, "x").crossJoin(cloud(b, "y"))  # one row each
-    kernel = lambda u, v: F.exp(-F.aggregate(F.zip_with(u, v, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, d: s + d) / (2 * width * width))
-    mean = lambda p, q: F.aggregate(p, F.lit(0.0), lambda s, u: s + F.aggregate(q, F.lit(0.0), lambda t, v: t + kernel(u, v))) / (F.size(p) * F.size(q))
-    return both.select((mean("x", "x") + mean("y", "y") - 2 * mean("x", "y")).alias("mmd"))
+    from .fragments import blocked
+
+    some = cloud.where(F.col(label).isin(0, 1)).select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    n = some.count()
+
+    def run(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p in (0, 1):
+            for q in (0, 1):
+                x, y = left["v"][left["label"] == p], right["v"][right["label"] == q]
+                if len(x) and len(y):
+                    x, y = np.stack(x.to_numpy()), np.stack(y.to_numpy())
+                    total = sum(float(np.exp(-((y - u) ** 2).sum(axis=1) / (2 * width * width)).sum()) for u in x)
+                    out.append((p, q, total, len(x) * len(y)))
+        return pd.DataFrame(out, columns=["p", "q", "total", "n"])
+
+    a, b = blocked(some, some, rows, n, n, "id")
+    sums = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(run, "p int, q int, total double, n long")
+    mean = lambda p, q: F.sum(F.when((F.col("p") == p) & (F.col("q") == q), F.col("total"))) / F.sum(F.when((F.col("p") == p) & (F.col("q") == q), F.col("n")))
+    return sums.agg((mean(0, 0) + mean(1, 1) - 2 * mean(0, 1)).alias("mmd"))
 
 
 def conformal_quantile(df: DataFrame, group: str, value: str, alpha: float) -> DataFrame:

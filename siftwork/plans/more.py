@@ -103,12 +103,6 @@ def join5(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 0"), "doc_id", "left_anti")
 
 
-@query("join10_context_score", "SELECT event_id, round(least(1.0, 0.45 * value / 100 + 0.25 * (event_id % 10) / 10 + 0.2 * (event_id % 7) / 7 + 0.1 * 0.5), 6)::DOUBLE AS score FROM events")
-def join10(spark, sf):
-    e = F.col("event_id")
-    return table(spark, sf, "events").select("event_id", _r(F.least(F.lit(1.0), 0.45 * F.col("value") / 100 + 0.25 * (e % 10) / 10 + 0.2 * (e % 7) / 7 + F.lit(0.05))).alias("score"))
-
-
 @query("join29_filter_group_chat", "WITH m AS (SELECT conv_id, turn, length(text) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, r <= 2 ORDER BY s DESC, turn) AS q FROM m) SELECT conv_id, turn FROM k WHERE r <= 2 OR q <= 1")
 def join29(spark, sf):
     """The last turns and the longest of the others."""
@@ -145,11 +139,6 @@ def sel9(spark, sf):
     return s.where("doc_id >= 10").crossJoin(F.broadcast(chosen)).select("doc_id", _r(F.greatest(1 - near, F.lit(0.1))).alias("factor"))
 
 
-@query("sel24_sufficiency", f"WITH {_EDGES}, c AS (SELECT src, avg((dst % 3 <> 0)::INT) AS s FROM ed GROUP BY src) SELECT src, round(s, 6) AS sufficiency FROM c")
-def sel24(spark, sf):
-    return _edges(spark, sf).groupBy("src").agg(_r(F.avg((F.col("dst") % 3 != 0).cast("int"))).alias("sufficiency"))
-
-
 @query("sel32_optimal_budget", "WITH a AS (SELECT l_linenumber / 10.0 AS b, avg(l_discount) AS acc FROM lineitem GROUP BY l_linenumber), t AS (SELECT max_by(acc, b) AS top FROM a) SELECT round(greatest(0.05, least(0.95, min(b))), 6)::DOUBLE AS budget FROM a, t WHERE acc >= 0.95 * top")
 def sel32(spark, sf):
     a = table(spark, sf, "lineitem").groupBy((F.col("l_linenumber") / 10.0).alias("b")).agg(F.avg("l_discount").alias("acc"))
@@ -163,12 +152,6 @@ def sel34(spark, sf):
     return r.crossJoin(F.broadcast(r.agg(F.avg("x").alias("m")))).select("l_suppkey", _r(F.greatest(F.lit(0.1), F.least(F.lit(10.0), 1 + 0.5 * (F.col("x") - F.col("m"))))).alias("weight"))
 
 
-@query("sel25_explain_selection", "SELECT doc_id, round(0.3 * (doc_id % 7) / 7, 6)::DOUBLE AS recency, round(0.25 * (doc_id % 5) / 5, 6)::DOUBLE AS frequency, doc_id % 4 = 0 AS included FROM documents")
-def sel25(spark, sf):
-    d = F.col("doc_id")
-    return table(spark, sf, "documents").select("doc_id", _r(0.3 * (d % 7) / 7).alias("recency"), _r(0.25 * (d % 5) / 5).alias("frequency"), (d % 4 == 0).alias("included"))
-
-
 @query("agg19_gate_status", "SELECT event_type, CASE WHEN count(*) < 100 THEN 'insufficient' WHEN avg((value > 50)::INT) >= 0.45 THEN 'open' ELSE 'closed' END AS gate FROM events GROUP BY event_type")
 def agg19(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.when(F.count("*") < 100, "insufficient").when(F.avg((F.col("value") > 50).cast("int")) >= 0.45, "open").otherwise("closed").alias("gate"))
@@ -286,29 +269,6 @@ def win10(spark, sf):
     return s.where("before is not null").join(F.broadcast(m), "event_type").groupBy("before", "event_type").agg(_r(F.avg("value") - F.first("marginal")).alias("effect"))
 
 
-@query("win13_top_chains", "WITH s AS (SELECT event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT before, event_type, count(*) AS n FROM s WHERE before IS NOT NULL GROUP BY ALL ORDER BY n DESC, before, event_type LIMIT 5")
-def win13(spark, sf):
-    s = table(spark, sf, "events").withColumn("before", F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_id"))).where("before is not null")
-    return s.groupBy("before", "event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "before", "event_type").limit(5)
-
-
-@query("win17_top_pairs", "SELECT l_partkey % 50 AS p, count(*) AS n FROM lineitem GROUP BY p ORDER BY n DESC, p LIMIT 10")
-def win17(spark, sf):
-    return table(spark, sf, "lineitem").groupBy((F.col("l_partkey") % 50).alias("p")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p").limit(10)
-
-
-@query("wit8_quote_support", "WITH p AS (SELECT conv_id, turn, lower(left(text, 100)) AS q, lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS c FROM conversations) SELECT conv_id, turn, (CASE WHEN contains(c, q) AND length(q) > 80 THEN 0.95 WHEN contains(c, q) THEN 0.82 ELSE 0.0 END)::DOUBLE AS support FROM p WHERE c IS NOT NULL")
-def wit8(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", F.lower(F.substring("text", 1, 100)).alias("q"), F.lower(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).alias("c")).where("c is not null")
-    return c.select("conv_id", "turn", evidence.quote_support(F.col("q"), F.col("c")).alias("support"))
-
-
-@query("wit9_slot_support", "SELECT l_orderkey, l_linenumber, round(CASE WHEN l_quantity > 10 AND l_discount * 10 >= 0.65 THEN least(0.25 + 0.35 * l_tax * 10 + 0.2 * l_discount * 10, 0.74) ELSE 0.0 END, 6)::DOUBLE AS support FROM lineitem")
-def wit9(spark, sf):
-    s = evidence.slot_support(F.when(F.col("l_quantity") > 10, 1.0).otherwise(0.0), F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_discount") * 10)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", _r(s).alias("support"))
-
-
 @query("wit17_risk_predict", "SELECT event_id, round(1 / (1 + exp(-(-1.2 + 0.015 * value + 0.1 * (event_id % 4)))), 6)::DOUBLE AS risk FROM events")
 def wit17(spark, sf):
     return table(spark, sf, "events").select("event_id", _r(learning.logistic(-1.2 + 0.015 * F.col("value") + 0.1 * (F.col("event_id") % 4))).alias("risk"))
@@ -328,20 +288,6 @@ def wit27(spark, sf):
     return c.join(end, "conv_id").where("turn < last").select("conv_id", "turn", _r(X.jaccard(F.col("t"), F.col("end"))).alias("necessity"))
 
 
-_RISKY = ("auth", "password", "payment", "security")
-
-
-@query("flt25_assess_risk", f"WITH d AS (SELECT doc_id, {sql_pick(QUESTIONS, 'doc_id')} AS q FROM documents) SELECT doc_id, CASE WHEN {sql_any('contains', 'q', _RISKY)} THEN 'high' WHEN {sql_any('contains', 'q', ('refactor', 'schema', 'cache'))} THEN 'medium' ELSE 'low' END AS risk FROM d")
-def flt25(spark, sf):
-    q = pick(QUESTIONS, F.col("doc_id"))
-    return table(spark, sf, "documents").select("doc_id", F.when(X.has_any(q, _RISKY), "high").when(X.has_any(q, ("refactor", "schema", "cache")), "medium").otherwise("low").alias("risk"))
-
-
-@query("flt28_classify_command", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 80 THEN 'passed' WHEN value > 40 THEN 'weak' ELSE 'unknown' END AS verdict FROM events")
-def flt28(spark, sf):
-    v = F.col("value")
-    return table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "error", "failed").when(v > 80, "passed").when(v > 40, "weak").otherwise("unknown").alias("verdict"))
-
 
 @query("flt33_cache_align", f"WITH {_SETS} SELECT conv_id, turn, len(list_intersect(a, b)) / greatest(1, len(list_distinct(a || b))) >= 0.9 AS reuse FROM s")
 def flt33(spark, sf):
@@ -349,10 +295,10 @@ def flt33(spark, sf):
     return _pair_sets(spark, sf).select("conv_id", "turn", (F.size(F.array_intersect("a", "b")) / u >= 0.9).alias("reuse"))
 
 
-@query("flt20_contradiction_guard", f"WITH {SIMHASH}, d AS (SELECT doc_id, simhash, {sql_pick(PATHS, 'doc_id')} AS path FROM f WHERE doc_id < 120) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.path = b.path AND a.doc_id < b.doc_id AND 1 - bit_count(xor(a.simhash, b.simhash)) / 64 < 0.55")
+@query("flt20_contradiction_guard", f"WITH {SIMHASH}, d AS (SELECT doc_id, simhash, {sql_pick(PATHS, 'doc_id')} AS path FROM f) SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.path = b.path AND a.doc_id < b.doc_id AND 1 - bit_count(xor(a.simhash, b.simhash)) / 64 < 0.55")
 def flt20(spark, sf):
     """Fragments of one path whose contents disagree."""
-    s = dedup.simhash(table(spark, sf, "documents").where("doc_id < 120").select("doc_id", "text")).withColumn("path", pick(PATHS, F.col("doc_id")))
+    s = dedup.simhash(table(spark, sf, "documents").select("doc_id", "text")).withColumn("path", pick(PATHS, F.col("doc_id")))
     a, b = s.alias("a"), s.alias("b")
     far = 1 - dedup.hamming(F.col("a.simhash"), F.col("b.simhash")) / 64 < 0.55
     return a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.doc_id") < F.col("b.doc_id")) & far).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import sast, witness
+from ..operators import witness
 from ..sources import files
 from ..streaming import bus
 from .registry import query, table
@@ -153,32 +153,6 @@ def wit3(spark, sf):
     return c.groupBy("conv_id", "turn", F.md5("claim").alias("claim")).agg(F.count("*").alias("n"))
 
 
-@query("wit6_certify_claim", "SELECT l_orderkey, l_linenumber, CASE WHEN l_tax * 10 >= 0.70 THEN 'contradicted' WHEN l_discount * 10 >= 0.62 THEN 'grounded' WHEN l_quantity / 50 >= 0.72 THEN 'unsupported' ELSE 'unknown' END AS verdict, round(CASE WHEN l_tax * 10 >= 0.70 THEN 0.92 WHEN l_discount * 10 >= 0.62 THEN greatest(0.35 * (1 - l_discount * 10), 0.05) WHEN l_quantity / 50 >= 0.72 THEN 0.8 ELSE 0.55 END, 6)::DOUBLE AS risk FROM lineitem")
-def wit6(spark, sf):
-    verdict, risk = witness.certify(F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_quantity") / 50)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", verdict.alias("verdict"), _r(risk).alias("risk"))
-
-
-_VALUES = ", ".join(f"({quoted(a)}, {quoted(b)}, {c}, {quoted(d)}, {quoted(e)})" for a, b, c, d, e in sast.RULES)
-_SAST = f"""WITH r(rule, cwe, severity, part, clear) AS (VALUES {_VALUES}), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-f AS (SELECT doc_id, line::INT AS line, rule, cwe, severity FROM l JOIN r ON contains(lower(c), part) AND (clear = '' OR NOT contains(lower(c), clear)) AND (NOT (starts_with(trim(lower(c)), '#') OR starts_with(trim(lower(c)), '//')) OR cwe = 'CWE-798'))"""
-
-
-@query("flt10_scan_content", _SAST + " SELECT * FROM f")
-def flt10(spark, sf):
-    return sast.scan(table(spark, sf, "documents"), "doc_id", "text", sast.rule_table(spark))
-
-
-@query("flt18_file_risk", _SAST + " SELECT doc_id, count(*) AS findings, round(10 * (1 - exp(-sum(severity) / 4)), 6) AS risk FROM f GROUP BY doc_id")
-def flt18(spark, sf):
-    return sast.risk(flt10(spark, sf), "doc_id").select("doc_id", "findings", _r("risk").alias("risk"))
-
-
-@query("agg13_security_report", _SAST + " SELECT cwe, severity, count(*) AS n FROM f GROUP BY ROLLUP (cwe, severity) HAVING count(*) > 0")
-def agg13(spark, sf):
-    return flt10(spark, sf).rollup("cwe", "severity").agg(F.count("*").alias("n"))
-
-
 # ---- streams ----
 
 

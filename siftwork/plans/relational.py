@@ -64,9 +64,9 @@ def join3(spark, sf):
     return dedup.close_pairs(dedup.simhash(_docs(spark, sf)), 3)
 
 
-@query("join16_detect_clones", f"WITH {SIMHASH}, d AS (SELECT min(doc_id) AS id, simhash FROM f GROUP BY simhash) SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance, CASE WHEN bit_count(xor(a.simhash, b.simhash)) <= 2 THEN 'type1' ELSE 'type2' END AS kind FROM d a JOIN d b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 7")
+@query("join16_detect_clones", f"WITH {SIMHASH}, d AS (SELECT min(doc_id) AS id, simhash FROM f GROUP BY simhash) SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, bit_count(xor(a.simhash, b.simhash))::INT AS distance, CASE WHEN bit_count(xor(a.simhash, b.simhash)) <= 2 THEN 'type1' WHEN bit_count(xor(a.simhash, b.simhash)) <= 8 THEN 'type2' ELSE 'type3' END AS kind FROM d a JOIN d b ON a.simhash < b.simhash AND bit_count(xor(a.simhash, b.simhash)) <= 16")
 def join16(spark, sf):
-    return dedup.close_pairs(dedup.simhash(_docs(spark, sf)), 7).withColumn("kind", dedup.clone_type(F.col("distance")))
+    return dedup.pairs_within(dedup.simhash(_docs(spark, sf)), 16).withColumn("kind", dedup.clone_type(F.col("distance")))
 
 
 def _grams_sql(n: int) -> str:
@@ -229,12 +229,11 @@ def ret6(spark, sf):
 
 # ---- graphs: suppliers and parts of line items ----
 
-_EDGES = "ed AS (SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey % 200 AS dst FROM lineitem WHERE l_quantity < 10)"
+_EDGES = "ed AS (SELECT DISTINCT l_suppkey AS src, 1000000000 + l_partkey AS dst FROM lineitem)"
 
 
 def _edges(spark, sf):
-    e = table(spark, sf, "lineitem").where("l_quantity < 10")
-    return e.select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey") % 200).alias("dst")).distinct()
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1000000000) + F.col("l_partkey")).alias("dst")).distinct()
 
 
 def _nodes(e):
@@ -320,13 +319,6 @@ def sel5(spark, sf):
     return selection.knapsack_groups(d, "source", "doc_id", "score", "tokens", 6000)
 
 
-@query("sel2_linear_score", "SELECT doc_id, round((0.3 * (doc_id % 7) / 7 + 0.25 * (doc_id % 5) / 5 + 0.25 * (doc_id % 3) / 3 + 0.2 * 0.5) * greatest((doc_id % 11) / 5.0, 0.01), 6)::DOUBLE AS score FROM documents")
-def sel2(spark, sf):
-    d = F.col("doc_id")
-    s = (0.3 * (d % 7) / 7 + 0.25 * (d % 5) / 5 + 0.25 * (d % 3) / 3 + F.lit(0.1)) * F.greatest((d % 11) / 5.0, F.lit(0.01))
-    return table(spark, sf, "documents").select("doc_id", _r(s).alias("score"))
-
-
 @query("sel4_soft_selection")
 def sel4(spark, sf):
     return selection.soft_select(_items(spark, sf), 8000)
@@ -356,13 +348,6 @@ def sel11(spark, sf):
     return selection.ranked_fill(rows, "source", 20000, [F.desc("score"), "doc_id"]).select("source", "doc_id", "used")
 
 
-@query("sel22_ordering_priority", "SELECT doc_id, (doc_id % 100) / 100.0::DOUBLE + CASE WHEN doc_id % 10 = 0 THEN 100 ELSE 0 END + CASE doc_id % 4 WHEN 0 THEN 50 WHEN 1 THEN 30 WHEN 2 THEN 10 ELSE 0 END + least(doc_id % 30, 20) AS priority FROM documents")
-def sel22(spark, sf):
-    d = F.col("doc_id")
-    p = (d % 100) / 100.0 + F.when(d % 10 == 0, 100).otherwise(0) + F.when(d % 4 == 0, 50).when(d % 4 == 1, 30).when(d % 4 == 2, 10).otherwise(0) + F.least(d % 30, F.lit(20))
-    return table(spark, sf, "documents").select("doc_id", p.alias("priority"))
-
-
 @query("ret9_mmr")
 def ret9(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", X.token_count(F.col("text")).alias("tokens"), X.query_terms(F.col("text")).alias("terms"))
@@ -465,8 +450,8 @@ SELECT coalesce(day, week, month, 'lifetime') AS bucket, count(*) AS n, round(su
 def agg21(spark, sf):
     """Sums by day, ISO week, month and in all, in one pass over the events."""
     e = table(spark, sf, "events").selectExpr("date_format(ts, 'yyyy-MM-dd') as day", "concat(extract(YEAROFWEEK from ts), '-W', lpad(weekofyear(ts), 2, '0')) as week", "date_format(ts, 'yyyy-MM') as month", "value")
-    e.createOrReplaceTempView("siftwork_ledger")
-    return spark.sql("SELECT coalesce(day, week, month, 'lifetime') AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM siftwork_ledger GROUP BY GROUPING SETS ((day), (week), (month), ())")
+    by = e.groupingSets([[F.col("day")], [F.col("week")], [F.col("month")], []], "day", "week", "month").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return by.select(F.coalesce("day", "week", "month", F.lit("lifetime")).alias("bucket"), "n", "total")
 
 
 @query("agg22_trends", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day ORDER BY day DESC LIMIT 7")
@@ -492,10 +477,9 @@ def agg24(spark, sf):
     return health.trimmed_mean(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice").select("l_suppkey", _r("mean").alias("mean"))
 
 
-@query("agg29_contradictions", "WITH b AS (SELECT l_partkey AS entity, l_orderkey * 10 + l_linenumber AS id, l_discount * 10 AS confidence FROM lineitem WHERE l_quantity = 1) SELECT a.id AS a, b.id AS b FROM b a JOIN b ON a.entity = b.entity AND a.id < b.id AND abs(a.confidence - b.confidence) > 0.4")
+@query("agg29_contradictions", "WITH b AS (SELECT l_partkey AS entity, l_discount * 10 AS confidence FROM lineitem) SELECT a.entity, a.confidence AS low, b.confidence AS high, count(*) AS pairs FROM b a JOIN b ON a.entity = b.entity AND b.confidence - a.confidence > 0.4 GROUP BY ALL")
 def agg29(spark, sf):
-    b = table(spark, sf, "lineitem").where("l_quantity = 1").selectExpr("l_partkey as entity", "l_orderkey * 10 + l_linenumber as id", "l_discount * 10 as confidence")
-    return health.contradictions(b)
+    return health.contradictions(table(spark, sf, "lineitem").selectExpr("l_partkey as entity", "l_discount * 10 as confidence"))
 
 
 @query("agg31_coverage_gaps", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -565,35 +549,23 @@ def win8(spark, sf):
     return m.where("m > 0.005").select("user_id", _r(1 - F.exp(-2 * F.col("m"))).alias("bonus"))
 
 
-@query("win9_causal_effects", "WITH b AS (SELECT avg(value) AS base FROM events), f AS (SELECT event_type, count(*) FILTER (event_id % 5 = 0) AS ni, avg(value) FILTER (event_id % 5 = 0) AS i, avg(value) FILTER (event_id % 5 <> 0) AS o FROM events GROUP BY event_type) SELECT event_type, round(i - base, 6) AS effect, round(o - i, 6) AS bias, round(sqrt(ni) / (sqrt(ni) + sqrt(3)), 6) AS confidence FROM f, b")
-def win9(spark, sf):
-    e = table(spark, sf, "events")
-    tried = F.col("event_id") % 5 == 0
-    f = e.groupBy("event_type").agg(F.count_if(tried).alias("ni"), F.avg(F.when(tried, F.col("value"))).alias("i"), F.avg(F.when(~tried, F.col("value"))).alias("o"))
-    f = f.crossJoin(F.broadcast(e.agg(F.avg("value").alias("base"))))
-    return f.select("event_type", _r(F.col("i") - F.col("base")).alias("effect"), _r(F.col("o") - F.col("i")).alias("bias"), _r(F.sqrt("ni") / (F.sqrt("ni") + F.sqrt(F.lit(3.0)))).alias("confidence"))
-
-
-@query("win11_decay_tick", "SELECT event_id FROM events WHERE event_id >= (SELECT max(event_id) FROM events) - 50")
-def win11(spark, sf):
-    e = table(spark, sf, "events")
-    return e.crossJoin(F.broadcast(e.agg(F.max("event_id").alias("top")))).where("event_id >= top - 50").select("event_id")
-
-
-@query("win12_top_causal", "SELECT user_id, round(avg(value), 6) AS effect FROM events GROUP BY user_id ORDER BY effect DESC, user_id LIMIT 10")
-def win12(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(_r(F.avg("value")).alias("effect")).orderBy(F.desc("effect"), "user_id").limit(10)
+_PAIRS = "l AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem), rp AS (SELECT a.p AS a, b.p AS b, count(*) AS n, round(0.1 * count(*), 6)::DOUBLE AS strength FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.p < b.p GROUP BY ALL)"
 
 
-@query("win14_resonance_pairs", "WITH l AS (SELECT DISTINCT l_orderkey, l_partkey % 50 AS p FROM lineitem WHERE l_quantity < 15) SELECT a.p AS a, b.p AS b, count(*) AS n, round(0.1 * count(*), 6)::DOUBLE AS strength FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.p < b.p GROUP BY ALL")
+@query("win14_resonance_pairs", f"WITH {_PAIRS} SELECT * FROM rp")
 def win14(spark, sf):
     """Pairs chosen together; an order has at most seven items, so its pairs are few."""
-    l = table(spark, sf, "lineitem").where("l_quantity < 15").selectExpr("l_orderkey", "l_partkey % 50 as p").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    l = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("p")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     a = l.select("ps", F.posexplode("ps").alias("i", "a"))
     pairs = a.select("a", F.explode(F.slice("ps", F.col("i") + 2, F.size("ps"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"), _r(0.1 * F.count("*")).alias("strength"))
 
 
+@query("win17_top_pairs", f"WITH {_PAIRS} SELECT * FROM rp ORDER BY abs(strength) DESC, a, b LIMIT 10")
+def win17(spark, sf):
+    return win14(spark, sf).orderBy(F.desc(F.abs("strength")), "a", "b").limit(10)
+
+
 @query("win15_resonance_bonus", "WITH e AS (SELECT user_id, event_type, count(*) AS n, avg(value) AS s FROM events GROUP BY ALL) SELECT user_id, round(sum(s * (1 - 1 / (1.0 + n))) / sum(1 - 1 / (1.0 + n)), 6)::DOUBLE AS bonus FROM e GROUP BY user_id")
 def win15(spark, sf):
     e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("s")).withColumn("w", 1 - 1 / (1.0 + F.col("n")))

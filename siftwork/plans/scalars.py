@@ -319,42 +319,6 @@ def flt8(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", kind.alias("kind"))
 
 
-@query("flt9_detect_content_type", """SELECT page_id, CASE WHEN length(html) < 20 THEN 'prose' WHEN regexp_matches(html, '^\\s*[{\\[]') THEN 'json' WHEN regexp_matches(html, '^\\s*<') THEN 'xml' WHEN regexp_matches(html, '(?m)^#{1,6} ') THEN 'markdown' ELSE 'prose' END AS kind FROM pages
-UNION ALL SELECT event_id, CASE WHEN length(props) < 20 THEN 'prose' WHEN regexp_matches(props, '^\\s*[{\\[]') THEN 'json' WHEN regexp_matches(props, '^\\s*<') THEN 'xml' WHEN regexp_matches(props, '(?m)^#{1,6} ') THEN 'markdown' ELSE 'prose' END FROM events""")
-def flt9(spark, sf):
-    both = table(spark, sf, "pages").select("page_id", F.col("html").alias("t")).unionAll(table(spark, sf, "events").select("event_id", "props"))
-    t = F.col("t")
-    kind = F.when(F.length(t) < 20, "prose").when(t.rlike(r"^\s*[{\[]"), "json").when(t.rlike(r"^\s*<"), "xml").when(t.rlike(r"(?m)^#{1,6} "), "markdown").otherwise("prose")
-    return both.select("page_id", kind.alias("kind"))
-
-
-@query("flt17_confidence_for_context", f"WITH d AS (SELECT doc_id, {_LOW_PATH} AS p FROM documents) SELECT doc_id, round(greatest(0.05, 0.8 * (CASE WHEN contains(p, 'test') THEN 0.4 ELSE 1.0 END) * (CASE WHEN doc_id % 3 = 0 THEN 1.2 ELSE 1.0 END)), 6)::DOUBLE AS confidence FROM d")
-def flt17(spark, sf):
-    p = F.lower("path")
-    c = 0.8 * F.when(p.contains("test"), 0.4).otherwise(1.0) * F.when(F.col("doc_id") % 3 == 0, 1.2).otherwise(1.0)
-    return _paths(spark, sf).select("doc_id", _r(F.greatest(F.lit(0.05), c)).alias("confidence"))
-
-
-@query("flt18_risk_score", "SELECT l_suppkey, round(10 * (1 - exp(-sum(l_discount * l_tax) / 4)), 6) AS risk FROM lineitem GROUP BY l_suppkey")
-def flt18(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(_r(10 * (1 - F.exp(-F.sum(F.col("l_discount") * F.col("l_tax")) / 4))).alias("risk"))
-
-
-@query("flt19_fragment_guard", "SELECT doc_id, regexp_matches(text, '(?i)(password|secret|token|api_?key)\\s*[:=]') AS secret, len(regexp_extract_all(text, 'TODO|FIXME')) >= 3 AS todo FROM documents")
-def flt19(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.col("text").rlike(r"(?i)(password|secret|token|api_?key)\s*[:=]").alias("secret"), (F.regexp_count("text", F.lit("TODO|FIXME")) >= 3).alias("todo"))
-
-
-@query("flt34_sanitize_context", "SELECT conv_id, turn, md5(regexp_replace(text, '(?i)ignore (all )?previous instructions|</?system>', '[removed]', 'g')) AS clean FROM conversations")
-def flt34(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(F.regexp_replace("text", r"(?i)ignore (all )?previous instructions|</?system>", "[removed]")).alias("clean"))
-
-
-@query("flt35_sanitize_query", "SELECT doc_id, md5(left(regexp_replace(text, '[A-Za-z0-9_-]{24,}', '[secret]', 'g'), 200)) AS logged FROM documents")
-def flt35(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.md5(F.substring(F.regexp_replace("text", "[A-Za-z0-9_-]{24,}", "[secret]"), 1, 200)).alias("logged"))
-
-
 @query("sel28_token_budget", f"WITH d AS (SELECT doc_id, {sql_pick(QUESTIONS, 'doc_id')} AS q FROM documents), k AS (SELECT doc_id, {_TASK} AS t FROM d) SELECT doc_id, floor(128000 * 0.15::DOUBLE * least(1.0, {_FACTOR})::DOUBLE)::BIGINT AS budget FROM k")
 def sel28(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", X.budget_multiplier(X.task_type(pick(QUESTIONS, F.col("doc_id")))).alias("f"))
@@ -374,13 +338,6 @@ def sel19(spark, sf):
     return c.select("conv_id", "turn", _r(0.4 * F.exp(-F.col("p") / tau) + 0.4 * F.exp(-(F.col("l") - 1 - F.col("p")) / tau) + 0.2).alias("weight"))
 
 
-@query("sel15_allocate_budget", "SELECT doc_id, greatest(50, least(500, floor(n_chars * 0.05)))::BIGINT AS l1, floor(n_chars * CASE WHEN n_chars % 10 < 3 THEN 0.20 WHEN n_chars % 10 < 7 THEN 0.25 ELSE 0.35 END)::BIGINT AS l2 FROM documents")
-def sel15(spark, sf):
-    n = F.col("n_chars")
-    share = F.when(n % 10 < 3, 0.20).when(n % 10 < 7, 0.25).otherwise(0.35)
-    return table(spark, sf, "documents").select("doc_id", F.greatest(F.lit(50), F.least(F.lit(500), F.floor(n * 0.05))).cast("long").alias("l1"), F.floor(n * share).cast("long").alias("l2"))
-
-
 @query("conv32_distill_response", "SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '(?i)\\b(just|basically|actually) ', '', 'g'), '(?i)in order to', 'to', 'g')) AS short FROM conversations")
 def conv32(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(F.regexp_replace(F.regexp_replace("text", r"(?i)\b(just|basically|actually) ", ""), "(?i)in order to", "to")).alias("short"))
