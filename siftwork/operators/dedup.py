@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, spaced_words
+from ..functions import scan
+from ..functions.text import spaced_words
 
 
 def content_hash(text: Column) -> Column:
@@ -110,15 +112,50 @@ def clone_type(distance: Column) -> Column:
     return F.when(distance <= 2, "type1").when(distance <= 8, "type2").otherwise("type3")
 
 
-def shared_grams(df: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, shared, total): of a text's distinct n-grams, those that another text has too.
-
-    N-grams are counted as 64-bit hashes: one narrow shuffle, whatever is common.
+def _gram_batches(sizes: tuple[int, ...]):
+    """Each text's number of words, of distinct n-grams of each size, and the hashes of these, their size in the lowest bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, b, off in scan.pieces(batch.column(1)):
+                starts, ends = scan.words(b, off)
+                h = scan.hashes(b, starts, ends)
+                count = np.diff(np.searchsorted(starts, off))
+                owner = np.repeat(np.arange(j - i), count)
+                grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for n in sizes:
+                    whole = scan.windows(h, n)
+                    inside = np.flatnonzero(owner[: len(whole)] == owner[n - 1 :])
+                    grams.append(whole[inside] << np.uint64(3) | np.uint64(n))
+                    owners.append(owner[inside])
+                g, o = np.concatenate(grams), np.concatenate(owners)
+                order = np.lexsort((g, o))
+                g, o = g[order], o[order]
+                new = np.append(True, (g[1:] != g[:-1]) | (o[1:] != o[:-1])) if len(g) else np.zeros(0, bool)
+                g, o = g[new], o[new]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(o, minlength=j - i))]).astype(np.int32)
+                kinds = [np.bincount(o[g & np.uint64(7) == n], minlength=j - i).astype(np.int32) for n in sizes]
+                columns = [batch.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), *map(pa.array, kinds), pa.ListArray.from_arrays(pa.array(ends), pa.array(g.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "words", *[f"t{n}" for n in sizes], "grams"])
+
+    return run
+
+
+def gram_shares(df: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (key, words, s2, s3, ...): of a text's distinct n-grams of each size, the share that another text has too.
+
+    N-grams are 64-bit hashes from one scan, and go through one shuffle with partial counts. An n-gram that only
+    one text has says which, and how many that text has in all, so what is common is never joined back. A
+    text with fewer words than an n-gram has a null share.
     """
-    words = df.select(key, spaced_words(F.col(text)).alias("w"))  # a column of its own: it is read for every n-gram
-    grams = words.select(key, F.explode(F.array_distinct(ngrams(F.col("w"), n))).alias("g")).select(key, F.xxhash64("g").alias("g"))
-    df_of = grams.groupBy("g").agg((F.count("*") > 1).alias("again"))
-    return grams.join(df_of, "g").groupBy(key).agg(F.count_if("again").alias("shared"), F.count("*").alias("total"))
+    counts = [f"t{n}" for n in sizes]
+    schema = f"key {dict(df.dtypes)[key]}, words bigint, {', '.join(f'{c} int' for c in counts)}, grams array<bigint>"
+    grams = df.select(key, text).mapInArrow(_gram_batches(sizes), schema).select("key", *counts, F.explode("grams").alias("g"))
+    once = grams.groupBy("g").agg(F.count("*").alias("c"), F.max("key").alias(key), *[F.max(c).alias(c) for c in counts]).where("c = 1")
+    own = once.groupBy(key).agg(*[(F.count_if(F.col("g").bitwiseAND(7) == n) / F.nullif(F.max(f"t{n}"), F.lit(0))).alias(f"u{n}") for n in sizes])
+    size = df.select(key, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"))
+    out = size.join(own, key, "left")
+    return out.select(key, "words", *[F.when(F.col("words") >= n, 1 - F.coalesce(f"u{n}", F.lit(0.0))).alias(f"s{n}") for n in sizes])
 
 
 def redundancy(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,15 +163,11 @@ def redundancy(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Where a text is too short for an n-gram, the share of the next shorter counts.
     """
-    out = df.select(key, F.size(spaced_words(F.col(text))).alias("n"))
-    for n in (2, 3, 4):
-        s = shared_grams(df, n, key, text).select(key, (F.col("shared") / F.col("total")).alias(f"r{n}"))
-        out = out.join(s, key, "left")
-    r2 = F.coalesce("r2", F.lit(0.0))
-    r3 = F.when(F.col("n") >= 3, F.coalesce("r3", F.lit(0.0))).otherwise(r2)
-    r4 = F.when(F.col("n") >= 4, F.coalesce("r4", F.lit(0.0))).otherwise(r3)
-    weighted = F.when(F.col("n") < 20, 0.55 * r2 + 0.35 * r3 + 0.10 * r4).when(F.col("n") < 100, 0.25 * r2 + 0.50 * r3 + 0.25 * r4).otherwise(0.15 * r2 + 0.35 * r3 + 0.50 * r4)
-    return out.select(key, F.when(F.col("n") < 2, 0.0).otherwise(weighted).alias("redundancy"))
+    rows = gram_shares(df, (2, 3, 4), key, text)
+    two, three, four = F.coalesce("s2", F.lit(0.0)), F.coalesce("s3", "s2", F.lit(0.0)), F.coalesce("s4", "s3", "s2", F.lit(0.0))
+    n = F.col("words")
+    mix = F.when(n < 2, 0.0).when(n < 20, 0.55 * two + 0.35 * three + 0.1 * four).when(n < 100, 0.25 * two + 0.5 * three + 0.25 * four).otherwise(0.15 * two + 0.35 * three + 0.5 * four)
+    return rows.select(key, mix.alias("redundancy"))
 
 
 def uniqueness(prints: DataFrame, sample: int = 50, key: str = "doc_id", value: str = "simhash") -> DataFrame:

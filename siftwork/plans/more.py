@@ -79,25 +79,12 @@ def join12(spark, sf):
     return evidence.greedy_dedup(c, "conv_id", "turn", "w", 0.7)
 
 
-@query("join22_project_beliefs", f"WITH {_SETS} SELECT conv_id, turn, round(len(list_intersect(a, b)) / len(list_distinct(a || b)) * (0.6 + (turn % 5) / 10) * (1 - (turn % 7) / 30), 6)::DOUBLE AS score FROM s WHERE len(list_intersect(a, b)) > 0 ORDER BY score DESC, conv_id, turn LIMIT 20")
-def join22(spark, sf):
-    t = F.col("turn")
-    s = _pair_sets(spark, sf).where(F.size(F.array_intersect("a", "b")) > 0)
-    score = X.jaccard(F.col("a"), F.col("b")) * (0.6 + (t % 5) / 10) * (1 - (t % 7) / 30)
-    return s.select("conv_id", "turn", _r(score).alias("score")).orderBy(F.desc("score"), "conv_id", "turn").limit(20)
-
-
 @query("join25_prefetch", "WITH u AS (SELECT l_partkey AS id, l_discount AS c FROM lineitem UNION ALL SELECT p_partkey, p_size / 500.0 FROM part) SELECT id, round(max(c), 6)::DOUBLE AS confidence FROM u GROUP BY id ORDER BY confidence DESC, id LIMIT 10")
 def join25(spark, sf):
     u = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_discount").alias("c")).unionByName(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 500.0).alias("c")))
     return u.groupBy("id").agg(_r(F.max("c")).alias("confidence")).orderBy(F.desc("confidence"), "id").limit(10)
 
 
-@query("join27_reverse_index", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
-def join27(spark, sf):
-    return table(spark, sf, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("names"))
-
-
 @query("join5_remove", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def join5(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").where("quality = 0"), "doc_id", "left_anti")
@@ -169,28 +156,6 @@ def agg25(spark, sf):
     return trimmed_mean(table(spark, sf, "events"), "event_type", "value").select("event_type", _r("mean").alias("mean"))
 
 
-@query("agg27_verification_pass", "SELECT source, count(*) AS n, avg((n_chars < 1000)::INT)::DOUBLE AS stale, count(*) FILTER (n_chars < 200) AS thin FROM documents GROUP BY source")
-def agg27(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.avg((F.col("n_chars") < 1000).cast("int")).alias("stale"), F.count_if(F.col("n_chars") < 200).alias("thin"))
-
-
-_STEMS = ("handler", "engine", "user")
-
-
-@query("agg30_blast_radius", f"WITH d AS (SELECT doc_id, lower({sql_pick(PATHS, 'doc_id')}) AS p FROM documents) SELECT s.stem, count(*) AS affected, CASE WHEN count(*) <= 2 THEN 'low' WHEN count(*) <= 5 THEN 'medium' ELSE 'high' END AS risk FROM d JOIN (VALUES {', '.join(f'({chr(39)}{s}{chr(39)})' for s in _STEMS)}) s(stem) ON contains(p, stem) GROUP BY s.stem")
-def agg30(spark, sf):
-    d = table(spark, sf, "documents").select(F.lower(pick(PATHS, F.col("doc_id"))).alias("p"))
-    hits = d.select(F.explode(F.array_compact(F.array(*[F.when(F.col("p").contains(s), F.lit(s)) for s in _STEMS]))).alias("stem"))
-    n = F.count("*")
-    return hits.groupBy("stem").agg(n.alias("affected"), F.when(n <= 2, "low").when(n <= 5, "medium").otherwise("high").alias("risk"))
-
-
-@query("agg36_scan_codebase", f"WITH d AS (SELECT {sql_pick(PATHS, 'doc_id')} AS p FROM documents) SELECT regexp_extract(p, '\\.([a-zA-Z]+)$', 1) AS ext, count(*) AS files, count(*) FILTER (contains(lower(p), 'test')) AS tests FROM d GROUP BY ext")
-def agg36(spark, sf):
-    d = table(spark, sf, "documents").select(pick(PATHS, F.col("doc_id")).alias("p"))
-    return d.groupBy(F.regexp_extract("p", r"\.([a-zA-Z]+)$", 1).alias("ext")).agg(F.count("*").alias("files"), F.count_if(F.lower("p").contains("test")).alias("tests"))
-
-
 @query("lrn2_welford_rewards", "SELECT user_id, count(*) AS n, round(avg(value), 6) AS mean, round(coalesce(var_samp(value) * (count(*) - 1), 0), 4) AS m2 FROM events GROUP BY user_id")
 def lrn2(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), _r(F.avg("value")).alias("mean"), F.round(F.coalesce(F.var_samp("value") * (F.count("*") - 1), F.lit(0.0)), 4).alias("m2"))
@@ -274,12 +239,6 @@ def wit17(spark, sf):
     return table(spark, sf, "events").select("event_id", _r(learning.logistic(-1.2 + 0.015 * F.col("value") + 0.1 * (F.col("event_id") % 4))).alias("risk"))
 
 
-@query("wit37_exact_verifier", "SELECT l_orderkey, l_linenumber, abs(l_extendedprice - round(l_extendedprice, 1)) <= greatest(0.02, 0.000001 * abs(l_extendedprice)) AS equal FROM lineitem")
-def wit37(spark, sf):
-    x = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.abs(x - F.round(x, 1)) <= F.greatest(F.lit(0.02), 0.000001 * F.abs(x))).alias("equal"))
-
-
 @query("wit27_reasoning_chain")
 def wit27(spark, sf):
     """How much each step of a conversation is needed for its end."""
@@ -304,19 +263,3 @@ def flt20(spark, sf):
     return a.join(b, (F.col("a.path") == F.col("b.path")) & (F.col("a.doc_id") < F.col("b.doc_id")) & far).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
 
 
-@query("str6_extract_definitions")
-def str6(spark, sf):
-    code = F.concat(F.lit("class "), F.translate("p_name", " ", "_"), F.lit(":\n    def run_"), "p_partkey", F.lit("(self):\n        pass\nfn helper(x: i32) {}\nfunction render(a) {}\nfunc Serve() {}\nconst Max"), "p_size", F.lit(" = 1\n"))
-    return table(spark, sf, "part").select("p_partkey", F.explode(evidence.definitions(code)).alias("symbol"))
-
-
-@query("str10_extract_imports")
-def str10(spark, sf):
-    code = F.concat(F.lit("import os\nfrom a.b import c\nuse crate::x::y;\nconst z = require('lib/z');\nimport q from './q';\n#include <stdio.h>\n// "), "p_name")
-    return table(spark, sf, "part").select("p_partkey", F.explode(evidence.imports(code)).alias("target"))
-
-
-@query("str33_extract_skeleton")
-def str33(spark, sf):
-    code = F.concat(F.lit("import os\n\nclass A:\n    \"\"\"Doc.\"\"\"\n    def f(self):\n        x = "), "p_partkey", F.lit("\n        y = x + 1\n        return y\n\ndef g(a, b):\n    return a * b\n"))
-    return table(spark, sf, "part").select("p_partkey", evidence.skeleton(code, F.lit("python")).alias("skeleton"))

@@ -68,13 +68,6 @@ def src15(spark, sf):
     return state.select("n_nationkey", "s.n_name", "s.n_regionkey")
 
 
-@query("src20_merge_peers", "WITH u AS (SELECT user_id, event_id AS turn, (event_id % 7)::INT AS n, 0 AS peer FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id, (event_id % 5)::INT, 1 FROM events WHERE event_type = 'click') SELECT user_id, turn, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY turn DESC, n DESC, peer) AS r FROM u) WHERE r = 1")
-def src20(spark, sf):
-    e = table(spark, sf, "events")
-    side = lambda t, m: e.where(F.col("event_type") == t).select("user_id", F.col("event_id").alias("turn"), (F.col("event_id") % m).cast("int").alias("n"))
-    return files.merge_peers([side("view", 7), side("click", 5)], "user_id", "turn", "n")
-
-
 @query("src21_prune_checkpoints", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events) WHERE r > 10")
 def src21(spark, sf):
     return files.newest(table(spark, sf, "events").select("event_id", "event_type"), "event_type", "event_id", 10).select("event_id")
@@ -90,12 +83,12 @@ def src22(spark, sf):
     return files.read_log(spark, folder, rows.schema).where("event_id is not null")
 
 
-@query("src27_snapshot_diff", "WITH o AS (SELECT doc_id, md5(left(text, 50)) AS h FROM documents WHERE doc_id % 3 <> 0), n AS (SELECT doc_id, md5(left(text, CASE WHEN doc_id % 5 = 0 THEN 40 ELSE 50 END)) AS h FROM documents WHERE doc_id % 4 <> 0) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h")
+@query("src27_snapshot_diff", "WITH o AS (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'fr'), n AS (SELECT doc_id, md5(CASE WHEN source = 'src1' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'de') SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h")
 def src27(spark, sf):
-    """Two snapshots made of the documents: which were added, deleted or changed."""
+    """Two snapshots of the documents, by hashes of whole texts: which were added, deleted or changed."""
     d = table(spark, sf, "documents")
-    o = d.where("doc_id % 3 <> 0").select("doc_id", F.md5(F.substring("text", 1, 50)).alias("hash"))
-    n = d.where("doc_id % 4 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.substring("text", 1, 40)).otherwise(F.substring("text", 1, 50))).alias("hash"))
+    o = d.where("lang <> 'fr'").select("doc_id", F.md5("text").alias("hash"))
+    n = d.where("lang <> 'de'").select("doc_id", F.md5(F.when(F.col("source") == "src1", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
     return files.snapshot_diff(o, n, "doc_id")
 
 
@@ -123,11 +116,6 @@ def src31(spark, sf):
     return files.diff_counts(table(spark, sf, "part").select("p_partkey", text.alias("t")), "p_partkey", "t")
 
 
-@query("src34_export_training_data", "SELECT doc_id, quality, md5(text) AS digest FROM documents JOIN labels USING (doc_id) WHERE quality = 1")
-def src34(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").where("quality = 1").select("doc_id", "quality", F.md5("text").alias("digest"))
-
-
 @query("set10_frontmatter", "SELECT n_nationkey, n_name AS entity, 'r' || n_regionkey AS status FROM nation")
 def set10(spark, sf):
     note = F.concat(F.lit("---\nentity: "), "n_name", F.lit("\nstatus: r"), "n_regionkey", F.lit("\n---\nbody\nentity: other\n"))

@@ -83,7 +83,7 @@ red AS (SELECT doc_id, CASE WHEN n < 2 THEN 0.0 WHEN n < 20 THEN 0.55 * x + 0.35
 
 @query("inf16_ngram_redundancy", f"WITH ww AS (SELECT doc_id, {_WORDS} AS w FROM documents), {_grams_sql(3)} SELECT doc_id, round(r, 6) AS redundancy FROM r3")
 def inf16(spark, sf):
-    return dedup.shared_grams(_docs(spark, sf), 3).select("doc_id", _r(F.col("shared") / F.col("total")).alias("redundancy"))
+    return dedup.gram_shares(_docs(spark, sf), (3,)).where("s3 is not null").select("doc_id", _r("s3").alias("redundancy"))
 
 
 @query("inf15_cross_fragment_redundancy", f"WITH {REDUNDANCY} SELECT doc_id, round(redundancy, 6)::DOUBLE AS redundancy FROM red")

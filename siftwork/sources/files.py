@@ -98,3 +98,48 @@ def diff_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = rows.withColumn("hunk", hunk).where("hunk > 0")
     sign = lambda c: F.count_if(F.col("line").startswith(c) & ~F.col("line").startswith(c * 3))
     return rows.groupBy(key, "hunk").agg(sign("+").alias("added"), sign("-").alias("removed"))
+
+
+def write_notes(df: DataFrame, folder: str) -> DataFrame:
+    """Notes (one column of texts) written as records, and read back: a note may have many lines."""
+    import uuid
+
+    path, name = f"{folder}-{uuid.uuid4().hex}", df.columns[0]
+    df.write.option("lineSep", "\x00").text(path)
+    return df.sparkSession.read.option("lineSep", "\x00").text(path).select(F.col("value").alias(name))
+
+
+def round_trip_json(df: DataFrame, folder: str) -> DataFrame:
+    """df written as JSON lines, and read back under its schema."""
+    import uuid
+
+    path = f"{folder}-{uuid.uuid4().hex}"
+    df.write.json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
+def save_snapshot(df: DataFrame, folder: str) -> str:
+    """df written as a Parquet snapshot of its own; its path."""
+    import uuid
+
+    path = f"{folder}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+def load_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def save_checkpoint(df: DataFrame, folder: str, number: int) -> str:
+    """df as compressed JSON under a numbered folder, which appears whole or not at all."""
+    path = f"{folder}/checkpoint={number:08d}"
+    df.write.mode("overwrite").option("compression", "gzip").json(path)
+    return path
+
+
+def load_latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The rows of the checkpoint of the greatest number: a partition filter, the others are not read."""
+    every = spark.read.schema(f"{schema}, checkpoint int").option("basePath", folder).json(folder)
+    last = every.select("checkpoint").distinct().agg(F.max("checkpoint")).first()[0]
+    return every.where(F.col("checkpoint") == last).drop("checkpoint")
