@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
-from .scan import Counts, hashes, lines, mix, pieces, words
+from ..functions.scan import Counts, hashes, lines, mix, pieces, words
 
 #: The similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5

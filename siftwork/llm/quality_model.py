@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches
 from .quality_rules import ngrams
-from .scan import hashes, pieces, words
+from ..functions.scan import hashes, pieces, words
 
 BITS, DIM, EPOCHS, RATE, BATCH, SEED = 17, 8, 6, 4.0, 32, 11
 #: Steps of descent at least: small sets of labels are gone over more often.

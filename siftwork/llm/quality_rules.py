@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches
-from .scan import _LEAD, _SPACE, Counts, hashes, lines, mix, per_document, pieces, windows, words
+from ..functions.scan import _LEAD, _SPACE, Counts, hashes, lines, mix, per_document, pieces, windows, words
 
 #: log2 of the number of hashed n-grams; the tables of counts have this fixed size at any scale.
 BITS = 18

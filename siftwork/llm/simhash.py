@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, written
-from .scan import pieces, words
+from ..functions.scan import pieces, words
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

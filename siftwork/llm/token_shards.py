@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, written
-from .scan import mix
+from ..functions.scan import mix
 
 #: Token ids in a sequence, sequences in a shard, the id after each document, and rounds of the network.
 LENGTH, SHARD, END, ROUNDS, KEY = 2048, 4096, 50256, 6, 20240229
