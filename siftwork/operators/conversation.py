@@ -109,3 +109,17 @@ def digest_aged(df: DataFrame, role: str = "tool", keep: int = 3, conv: str = "c
     line = F.concat(F.lit("[aged-pruned] "), F.substring(F.substring_index("text", "\n", 1), 1, 80))
     old = (F.col("role") == role) & (age > keep) & ~F.col("text").startswith("[aged-pruned]")
     return df.withColumn("text", F.when(old, line).otherwise(F.col("text")))
+
+
+def block_skeleton(role: Column, text: Column) -> Column:
+    """A block in short: of an assistant's its first two sentences and the last; others stay."""
+    parts = F.filter(F.split(text, r"[.\n]", -1), lambda s: F.octet_length(F.trim(s)) > 5)
+    ends = F.concat(F.trim(F.get(parts, F.lit(0))), F.lit(". "), F.trim(F.get(parts, F.lit(1))), F.lit(". [...] "), F.trim(F.element_at(parts, -1)))
+    short = F.when(F.size(parts) <= 3, F.substring(text, 1, 300)).otherwise(ends)
+    return F.when(text == "", F.concat(F.lit("[empty "), role, F.lit("]"))).when(role == "assistant", short).otherwise(text)
+
+
+def block_digest(role: Column, text: Column) -> Column:
+    """A block in one line: its kind and how it begins."""
+    first = F.substring(F.substring_index(text, "\n", 1), 1, 60)
+    return F.when(text == "", F.concat(F.lit("[empty "), role, F.lit("]"))).otherwise(F.concat(F.lit("["), role, F.lit(": "), first, F.lit("...]")))

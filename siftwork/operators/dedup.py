@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scan
+from ..functions.scan import hashes, pieces, windows, words
 from ..functions.text import spaced_words
 
 
@@ -42,13 +42,13 @@ def _fingerprint(words: list[str]) -> int:
 
 def simhash(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, simhash): the majority bits of the MD5 of lower-case word trigrams, as a signed long."""
-    words = df.select(key, spaced_words(F.lower(text)).alias("words"))
+    rows = df.select(key, spaced_words(F.lower(text)).alias("words"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             yield pd.DataFrame({key: pdf[key], "simhash": [_fingerprint([] if w is None else list(w)) for w in pdf["words"]]})
 
-    return words.mapInPandas(run, f"{key} long, simhash long")
+    return rows.mapInPandas(run, f"{key} long, simhash long")
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -117,14 +117,14 @@ def _gram_batches(sizes: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, b, off in scan.pieces(batch.column(1)):
-                starts, ends = scan.words(b, off)
-                h = scan.hashes(b, starts, ends)
+            for i, j, b, off in pieces(batch.column(1)):
+                starts, ends = words(b, off)
+                h = hashes(b, starts, ends)
                 count = np.diff(np.searchsorted(starts, off))
                 owner = np.repeat(np.arange(j - i), count)
                 grams, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for n in sizes:
-                    whole = scan.windows(h, n)
+                    whole = windows(h, n)
                     inside = np.flatnonzero(owner[: len(whole)] == owner[n - 1 :])
                     grams.append(whole[inside] << np.uint64(3) | np.uint64(n))
                     owners.append(owner[inside])

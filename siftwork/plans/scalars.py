@@ -338,6 +338,3 @@ def sel19(spark, sf):
     return c.select("conv_id", "turn", _r(0.4 * F.exp(-F.col("p") / tau) + 0.4 * F.exp(-(F.col("l") - 1 - F.col("p")) / tau) + 0.2).alias("weight"))
 
 
-@query("conv32_distill_response", "SELECT conv_id, turn, md5(regexp_replace(regexp_replace(text, '(?i)\\b(just|basically|actually) ', '', 'g'), '(?i)in order to', 'to', 'g')) AS short FROM conversations")
-def conv32(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(F.regexp_replace(F.regexp_replace("text", r"(?i)\b(just|basically|actually) ", ""), "(?i)in order to", "to")).alias("short"))
