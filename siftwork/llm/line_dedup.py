@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, tidy, written
 from ..functions.scan import Counts, hashes, lines, mix, pieces, words
 
 #: The similarity from which lines match, as a fraction.
@@ -28,7 +28,7 @@ PICK_BITS, LEAST_FLAGS, MOST_FLAGS = 30, 16, 27
 #: Lines of more words have a parity of 128 bits; in 64 the words of long lines would fill all places.
 WIDE = 40
 #: Postings for a task; candidates of a line for one word that are verified at first, and of very close ones.
-TASK, FIRST, SURE = 400_000, 1024, 4
+TASK, FIRST, SURE = 300_000, 1024, 4
 #: Equal lines that a scanning task remembers from one block of postings to the next.
 KNOWN = 200_000
 #: Buckets of lines by hash that tell which lines have many partners, and the partners for a task.
@@ -60,7 +60,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     The table has a fixed size. Words that share a bucket share a rank, which costs speed, not matches: any
     order of words that is the same for all lines is exact.
     """
-    table = docs.select("text").mapInArrow(_count_batches, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    table = docs.select("text").mapInArrow(tidy(_count_batches), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << COUNT_BITS, np.int64)
     counts[np.asarray(table["bucket"])] = np.asarray(table["n"])
     return np.minimum(2 * np.log2(counts + 1), (1 << _RANK_BITS) - 1).astype(np.uint64), int(counts.sum())
@@ -217,7 +217,7 @@ def _post(shared, parts: int):
                     post["size"][again] = 0
                     held.append({name: post[name].astype(kind) for name, kind in _COLUMNS})
                     n += len(k)
-                if n >= 1_000_000:
+                if n >= 500_000:
                     yield flush()
                     held, n = [], 0
                     known.settle()
@@ -247,10 +247,10 @@ def _pairs(first: int | None, only: np.ndarray | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        blocks = [_unpacked(x, unpack) for batch in batches for x in batch.column(1).to_pylist()]
+        blocks = [_unpacked(x.as_py(), unpack) for batch in batches for x in batch.column(1)]
         if not blocks:
             return
-        c = {name: np.concatenate([x[name] for x in blocks]) for name, _ in _COLUMNS}
+        c = {name: np.concatenate([x.pop(name) for x in blocks]) for name, _ in _COLUMNS}
         del blocks
 
         def out(kind, x, y=None, near=None):
@@ -426,7 +426,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     shared = rarity(docs)
     parts = max(8, -(-shared[1] * (DEN - NUM) // DEN // TASK))
     shared = spark.sparkContext.broadcast(shared)
-    posted = docs.mapInArrow(_post(shared, parts), "part int, block binary").repartition(parts, "part")
+    posted = docs.mapInArrow(tidy(_post(shared, parts)), "part int, block binary").repartition(parts, "part")
     key, other = ["doc", "version", "line"], ["y_doc", "y_version", "y_line"]
 
     def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -444,7 +444,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         pairs = found.where("kind = 1")
         bits = _flag_bits(2 * pairs.count())
         picked = spark.sparkContext.broadcast([_bit_table(pairs, c, bits) for c in (["pick", "y_pick"], ["doc_pick", "y_doc_pick"])])
-        sets = docs.mapInArrow(_whole_sets(shared, picked), "doc bigint, version bigint, line int, words array<bigint>")
+        sets = docs.mapInArrow(tidy(_whole_sets(shared, picked)), "doc bigint, version bigint, line int, words array<bigint>")
         sets = written(sets, "sets").dropDuplicates(key)
         # the closest candidate settles most lines; only the others' sets are moved again
         closest = pairs.groupBy(*key).agg(F.min(F.struct("near", *other)).alias("y")).select(*key, *[f"y.{c}" for c in other])
@@ -457,7 +457,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         ends = rest.select(*key).unionByName(rest.select(*[F.col(b).alias(a) for a, b in zip(key, other, strict=True)])).distinct()
         return matched.unionByName(alike(rest, sets.join(ends, key, "left_semi"))), sets
 
-    found = written(posted.mapInArrow(_pairs(FIRST, None), _FOUND), "candidates")
+    found = written(posted.mapInArrow(tidy(_pairs(FIRST, None)), _FOUND), "candidates")
     matched, sets = verified(found)
     gone = written(found.where("kind = 0").select(*key).unionByName(matched).distinct(), "removed")
     open_ = written(found.where("kind = 2").select(*key, "pick").distinct().join(gone, key, "left_anti"), "open")
@@ -468,9 +468,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         rows = open_.join(sets, key)
         if rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= OPEN_WORDS:
             rows = [(r["doc"], r["version"], r["line"], np.array(r["words"], np.int64).tobytes()) for r in rows.toLocalIterator()]
-            rest = docs.mapInArrow(_scan_open(shared, spark.sparkContext.broadcast(rows)), "doc bigint, version bigint, line int")
+            rest = docs.mapInArrow(tidy(_scan_open(shared, spark.sparkContext.broadcast(rows))), "doc bigint, version bigint, line int")
             return gone.unionByName(rest).distinct()
-    rest = written(posted.mapInArrow(_pairs(None, _bit_table(open_, ["pick"], _flag_bits(lines_left))), _FOUND), "candidates")
+    rest = written(posted.mapInArrow(tidy(_pairs(None, _bit_table(open_, ["pick"], _flag_bits(lines_left)))), _FOUND), "candidates")
     rest = rest.join(open_.select(*key), key, "left_semi").select(*found.columns)
     return gone.unionByName(verified(written(rest, "candidates"))[0]).distinct()
 

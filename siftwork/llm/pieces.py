@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 _SPACE = "▁"
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
@@ -197,7 +197,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession, 4)
     docs = docs.drop("ids")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encode_batches(docs.sparkSession.sparkContext.broadcast(pieces or load())), schema)
+    return docs.mapInArrow(tidy(_encode_batches(docs.sparkSession.sparkContext.broadcast(pieces or load()))), schema)
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
@@ -205,7 +205,7 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
     bounded_batches(encoded.sparkSession, 4)
     encoded = encoded.drop("decoded")
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
-    return encoded.mapInArrow(_decode_batches(encoded.sparkSession.sparkContext.broadcast(pieces or load())), schema)
+    return encoded.mapInArrow(tidy(_decode_batches(encoded.sparkSession.sparkContext.broadcast(pieces or load()))), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 from ..functions.scan import _LEAD, _SPACE, Counts, hashes, lines, mix, per_document, pieces, windows, words
 
 #: log2 of the number of hashed n-grams; the tables of counts have this fixed size at any scale.
@@ -84,7 +84,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, bits: int = BITS) -> np.ndar
     some = trusted.select("doc_id").where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
     few = some.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     marked = docs.select("doc_id", "text").join(F.broadcast(some) if few else some, "doc_id", "left").select("text", "trusted")
-    counts = marked.mapInArrow(_count_batches(bits), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = marked.mapInArrow(tidy(_count_batches(bits)), "bucket int, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     table = counts.toArrow()
     at = np.asarray(table["bucket"])
@@ -166,7 +166,7 @@ def scored(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, bi
     docs = docs.drop(*new, "llr", "base_failed", "kept")
     ratios = log_ratios(docs, trusted, bits)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(k, T.LongType()) for k in new], T.StructField("llr", T.DoubleType())])
-    out = docs.mapInArrow(_measure_batches(spark.sparkContext.broadcast(ratios), bits), schema)
+    out = docs.mapInArrow(tidy(_measure_batches(spark.sparkContext.broadcast(ratios), bits)), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
 
