@@ -39,12 +39,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: later stages read it again, whatever executor is lost."""
+    """df as a Parquet table in the shared folder: later stages read it again, whatever executor is lost.
+
+    What was shuffled for it is removed when it stands.
+    """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_path(spark, label), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes written tables that nothing reads any more: what was made of them is written itself."""
+    for table in tables:
+        place = None if table is None else vars(table).get("written_to")
+        if place:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
@@ -95,6 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
         to = low.select(F.col("node").alias("from"), F.col("component").alias("next"))
         after = low.join(to, low.component == to["from"], "left").select("node", "was", F.least("component", "next").alias("component"))
         after = written(after, "labels")
+        drop(labels, low)
         labels = after.select("node", "component")
+        labels.written_to = vars(after)["written_to"]
         if after.where("was <> component").isEmpty():
+            drop(both)
             return labels

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy, written
+from .common import bounded_batches, drop, tidy, written
 from ..functions.scan import Counts, hashes, lines, mix, pieces, words
 
 #: The similarity from which lines match, as a fraction.
@@ -441,38 +441,48 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         return x.join(y, [*other, "salt"]).where(same).select(*key).distinct()
 
     def verified(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The lines that match, and the sets of all candidates, both written."""
         pairs = found.where("kind = 1")
         bits = _flag_bits(2 * pairs.count())
         picked = spark.sparkContext.broadcast([_bit_table(pairs, c, bits) for c in (["pick", "y_pick"], ["doc_pick", "y_doc_pick"])])
-        sets = docs.mapInArrow(tidy(_whole_sets(shared, picked)), "doc bigint, version bigint, line int, words array<bigint>")
-        sets = written(sets, "sets").dropDuplicates(key)
+        kept = docs.mapInArrow(tidy(_whole_sets(shared, picked)), "doc bigint, version bigint, line int, words array<bigint>")
+        kept = written(kept, "sets")
+        sets = kept.dropDuplicates(key)
         # the closest candidate settles most lines; only the others' sets are moved again
         closest = pairs.groupBy(*key).agg(F.min(F.struct("near", *other)).alias("y")).select(*key, *[f"y.{c}" for c in other])
         closest = written(closest, "closest")
         matched = written(alike(closest, sets), "matched")
         rest = pairs.select(*key, *other).join(closest.select(*key).join(matched, key, "left_anti"), key, "left_semi").distinct().join(closest, [*key, *other], "left_anti")
         rest = written(rest, "pairs")
-        if rest.isEmpty():
-            return matched, sets
-        ends = rest.select(*key).unionByName(rest.select(*[F.col(b).alias(a) for a, b in zip(key, other, strict=True)])).distinct()
-        return matched.unionByName(alike(rest, sets.join(ends, key, "left_semi"))), sets
+        if not rest.isEmpty():
+            ends = rest.select(*key).unionByName(rest.select(*[F.col(b).alias(a) for a, b in zip(key, other, strict=True)])).distinct()
+            both = written(matched.unionByName(alike(rest, sets.join(ends, key, "left_semi"))), "matched")
+            drop(matched)
+            matched = both
+        drop(closest, rest)
+        return matched, kept
 
     found = written(posted.mapInArrow(tidy(_pairs(FIRST, None)), _FOUND), "candidates")
     matched, sets = verified(found)
     gone = written(found.where("kind = 0").select(*key).unionByName(matched).distinct(), "removed")
     open_ = written(found.where("kind = 2").select(*key, "pick").distinct().join(gone, key, "left_anti"), "open")
     lines_left = open_.count()
+    drop(matched, found)
     if not lines_left:
+        drop(sets, open_)
         return gone
     if lines_left <= OPEN_LINES:
-        rows = open_.join(sets, key)
+        rows = open_.join(sets.dropDuplicates(key), key)
         if rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0] <= OPEN_WORDS:
             rows = [(r["doc"], r["version"], r["line"], np.array(r["words"], np.int64).tobytes()) for r in rows.toLocalIterator()]
+            drop(sets, open_)
             rest = docs.mapInArrow(tidy(_scan_open(shared, spark.sparkContext.broadcast(rows))), "doc bigint, version bigint, line int")
             return gone.unionByName(rest).distinct()
+    drop(sets)
     rest = written(posted.mapInArrow(tidy(_pairs(None, _bit_table(open_, ["pick"], _flag_bits(lines_left)))), _FOUND), "candidates")
-    rest = rest.join(open_.select(*key), key, "left_semi").select(*found.columns)
-    return gone.unionByName(verified(written(rest, "candidates"))[0]).distinct()
+    more, sets = verified(written(rest.join(open_.select(*key), key, "left_semi").select(*found.columns), "candidates"))
+    drop(sets, rest, open_)
+    return gone.unionByName(more).distinct()
 
 
 def keyed(docs: DataFrame, doc: str = "doc", version: str = "version") -> DataFrame:
