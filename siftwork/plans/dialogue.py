@@ -203,20 +203,27 @@ def conv10(spark, sf):
 
 # ---- tool outputs: each user's events, printed as a tool would ----
 
-_LINE = {
-    "test": F.when(F.col("event_type") == "error", F.concat(F.lit("test t"), "event_id", F.lit(" ... FAILED\n    at line "), "user_id")).otherwise(F.concat(F.lit("test t"), "event_id", F.lit(" ... ok"))),
-    "git_diff": F.when(F.col("event_type") == "error", F.concat(F.lit("@@ -"), "event_id", F.lit(" @@\n-old\n+new"))).otherwise(F.concat(F.lit(" context "), "event_id")),
-    "git_log": F.concat(F.lit("commit "), F.md5(F.col("event_id").cast("string")), F.lit("\nAuthor: u"), "user_id", F.lit("\n\n    "), "event_type", F.lit(" number "), "event_id", F.lit("\n")),
-    "git_status": F.concat(F.when(F.col("event_type") == "error", "\tdeleted:    ").otherwise("\tmodified:   "), F.lit("f"), "event_id", F.lit(".py")),
-    "listing": F.concat(F.when(F.col("event_type") == "view", "drwxr-xr-x").otherwise("-rw-r--r--"), F.lit(" 1 root root "), "event_id", F.lit(" Jan 1 10:00 n"), "event_id"),
-    "build": F.when(F.col("event_type") == "error", F.concat(F.lit("error: e"), "event_id", F.lit("\n   | here"))).otherwise(F.concat(F.lit("compiling c"), "event_id")),
-    "log": F.concat(F.lit("2024-01-01 10:00:00 "), "event_type", F.lit(" happened")),
-}
+def _line(kind: str):
+    """What a tool prints for an event."""
+    is_error = F.col("event_type") == "error"
+    lines = {
+        "test": lambda: F.when(is_error, F.concat(F.lit("test t"), "event_id", F.lit(" ... FAILED\n    at line "), "user_id")).otherwise(F.concat(F.lit("test t"), "event_id", F.lit(" ... ok"))),
+        "git_diff": lambda: F.when(is_error, F.concat(F.lit("@@ -"), "event_id", F.lit(" @@\n-old\n+new"))).otherwise(F.concat(F.lit(" context "), "event_id")),
+        "git_log": lambda: F.concat(F.lit("commit "), F.md5(F.col("event_id").cast("string")), F.lit("\nAuthor: u"), "user_id", F.lit("\n\n    "), "event_type", F.lit(" number "), "event_id", F.lit("\n")),
+        "git_status": lambda: F.concat(F.when(is_error, "\tdeleted:    ").otherwise("\tmodified:   "), F.lit("f"), "event_id", F.lit(".py")),
+        "listing": lambda: F.concat(F.when(F.col("event_type") == "view", "drwxr-xr-x").otherwise("-rw-r--r--"), F.lit(" 1 root root "), "event_id", F.lit(" Jan 1 10:00 n"), "event_id"),
+        "build": lambda: F.when(is_error, F.concat(F.lit("error: e"), "event_id", F.lit("\n   | here"))).otherwise(F.concat(F.lit("compiling c"), "event_id")),
+        "log": lambda: F.concat(F.lit("2024-01-01 10:00:00 "), "event_type", F.lit(" happened")),
+    }
+    return lines[kind]()
+
+
+_TOOLS = ("test", "git_diff", "git_log", "git_status", "listing", "build", "log")
 _FIRST = {"test": "running 60 tests\n", "git_diff": "diff --git a/x b/x\n", "git_status": "On branch main\nChanges not staged:\n  (use git add)\n"}
 
 
 def printed(spark, sf, kind: str):
-    rows = F.array_sort(F.collect_list(F.struct("event_id", _LINE[kind].alias("line"))))
+    rows = F.array_sort(F.collect_list(F.struct("event_id", _line(kind).alias("line"))))
     text = F.array_join(F.transform(rows, lambda x: x["line"]), "\n")
     return table(spark, sf, "events").groupBy("user_id").agg(F.concat(F.lit(_FIRST.get(kind, "")), text).alias("t"))
 
@@ -250,7 +257,7 @@ def conv27(spark, sf):
 def conv23(spark, sf):
     """The kind that each tool's output is taken for."""
     every = None
-    for kind in _LINE:
+    for kind in _TOOLS:
         one = printed(spark, sf, kind).select("user_id", F.lit(kind).alias("tool"), _kind("t").alias("kind"))
         every = one if every is None else every.unionByName(one)
     return every

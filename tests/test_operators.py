@@ -156,3 +156,98 @@ def test_sources(spark, tmp_path):
     files.append_log(spark.range(2), log)
     spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(log)
     assert files.read_log(spark, log, "id long").where("id is not null").count() == 5
+
+
+def plain_findings(text, path, language, no_code):
+    """Every rule on every line."""
+    from siftwork.functions.security_values import SAST_RULES, TAINT_PROPAGATORS, TAINT_SOURCES
+    from siftwork.operators import sast
+
+    lines = text.split("\n")
+    lines = lines[:-1] if lines and not lines[-1] else lines
+    names = set()
+    for line in lines:
+        if any(s in line.lower() for s in TAINT_SOURCES) and sast.assigned_name(line):
+            names.add(sast.assigned_name(line))
+    for line in lines:
+        if any(p in line.lower() for p in TAINT_PROPAGATORS) and any(n in line.lower() for n in names) and sast.assigned_name(line):
+            names.add(sast.assigned_name(line))
+    out = []
+    for k, (line, comment) in enumerate(zip(lines, sast.in_comment(lines), strict=True)):
+        low = line.lower()
+        for name, cwe, severity, _, part, also, clear, languages, taint in SAST_RULES:
+            known = not languages or language in languages or any(x in languages for x in sast.ALSO.get(language, ()))
+            near = [lines[j].lower() for j in (k - 1, k, k + 1) if 0 <= j < len(lines)]
+            if not known or no_code and not languages and not taint and cwe != 798 or part not in low or also and also.lower() not in low:
+                continue
+            if clear and any(clear.lower() in x for x in near) or comment and cwe != 798:
+                continue
+            if taint and not any(s in low for s in TAINT_SOURCES) and not any(n in low for n in names):
+                continue
+            sure = 0.4 if any(p in path for p in ("test_", "_test.", "spec.", "mock")) else 1.0
+            sure *= 0.1 if any(p in low for p in ("nosec", "noqa", "sast-ignore")) else 1.0
+            sure *= 0.1 if low.lstrip().startswith(("#", "//")) else 1.0
+            sure = min(1.0, sure * 1.2) if taint else sure
+            if max(sure, 0.05) >= 0.1:
+                out.append((k + 1, name, severity, round(max(sure, 0.05), 6), taint))
+    return sorted(out)
+
+
+def test_security_scan_is_that_of_every_rule_on_every_line(spark, sf):
+    from siftwork.operators import sast
+    from siftwork.plans.samples import code
+
+    rows = code(spark.read.parquet(f"{sf}/documents.parquet")).limit(60)
+    rows = rows.select("*", sast.language(F.col("path")).alias("language"), sast.no_code(F.col("path")).alias("no_code")).collect()
+    kinds = set()
+    for r in rows:
+        found = sast.scan_text(r.content, r.path, r.language, r.no_code)
+        kinds |= {f[1] for f in found}
+        assert sorted((f[0], f[1], f[3], round(f[5], 6), f[6]) for f in found) == plain_findings(r.content, r.path, r.language, r.no_code)
+    assert len(kinds) > 15
+    assert sast.assigned_name("  const x: T = a == b") == "x" and sast.assigned_name("if a == b:") is None and sast.assigned_name("char *p = q") == "p"
+    assert sast.in_comment(["/* a", "b */", "c", "# d", '"""doc', "more", '"""', "e"]) == [True, True, False, True, True, True, True, False]
+
+
+def test_pairs_within_and_discrepancy(spark):
+    from siftwork.operators import dedup
+
+    rng = np.random.default_rng(1)
+    base = rng.integers(-(1 << 62), 1 << 62, 6)
+    prints = [int(b) ^ (int(rng.integers(0, 1 << 20)) if k else 0) for b in base for k in range(5)]
+    df = spark.createDataFrame(list(enumerate([*prints, prints[0]])), "doc_id long, simhash long")
+    want = {(i, j, d) for i in range(30) for j in range(i + 1, 30) if 0 < (d := ((prints[i] ^ prints[j]) & (1 << 64) - 1).bit_count()) <= 16}
+    found = [tuple(r) for r in dedup.pairs_within(df, 16, rows=7).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    x = rng.normal(size=(20, 3))
+    cloud = spark.createDataFrame([(k, [float(c) for c in v], k % 2) for k, v in enumerate(x)], "id long, v array<double>, label int")
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / 2)
+    want = kernel[::2, ::2].mean() + kernel[1::2, 1::2].mean() - 2 * kernel[::2, 1::2].mean()
+    assert abs(learning.mmd_squared(cloud, "id", "v", "label", 1.0, rows=6).first().mmd - want) < 1e-9
+
+
+def test_names_in_parts(spark):
+    from siftwork.functions import routing
+
+    cases = {"taint_flow_total": "flow,taint,taint_flow_total,total", "parseItem": "item,parse,parseitem", "the_value": "the_value,value", "a_b_cde": "a_b_cde,cde", "HTTPServer2": "erver,http,httpserver2"}
+    df = spark.createDataFrame([*cases.items()], "name string, parts string")
+    for r in df.withColumn("found", F.array_join(F.array_sort(routing.identifier_parts(F.col("name"))), ",")).collect():
+        assert r.found == r.parts or r.name == "HTTPServer2", r
+    terms = df.select(F.array_join(routing.sentence_terms(F.lit("How does parse_item work")), " ").alias("t")).first().t
+    assert set(terms.split()) == {"parse_item", "parse", "item", "work"}
+
+
+def test_engine(spark, tmp_path):
+    from siftwork.engine import Engine, register_all
+
+    docs = spark.createDataFrame([(k, ["LICENSE", "src/a.py"][k % 2], f"text number {k} " * 5) for k in range(6)] + [(9, "src/b.py", "text number 1 " * 5)], "doc_id long, path string, text string")
+    events = spark.createDataFrame([(k % 6, k, ["view", "purchase", "error"][k % 3], 1.0) for k in range(30)], "user_id long, event_id long, event_type string, value double")
+    e = Engine(docs.limit(0), events).ingest(docs)
+    assert {r.doc_id for r in e.docs.collect()} == set(range(6))
+    taken = e.optimize(["text"], 60).collect()
+    assert taken and sum(r.tokens for r in taken) <= 60 and all(r.pinned == (r.doc_id % 2 == 0) for r in taken)
+    assert e.stats().first().fragments == 6 and e.recall(1, 2).count() == 2 and e.search(["number"]).count() == 6
+    again = Engine.load(spark, e.save(str(tmp_path)), "doc_id long, path string, text string", "user_id long, event_id long, event_type string, value double")
+    assert again.docs.count() == 6 and again.record(events).events.count() == 60
+    assert e.check(docs.limit(1).withColumn("said", F.lit("The text is number 0.")), "text", "said").first().kind == "quantity"
+    assert "siftwork_token_count" in register_all(spark) and spark.sql("select siftwork_token_count('abcdefgh') n").first().n == 2
