@@ -69,11 +69,11 @@ def pieces(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         yield i, j, b[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of anything but ASCII white space; none crosses a document's end."""
+def words(b: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of anything but space (a flag for each byte), as it comes ASCII white space; none crosses a document's end."""
     if not len(b):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[b]
+    solid = ~space[b]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
