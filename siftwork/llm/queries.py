@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, exact_dedup, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_shards, warc
+from . import ann, exact_dedup, lexical, line_dedup, mixing, pieces, quality_model, quality_rules, secrets, simhash, token_shards, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_nearest_neighbours": ann.query,
     "op10_mixing": mixing.query,
     "op11_exact_dedup": exact_dedup.query,
+    "op12_lexical_search": lexical.query,
 }
 
-ORACLES: dict[str, str] = {"op8_secret_scans": secrets.SQL, "op10_mixing": mixing.SQL, "op11_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op8_secret_scans": secrets.SQL, "op10_mixing": mixing.SQL, "op11_exact_dedup": exact_dedup.SQL, "op12_lexical_search": lexical.SQL}
