@@ -42,6 +42,26 @@ def ranked_fill(df: DataFrame, group: str, budget: int, order: list, tokens: str
     return df.withColumn("used", F.sum(tokens).over(w)).where(F.col("used") <= budget)
 
 
+def first_fit(df: DataFrame, group: str, budget: int, order: list, keep: list[str], candidates: int = 50, tokens: str = "tokens") -> DataFrame:
+    """Rows (group, place, used, *keep) of each group's best candidates, in order, that fit what is left of the budget.
+
+    Only the first so many rows of a group are looked at, which is what bounds the array that a group is folded
+    over; a row that does not fit is passed over, and smaller ones behind it may still be taken. place counts
+    from 1; used is the sum of tokens so far. Rows of null or no tokens are left out.
+    """
+    from pyspark.sql import Window
+
+    rows = df.where(F.col(tokens) > 0).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= candidates)
+    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(tokens).cast("long").alias("_t"), *keep))).alias("rows"))
+    fits = lambda acc, x: acc["used"] + x["_t"] <= budget
+    # the fold keeps the sum, and the sum at each row that was taken (null at others)
+    step = lambda acc, x: F.struct((acc["used"] + F.when(fits(acc, x), x["_t"]).otherwise(0)).alias("used"), F.concat(acc["at"], F.array(F.when(fits(acc, x), acc["used"] + x["_t"]))).alias("at"))
+    sums = F.aggregate("rows", F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("at")), step, lambda acc: acc["at"])
+    taken = F.filter(F.zip_with("rows", sums, lambda row, used: F.struct(row.alias("row"), used.alias("used"))), lambda x: x["used"].isNotNull())
+    out = listed.select(group, F.posexplode(taken).alias("place", "x"))
+    return out.select(group, (F.col("place") + 1).alias("place"), F.col("x.used").alias("used"), *[F.col(f"x.row.{c}").alias(c) for c in keep])
+
+
 def knapsack(values: np.ndarray, costs: np.ndarray, budget: int) -> list[int]:
     """0/1 dynamic programme over costs in steps of budget / 1000, values to four places."""
     step = max(budget // 1000, 1)
