@@ -21,7 +21,7 @@ _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text in a shard (a longer document is a shard of its own), and documents whose scores are summed at once.
-SHARD_BYTES, WINDOW = 8 << 20, 8192
+SHARD_BYTES, WINDOW = 4 << 20, 8192
 #: Rows of questions' terms that go to the tasks at once; more of them are asked in blocks.
 BLOCK_TERMS = 200_000
 K = 10
@@ -63,22 +63,27 @@ def _binary(data: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(document, start, length, hash, first 8 bytes, last 8 bytes) of all terms, and all bytes in lower case."""
+    """(document, start, length, hash) of all terms, and all bytes in lower case, 8 more behind them."""
     b, off = scan.buffers(texts)
-    b = _LOWER[b]
-    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    b = np.concatenate([_LOWER[b], np.zeros(8, np.uint8)])
+    place = np.int32 if len(b) < 1 << 31 else np.int64
+    parts: list[list[np.ndarray]] = [[] for _ in range(4)]
     for i, j in scan.chunks(off):
         piece = b[off[i] : off[j]]
         starts, ends = scan.words(piece, off[i : j + 1] - off[i], _BREAK)
-        at = np.ndarray(len(piece) + 1, "<u8", np.concatenate([piece, np.zeros(9, np.uint8)]), strides=(1,))
-        size = ends - starts
-        mask = np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - np.uint64(1))
         doc = np.searchsorted(off[i : j + 1] - off[i], starts, "right") - 1 + i
-        for part, x in zip(parts, (doc, starts + off[i], size, scan.hashes(piece, starts, ends), at[starts] & mask, at[np.maximum(starts, ends - 8)] & mask), strict=True):
-            part.append(x)
+        for part, x, kind in zip(parts, (doc, starts + off[i], ends - starts, scan.hashes(piece, starts, ends)), (np.int32, place, place, np.uint64), strict=True):
+            part.append(x.astype(kind))
     return (*[np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts], b)
 
 
+def _ends_of(b: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last 8 bytes of terms, as numbers."""
+    at = np.ndarray(len(b) - 7, "<u8", b, strides=(1,))
+    mask = np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(size, 7) * 8).astype(np.uint64)) - np.uint64(1))
+    return at[start] & mask, at[np.maximum(start, start + size - 8)] & mask
+
+
 def shard_rows(name: str, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
     """The index of some documents: a head (term null) with their identifiers and lengths, then postings by term.
 
@@ -88,28 +93,29 @@ def shard_rows(name: str, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch | No
     """
     order = pc.sort_indices(ids, null_placement="at_end")
     ids, texts = ids.take(order), texts.take(order)
-    doc, start, size, h, head, tail, b = _tokens(texts)
+    doc, start, size, h, b = _tokens(texts)
     lengths = np.bincount(doc, minlength=len(ids))
-    number = np.cumsum(lengths > 0) - 1
     if not len(doc):
         return None
-    doc = number[doc]
-    by = np.argsort(h, kind="stable")
-    differs = lambda by, *xs: np.logical_or.reduce([x[by][1:] != x[by][:-1] for x in xs])
-    if (differs(by, h, size, head, tail) != differs(by, h)).any():  # two terms share a hash: by all that tells them apart
-        by = np.lexsort((doc, tail, head, size, h))
-    new_term = np.concatenate([[True], differs(by, h, size, head, tail)])
-    new = new_term | np.concatenate([[True], differs(by, doc)])
+    doc = (np.cumsum(lengths > 0, dtype=np.int32) - 1)[doc]
+    by = np.argsort(h, kind="stable").astype(np.int32 if len(h) < 1 << 31 else np.int64)
+    changes = lambda *xs: np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in xs])])
+    new_term, told = changes(h[by]), changes(h[by], size[by], *_ends_of(b, start[by], size[by]))
+    if (new_term != told).any():  # two terms share a hash: in order of all that tells them apart
+        by = np.lexsort((doc, *_ends_of(b, start, size), size, h))
+        new_term = changes(h[by], size[by], *_ends_of(b, start[by], size[by]))
+    del h, told
+    new = new_term | changes(doc[by])
     at = np.flatnonzero(new)
     tf = np.diff(np.concatenate([at, [len(by)]]))
     docs, firsts = doc[by][at], np.flatnonzero(new_term[at])
-    step = np.diff(docs, prepend=0)
+    step = np.diff(docs, prepend=docs.dtype.type(0))
     step[firsts] = docs[firsts]
     data, ends = packed(np.stack([step, tf], 1).ravel())
     lasts = np.concatenate([firsts[1:], [len(at)]])
     totals = np.add.reduceat(tf, firsts)
     one = by[at[firsts]]  # a token of each term
-    term_ends = np.cumsum(size[one])
+    term_ends = np.cumsum(size[one], dtype=np.int64)
     spread = np.repeat(start[one] - (term_ends - size[one]), size[one]) + np.arange(term_ends[-1])
     has = pa.array(lengths > 0)
     own, n = ids.filter(has), int((lengths > 0).sum())
