@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_terms
@@ -29,25 +31,30 @@ def bm25(df: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text
     return out.select(key, "matched", (F.col("base") + F.pow(coverage, F.lit(1.5)) * 0.5 * F.col("base")).alias("score"))
 
 
-def bm25_many(df: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str = "text", k1: float = K1, b: float = B, most_terms: int = 500_000) -> DataFrame:
+def bm25_many(df: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str = "text", k1: float = K1, b: float = B, most_terms: int = 500_000, terms: Callable[[Column], Column] = code_terms, coverage: float = 0.5, parts: bool = False) -> DataFrame:
     """Rows (item, key, matched, score): bm25() of every question of a table (item, question) at once, each over all fragments.
 
     Every text is tokenised once, and only terms that some question has are counted. The questions' terms are
     broadcast up to most_terms rows, else joined by shuffle. A row for each question and fragment that share a
     term is made, so a question's cost is that of its terms' postings. Questions that repeat an item are one.
+    terms makes an array of terms of a text; coverage is how much a question whose terms are all met gains.
+    With parts, rows that repeat a key are parts of one text: their counts are added up, their texts never joined.
     """
-    asked = questions.select(F.col(item).alias("_item"), F.explode(code_terms(F.col(question))).alias("term")).distinct()
+    asked = questions.select(F.col(item).alias("_item"), F.explode(terms(F.col(question))).alias("term")).distinct()
     small = lambda d: F.broadcast(d) if asked.count() <= most_terms else d
     wanted = asked.groupBy(F.col("_item").alias("_of")).agg(F.count("*").alias("wanted"))
-    tokens = df.select(key, code_terms(F.col(text)).alias("t")).select(key, F.size("t").alias("len"), "t")
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
-    tf = tokens.select(key, "len", F.explode("t").alias("term")).join(small(asked.select("term").distinct()), "term").groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    tokens = df.select(key, terms(F.col(text)).alias("t")).select(key, F.size("t").alias("len"), "t")
+    sizes = tokens.groupBy(key).agg(F.sum("len").alias("len")) if parts else tokens
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    size = [] if parts else ["len"]
+    tf = tokens.select(key, *size, F.explode("t").alias("term")).join(small(asked.select("term").distinct()), "term").groupBy(key, *size, "term").agg(F.count("*").alias("tf"))
     df_of = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = tf.join(sizes, key) if parts else tf
     weights = asked.join(df_of, "term").join(wanted, F.col("_item").eqNullSafe(F.col("_of"))).select("_item", "term", "df", "wanted").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg", F.lit(1.0))))
     out = tf.join(small(weights), "term").groupBy("_item", key, "wanted").agg(F.count("*").alias("matched"), F.sum(part).alias("base"))
-    return out.select(F.col("_item").alias(item), key, "matched", (F.col("base") + F.pow(F.col("matched") / F.col("wanted"), F.lit(1.5)) * 0.5 * F.col("base")).alias("score"))
+    return out.select(F.col("_item").alias(item), key, "matched", (F.col("base") + F.pow(F.col("matched") / F.col("wanted"), F.lit(1.5)) * coverage * F.col("base")).alias("score"))
 
 
 def min_max(df: DataFrame, score: str) -> DataFrame:

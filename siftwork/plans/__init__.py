@@ -1,6 +1,6 @@
 """The queries of the engine, and the SQL they are held against."""
 
-from . import bus, channel, dialogue, fragments, knowledge, learning, more, outside, relational, routing, scalars, security  # noqa: F401  (they register their queries)
+from . import bus, channel, dialogue, fragments, knowledge, learning, more, outside, question, relational, routing, scalars, security  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES
 
 flagship = relational.flagship
