@@ -12,6 +12,8 @@ from .common import written
 #: Tables, axes probed by a query in each table, and the most vectors or queries of a bucket in one task.
 TABLES, PROBES, BLOCK = 16, 10, 4000
 SEED = 5
+#: Rows of the buckets that a query probes, repeats included, for each of the k it asks for: with fewer it is ranked against all.
+MET = 100
 
 
 def _signs(dim: int, tables: int, seed: int) -> np.ndarray:
@@ -124,8 +126,10 @@ def nearest(vectors: DataFrame, asked, k: int = 20, tables: int = TABLES, probes
     Hadamard transforms and files each vector under its nearest signed axis; a query probes its nearest axes.
     Buckets are cut into blocks of about `block` rows by a hash of the id, on both sides, so no bucket has to
     fit a task; each block ranks its candidates exactly, on the vectors as they are, and the best of all
-    blocks stay. A query that met fewer than k is held against all rows, in such blocks too, and gets k, or
-    all there are. Results are approximate only in which candidates are met.
+    blocks stay. A query whose probed buckets have fewer than MET * k rows in all is held against all rows
+    instead, in such blocks too, and gets k, or all there are: recall is low only where few candidates are met,
+    which is so for every query of a small table and for vectors far from others in a large one. Results are
+    approximate only in which candidates are met.
 
     Null vectors, those with null or non-finite components, of zero length or of another dimension than the
     most frequent one take no part, nor do rows without an id. Ties go to the smaller id. Rows repeated with
@@ -149,9 +153,11 @@ def nearest(vectors: DataFrame, asked, k: int = 20, tables: int = TABLES, probes
     filed = written(filed, "buckets")
     # at most tables * 4 * dim buckets a range of norms, whatever the number of vectors
     asking = filed.where("query").groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("q_cuts"))
-    cuts = filed.where("not query").groupBy("bucket", "span").agg(F.ceil(F.count("*") / block).cast("int").alias("x_cuts")).join(asking, "bucket")
+    cuts = filed.where("not query").groupBy("bucket", "span").agg(F.count("*").alias("rows")).withColumn("x_cuts", F.ceil(F.col("rows") / block).cast("int")).join(asking, "bucket")
     cuts = written(cuts, "cuts")
-    q = filed.where("query").drop("span").join(F.broadcast(cuts), "bucket")
+    probed = filed.where("query").select("bucket", "id").join(F.broadcast(cuts.groupBy("bucket").agg(F.sum("rows").alias("rows"))), "bucket")
+    many = written(probed.groupBy("id").agg(F.sum("rows").alias("met")).where(F.col("met") >= MET * k).select("id"), "many")
+    q = filed.where("query").drop("span").join(many, "id", "left_semi").join(F.broadcast(cuts), "bucket")
     x = filed.where("not query").join(F.broadcast(cuts), ["bucket", "span"])
     best = written(_best(q, x, k), "nearest")
     ids = rows.where("asked").select(F.col("id").alias("query_id")).distinct()

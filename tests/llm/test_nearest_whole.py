@@ -23,10 +23,18 @@ def recall(spark, x):
     return hits / total
 
 
-@pytest.mark.parametrize("n", [2, 16, 40])
-def test_few_vectors_fill_every_query(spark, sf, n):
+@pytest.mark.parametrize("n", [2, 16, 40, 60, 100, 200, 500])
+def test_few_vectors(spark, sf, n):
     x = np.stack([np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(n).collect()])
-    assert recall(spark, x) == 1.0 if n < 22 else recall(spark, x) > 0.5
+    assert recall(spark, x) == 1.0
+
+
+@pytest.mark.parametrize("n,kind", [(2000, "even"), (6000, "even"), (6000, "clusters")])
+def test_more_vectors(spark, n, kind):
+    """Vectors with and without near neighbours, enough of them that buckets decide what is met."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64)) + (4 * rng.normal(size=(40, 64))[rng.integers(0, 40, n)] if kind == "clusters" else 0)
+    assert recall(spark, x / np.linalg.norm(x, axis=1, keepdims=True)) >= 0.93
 
 
 @pytest.mark.parametrize("long", [4.0, 100.0])
