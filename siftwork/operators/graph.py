@@ -7,13 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Gives checkpoint() a folder where the session names none, as in local tests."""
+    """Gives checkpoint() the shared folder where the session has set none: of a local session's own, or an error."""
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftwork-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 15, damping: float = 0.85, every: int = 5) -> DataFrame:

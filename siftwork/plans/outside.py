@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import witness
 from ..sources import files
+from ..sources.shared import shared_dir as _folder
 from ..streaming import bus
 from .registry import query, table
 from .samples import PATHS, pick, quoted, sql_pick
@@ -21,20 +22,6 @@ def _paths(spark, sf):
     return table(spark, sf, "documents").select("doc_id", pick(PATHS, F.col("doc_id")).alias("path"))
 
 
-def _folder(spark) -> str:
-    """The folder that driver and executors share; one of this process where the session names none."""
-    import atexit
-    import shutil
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", "")
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="siftwork-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
-
-
 _ENDS = " OR ".join(f"ends_with(b, {quoted(e)})" for e in files.INDEXED)
 
 

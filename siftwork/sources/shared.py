@@ -30,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """From now on the session's unions promise nothing about where keys are.
+
+    Spark 4.1 takes a union of tables that are shuffled by one key to be shuffled by it. Adaptive execution may
+    coalesce them unlike each other, and an aggregation behind the union then leaves rows of one key apart.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
