@@ -338,3 +338,13 @@ def longest_share(claims: pd.Series, contexts: pd.Series) -> pd.Series:
         a, b = (a or "").lower(), (b or "").lower()
         out.append(longest_common(a, b) / len(a.encode()) if a and b else 0.0)
     return pd.Series(out)
+
+
+@pandas_udf(T.DoubleType())
+def quoted_share(claims: pd.Series, contexts: pd.Series) -> pd.Series:
+    """The share of a claim's characters that the longest run it has in common with the context covers, whatever their case."""
+    out = []
+    for a, b in zip(claims, contexts, strict=True):
+        x, y = [ord(c) for c in (a or "").lower()], [ord(c) for c in (b or "").lower()]
+        out.append(max(SuffixAutomaton(y).matches(x), default=0) / len(a) if x and y else 0.0)
+    return pd.Series(out)
