@@ -115,3 +115,9 @@ def exact_match(claimed: Column, expected: Column, tolerance: float = 0.01, shar
     close = (F.abs(a - b) <= tolerance) | (F.abs(a - b) <= share * F.abs(b))
     plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
     return F.when(a.isNotNull() & b.isNotNull(), close).otherwise(plain(claimed) == plain(expected))
+
+
+def as_fragments(beliefs: DataFrame, entity: str, confidence: str, body: str, sure: float = 0.85) -> DataFrame:
+    """beliefs with source, tokens and pinned: what a selection takes for fragments. A quarter of a body's characters are its tokens; sure ones are pinned."""
+    source = F.concat(F.lit("vault://beliefs/"), entity, F.lit("#"), F.substring(F.md5(entity), 1, 8))
+    return beliefs.withColumns({"source": source, "tokens": F.greatest(F.lit(1), F.floor(F.length(body) / 4)).cast("long"), "pinned": F.col(confidence) >= sure})

@@ -7,16 +7,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def greedy_fill(df: DataFrame, budget: int, key: str = "doc_id", tokens: str = "tokens", score: str = "score", chunk: int = 10_000) -> DataFrame:
     """Rows (key, tokens, score, place): first fit by descending score per token, then key.
 
     The rows are met in order, a chunk at a time: each chunk is a distributed top-k among the rows behind the
     last one that still fit, of which only key, tokens and score reach the driver. It ends when nothing fits,
-    so at most budget / least tokens rows are kept; no row that fits is passed over.
+    so at most budget / least tokens rows are kept; no row that fits is passed over. What is ordered is written
+    once and paged through, so df is computed once; densities count to twelve places, that equal ones tie.
     """
     spark = df.sparkSession
-    rows = df.select(key, tokens, score).where(F.col(tokens) > 0).withColumn("density", F.col(score) / F.col(tokens))
+    rows = written(df.select(key, tokens, score).where(F.col(tokens) > 0).withColumn("density", F.round(F.col(score) / F.col(tokens), 12)), "selection-rows")
     left, taken, last = budget, [], None
     while left > 0:
         rest = rows.where(F.col(tokens) <= left)
@@ -101,8 +104,10 @@ def knapsack_groups(df: DataFrame, group: str, key: str, value: str, cost: str,
 def lambda_star(df: DataFrame, budget: float, score: str = "score", tokens: str = "tokens", tau: float = 0.5, rounds: int = 6, width: int = 32) -> float:
     """The price of a token at which the expected use, sum of sigmoid((score - price * tokens) / tau) * tokens, meets the budget.
 
-    Each round evaluates a grid of prices in one pass, and goes on between the two around the budget.
+    Each round evaluates a grid of prices in one pass over scores and tokens, which are written once, and goes on
+    between the two around the budget.
     """
+    df = written(df.select(score, tokens), "selection-scores")
     low, high = 0.0, 1.0
     use = lambda p: F.sum(F.col(tokens) / (1 + F.exp(-(F.col(score) - p * F.col(tokens)) / tau)))
     if df.agg(use(0.0)).first()[0] <= budget:
@@ -119,6 +124,7 @@ def lambda_star(df: DataFrame, budget: float, score: str = "score", tokens: str
 
 def soft_select(df: DataFrame, budget: int, key: str = "doc_id", score: str = "score", tokens: str = "tokens", tau: float = 0.5) -> DataFrame:
     """Rows by their chance of selection at the price that meets the budget, first fit; the budget always holds."""
+    df = written(df.select(key, score, tokens), "selection-fragments")
     price = lambda_star(df, budget, score, tokens, tau)
     chance = 1 / (1 + F.exp(-(F.col(score) - price * F.col(tokens)) / tau))
     return greedy_fill(df.select(key, tokens, (chance * F.col(tokens)).alias("chance")), budget, key, tokens, "chance")

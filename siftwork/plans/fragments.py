@@ -109,11 +109,11 @@ def sel15(spark, sf):
     return m.select("path", one.alias("l1"), two.alias("l2"), F.greatest(F.lit(0), b - one - two).cast("long").alias("l3"))
 
 
-@query("sel36_drop_lowest", f"""WITH {FRAGMENTS}, u AS (SELECT path, doc_id, ceil(tokens * 0.01)::BIGINT AS cost, sum(ceil(tokens * 0.01)::BIGINT) OVER (PARTITION BY path ORDER BY score DESC, doc_id) AS used FROM sc) SELECT path, doc_id, cost, used::BIGINT AS used FROM u WHERE used <= 60""")
+@query("sel36_drop_lowest", f"""WITH {FRAGMENTS}, u AS (SELECT path, doc_id, ceil(tokens * 0.01)::BIGINT AS cost, sum(ceil(tokens * 0.01)::BIGINT) OVER (PARTITION BY path ORDER BY round(score, 9) DESC, doc_id) AS used FROM sc) SELECT path, doc_id, cost, used::BIGINT AS used FROM u WHERE used <= 60""")
 def sel36(spark, sf):
-    """All fragments of a module as references, the least relevant dropped until the rest fits."""
+    """All fragments of a module as references, the least relevant dropped until the rest fits; scores count to nine places."""
     s = scored(spark, sf).withColumn("cost", F.ceil(F.col("tokens") * 0.01).cast("long"))
-    return selection.ranked_fill(s, "path", 60, [F.desc("score"), F.asc("doc_id")], "cost").select("path", "doc_id", "cost", "used")
+    return selection.ranked_fill(s, "path", 60, [F.desc(F.round("score", 9)), F.asc("doc_id")], "cost").select("path", "doc_id", "cost", "used")
 
 
 @query("ret14_precision", f"WITH {FRAGMENTS} SELECT doc_id, round(semantic * CASE WHEN recency < 0.05 THEN 0.1 ELSE 1.0 END, 6)::DOUBLE AS precision FROM fr")

@@ -143,3 +143,26 @@ def load_latest(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     every = spark.read.schema(f"{schema}, checkpoint int").option("basePath", folder).json(folder)
     last = every.select("checkpoint").distinct().agg(F.max("checkpoint")).first()[0]
     return every.where(F.col("checkpoint") == last).drop("checkpoint")
+
+
+# --- fixed values: names and folders of a project's descriptions ---
+DOC_NAMES = ("README", "ARCHITECTURE", "CONTRIBUTING", "CHANGELOG", "DESIGN", "API", "OVERVIEW", "GUIDE", "SETUP", "DEPLOY")
+DOC_FOLDERS = ("docs", "doc", "documentation", "wiki")
+
+
+def compile_docs(df: DataFrame, path: str, text: str) -> DataFrame:
+    """The rows of df that describe a project, with entity, title, sections and words.
+
+    These are Markdown files at the top whose name begins with one that is usual, and all below a folder for
+    documents. The title is the first heading, else the name; sections are headings of the second and third
+    order; files without text are left out.
+    """
+    stem = F.regexp_extract(path, r"([^/]*)\.[^./]*$", 1)
+    top = ~F.col(path).contains("/") & F.upper(stem).rlike(f"^({'|'.join(DOC_NAMES)})")
+    rows = df.where(F.lower(path).endswith(".md") & (top | F.lower(path).rlike(f"^({'|'.join(DOC_FOLDERS)})/")) & (F.trim(text) != ""))
+    lines = F.split(text, "\n", -1)
+    title = F.get(F.filter(lines, lambda x: x.startswith("# ")), F.lit(0))
+    return rows.withColumns({
+        "entity": F.concat(F.lit("doc/"), F.lower(stem)), "title": F.coalesce(F.trim(F.substring(title, 3, 1 << 30)), F.lower(stem)),
+        "sections": F.transform(F.filter(lines, lambda x: x.startswith("## ") | x.startswith("### ")), F.trim), "words": F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))),
+    })
