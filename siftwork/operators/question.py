@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.routing import sentence_terms
 from ..sources.shared import written
@@ -126,14 +129,16 @@ def whole_files(fragments: DataFrame, questions: DataFrame, budget: int, file: s
     return taken.select(item, f"_key.{file}", f"_key.{key}", tokens, "place")
 
 
-def concepts(terms: Column) -> Column:
+@pandas_udf(ArrayType(DoubleType()))
+def concepts(terms: pd.Series) -> pd.Series:
     """Signed feature hashing of different terms to an array of unit length: the 32-bit start of a term's MD5 gives its place and its sign."""
-    marks = F.transform(F.array_distinct(terms), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
-    place = lambda h: F.pmod(h, F.lit(DIMENSIONS))
-    sign = lambda h: F.when(F.shiftright(h, 31) == 1, 1.0).otherwise(-1.0)
-    sums = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda d: F.aggregate(F.filter(marks, lambda h: place(h) == d), F.lit(0.0), lambda a, h: a + sign(h)))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(sums, lambda x: F.when(norm(sums) > 1e-12, x / norm(sums)).otherwise(0.0))
+    out = []
+    for row in terms:
+        marks = np.array([int(hashlib.md5(t.encode()).hexdigest()[:8], 16) for t in set(() if row is None else row)], np.int64)
+        v = np.bincount(marks % DIMENSIONS, np.where(marks >> 31, 1.0, -1.0), DIMENSIONS)
+        norm = np.linalg.norm(v)
+        out.append((v / norm if norm > 1e-12 else v).tolist())
+    return pd.Series(out)
 
 
 def _gains(vectors: np.ndarray, tau: np.ndarray, inverse: np.ndarray) -> np.ndarray:

@@ -98,12 +98,12 @@ def _gap(spark, sf):
     return f, chosen, room
 
 
-@query("sel18_marginal_gain", _CHOSEN + " SELECT conv_id, turn, round(gain, 6)::DOUBLE AS gain FROM gain")
+@query("sel18_marginal_gain", _CHOSEN + " SELECT conv_id, turn, round(gain, 10)::DOUBLE AS gain FROM gain")
 def sel18(spark, sf):
     f, chosen, room = _gap(spark, sf)
     rest = f.join(chosen.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti").join(room, "conv_id").where("room > 0 and tokens <= room")
     picked = f.join(chosen.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
-    return channel.marginal_gain(rest, picked, "conv_id", "turn", "text", "entropy", "defines").select("conv_id", "turn", F.round("gain", 6).alias("gain"))
+    return channel.marginal_gain(rest, picked, "conv_id", "turn", "text", "entropy", "defines").select("conv_id", "turn", F.round("gain", 10).alias("gain"))
 
 
 @query("sel17_trailing_pass", _CHOSEN + """,
