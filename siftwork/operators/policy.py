@@ -132,3 +132,40 @@ def covariances(df: DataFrame, group: list[str], columns: list[str]) -> DataFram
     """Rows (group, matrix): the covariance matrix of columns in each group, by rows, from partial sums."""
     cells = [F.covar_pop(a, b) for a in columns for b in columns]
     return df.groupBy(*group).agg(F.array(*cells).alias("matrix"))
+
+
+# --- fixed values: first order of entropy, rate, outcomes for a step, memory, first push, bounds ---
+ALPHA, ALPHA_RATE, EVERY, MEMORY, PUSH, ALPHA_BOUNDS = 2.0, 0.05, 50, 0.95, 0.1, (0.5, 8.0)
+
+
+def adaptive_alpha(rows: DataFrame, key: str, order: str, hit: str) -> DataFrame:
+    """Rows (key, alpha, hits, n): the order of entropy by which each cache judges what it keeps, learnt from its hits and misses.
+
+    hits is a mean that fades; after every fifty outcomes alpha moves up the slope of hits that its last move
+    showed, or is pushed where it has not moved, within its bounds. Outcomes count in order, null ones as misses.
+    Each task streams its keys' outcomes and keeps four numbers of the one at hand; no key's outcomes are held.
+    """
+    kind = dict(rows.dtypes)[key]
+    sorted_ = rows.select(key, order, F.coalesce(F.col(hit).cast("boolean"), F.lit(False)).alias("_hit")).repartition(key).sortWithinPartitions(key, order)
+
+    def run(frames):
+        now, state = None, None
+        for pdf in frames:
+            out = []
+            for k, h in zip(pdf[key].tolist(), pdf["_hit"].tolist(), strict=True):
+                k = None if k != k else k
+                if state is None or k != now:
+                    if state is not None:
+                        out.append((now, state[0], state[1], state[4]))
+                    now, state = k, [ALPHA, 0.0, ALPHA, 0.0, 0]
+                state[1] = MEMORY * state[1] + (1 - MEMORY) * h
+                state[4] += 1
+                if state[4] % EVERY == 0:
+                    alpha, hits, was, had, _ = state
+                    step = ALPHA_RATE * (hits - had) / (alpha - was) if abs(alpha - was) > 1e-6 else PUSH
+                    state[:4] = [min(ALPHA_BOUNDS[1], max(ALPHA_BOUNDS[0], alpha + step)), hits, alpha, hits]
+            yield pd.DataFrame(out, columns=[key, "alpha", "hits", "n"])
+        if state is not None:
+            yield pd.DataFrame([(now, state[0], state[1], state[4])], columns=[key, "alpha", "hits", "n"])
+
+    return sorted_.mapInPandas(run, f"{key} {kind}, alpha double, hits double, n long")

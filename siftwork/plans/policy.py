@@ -67,3 +67,11 @@ def lrn10(spark, sf):
     v = policy.covariances(rows, ["l_suppkey"], COLUMNS).withColumn("v", policy.eigenvalues("matrix"))
     total = lambda f: F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + f(x)), 6)
     return v.select("l_suppkey", total(lambda x: x).alias("trace"), total(lambda x: x * x).alias("squares"))
+
+
+@query("lrn34_adaptive_alpha")
+def lrn34(spark, sf):
+    """The order of entropy that each cache of ten customers' orders has learnt: urgent orders are hits; held against a plain fold in the tests."""
+    o = table(spark, sf, "orders").select(F.floor(F.col("o_custkey") / 10).alias("cache"), "o_orderkey", F.substring("o_orderpriority", 1, 1).isin("1", "2").alias("hit"))
+    out = policy.adaptive_alpha(o, "cache", "o_orderkey", "hit")
+    return out.select("cache", F.round("alpha", 6).alias("alpha"), F.round("hits", 6).alias("hits"), "n")

@@ -90,3 +90,27 @@ def test_eigenvalues_of_odd_matrices(spark):
     rows = [([2.0, 0.0, 0.0, 1.0],), ([5.0],), (None,), ([1.0, 2.0],), ([float("nan")] * 4,)]
     got = [r[0] for r in spark.createDataFrame(rows, "m array<double>").coalesce(1).select(policy.eigenvalues("m")).collect()]
     assert got == [[2.0, 1.0], [5.0], None, None, None]
+
+
+def plain_alpha(hits):
+    alpha = was = 2.0
+    mean = had = 0.0
+    for n, h in enumerate(hits, 1):
+        mean = 0.95 * mean + 0.05 * bool(h)
+        if n % 50 == 0:
+            step = 0.05 * (mean - had) / (alpha - was) if abs(alpha - was) > 1e-6 else 0.1
+            alpha, was, had = min(8.0, max(0.5, alpha + step)), alpha, mean
+    return round(alpha, 6), round(mean, 6), len(hits)
+
+
+def test_alpha_is_the_fold(spark, sf):
+    """The query over all orders; a key that is null, nulls for hits, keys of one outcome and of many."""
+    by = {}
+    for r in spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").collect():
+        by.setdefault(r.o_custkey // 10, []).append(r.o_orderpriority[0] in "12")
+    got = {r.cache: (r.alpha, r.hits, r.n) for r in QUERIES["lrn34_adaptive_alpha"](spark, sf).collect()}
+    assert got == {k: plain_alpha(v) for k, v in by.items()} and len({a for a, _, _ in got.values()}) > 3
+    rng = np.random.default_rng(3)
+    rows = [(k, n, None if rng.random() < 0.1 else bool(rng.random() < 0.2 + n / 900)) for k, size in ((None, 120), (1, 1), (2, 700), (3, 49)) for n in range(size)]
+    found = {r.k: (round(r.alpha, 6), round(r.hits, 6), r.n) for r in policy.adaptive_alpha(spark.createDataFrame(rows, "k long, at long, hit boolean"), "k", "at", "hit").collect()}
+    assert found == {k: plain_alpha([h for x, _, h in rows if x == k]) for k in (None, 1, 2, 3)}
