@@ -160,21 +160,27 @@ def log_det(rows: DataFrame, budget: int, group: str, key: str, criterion: str =
     with the best score among the others, to one task. As gains only shrink when more is picked, the task may go
     on picking for as long as its best is no worse than that bound, and renews the inverse by rank one; then the
     next pass scores anew what is left. Every pass picks at least one row in each group that still has one.
+
+    Only groups that need another pass hand on their inverse (32 KB, null for that of the prior alone), and those
+    are never broadcast: in Parquet, equal ones are so small that a join would take them for a small table.
     """
     kinds = dict(rows.dtypes)
     g, k = f"{group} {kinds[group]}", f"{key} {kinds[key]}"
     open_ = rows.select(group, key, F.col(tokens).cast("long").alias("_t"), F.col(tau).cast("double").alias("_tau"), F.col(vector).alias("_v")).where((F.col("_tau") > 0) & (F.col("_t") > 0) & (F.col("_t") <= budget))
     sizes = written(open_.groupBy(group).agg(F.count("*").alias("_n")), "question-sizes")
     open_ = open_.join(sizes, group).withColumn("_b", F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / block))).drop("_n")
-    begin = np.eye(DIMENSIONS) / PRIOR
-    state = written(sizes.select(group, F.lit(begin.tobytes()).alias("_m"), F.lit(budget).cast("long").alias("_left"), F.lit(0).alias("_done")), "question-state")
+    state = written(sizes.select(group, F.lit(None).cast("binary").alias("_m"), F.lit(budget).cast("long").alias("_left"), F.lit(0).alias("_done")), "question-state")
     limit = 1 if criterion == "singleton" else None
 
+    def inverse_of(state: pd.DataFrame) -> np.ndarray:
+        m = state["_m"].iloc[0]
+        return np.eye(DIMENSIONS) / PRIOR if m is None else np.frombuffer(m).reshape(DIMENSIONS, DIMENSIONS).copy()
+
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=[group, key, "_t", "_tau", "_v", "_s"])
         left = left[left["_t"] <= right["_left"].iloc[0]]
-        inverse = np.frombuffer(right["_m"].iloc[0]).reshape(DIMENSIONS, DIMENSIONS)
+        inverse = inverse_of(right)
         gains = _gains(np.stack(left["_v"]), left["_tau"].to_numpy(float), inverse) if len(left) else np.zeros(0)
         out = left.assign(_s=_worth(gains, left["_t"].to_numpy(), criterion), _gain=gains)
         return out[out["_gain"] >= GAIN][[group, key, "_t", "_tau", "_v", "_s"]]
@@ -186,7 +192,7 @@ def log_det(rows: DataFrame, budget: int, group: str, key: str, criterion: str =
         best = best.sort_values(["_s", key], ascending=[False, True])
         bound = best["_s"].iloc[keep] if len(best) > keep else -np.inf
         best = best.iloc[:keep].sort_values(key).reset_index(drop=True)
-        inverse, left, done = np.frombuffer(at["_m"].iloc[0]).reshape(DIMENSIONS, DIMENSIONS).copy(), int(at["_left"].iloc[0]), int(at["_done"].iloc[0])
+        inverse, left, done = inverse_of(at), int(at["_left"].iloc[0]), int(at["_done"].iloc[0])
         v, t, w = np.stack(best["_v"]), best["_t"].to_numpy(np.int64), best["_tau"].to_numpy(float)
         rest, out = np.ones(len(best), bool), []
         while limit is None or done < limit:
@@ -202,23 +208,24 @@ def log_det(rows: DataFrame, budget: int, group: str, key: str, criterion: str =
             rest[i], left, done = False, left - int(t[i]), done + 1
             u = inverse @ v[i]
             inverse -= w[i] / (1 + w[i] * float(v[i] @ u)) * np.outer(u, u)
-        end = left if bound > -np.inf and (limit is None or done < limit) else -1  # nothing is behind the bound: this group is done
         rows_ = [(best[group].iloc[0], i, p, x, None, None, None) for i, p, x in out]
-        return pd.DataFrame([*rows_, (best[group].iloc[0], None, None, None, inverse.tobytes(), end, done)], columns=names).astype({key: "object"})
+        if bound > -np.inf and left > 0 and (limit is None or done < limit):  # something is behind the bound
+            rows_.append((best[group].iloc[0], None, None, None, inverse.tobytes(), left, done))
+        return pd.DataFrame(rows_, columns=names).astype({key: "object"})
 
     taken: list[DataFrame] = []
     while True:
         spots = open_.select(F.col(group).alias("_of"), F.col("_b").alias("_at")).distinct()
-        each = state.join(spots, F.col(group).eqNullSafe(F.col("_of"))).select("_of", "_at", "_m", "_left")  # the state of a group for each of its blocks
+        each = state.hint("merge").join(spots, F.col(group).eqNullSafe(F.col("_of"))).select("_of", "_at", "_m", "_left")  # the state of a group for each of its blocks
         scored = open_.groupBy(group, "_b").cogroup(each.groupBy("_of", "_at")).applyInPandas(score, f"{g}, {k}, _t long, _tau double, _v array<double>, _s double")
         best = scored.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_s"), F.asc(key)))).where(F.col("_r") <= keep + 1).drop("_r")
         got = written(best.groupBy(group).cogroup(state.groupBy(group)).applyInPandas(pick, f"{g}, {k}, place int, gain double, _m binary, _left long, _done int"), "question-picked")
-        picks = got.where(F.col("_m").isNull()).select(group, key, "place", "gain")
+        picks = got.where(F.col("place").isNotNull()).select(group, key, "place", "gain")
         taken.append(picks)
-        state = got.where(F.col("_m").isNotNull() & (F.col("_left") > 0)).select(group, "_m", "_left", "_done")
+        state = got.where(F.col("place").isNull()).select(group, "_m", "_left", "_done")
         if state.isEmpty():
             return reduce(DataFrame.unionByName, taken)
-        open_ = written(open_.join(picks.select(group, key), [group, key], "left_anti").join(state.select(group), group, "left_semi"), "question-open")
+        open_ = written(open_.join(state.select(group), group, "left_semi").join(picks.select(group, key), [group, key], "left_anti"), "question-open")
 
 
 def best_of(choices: dict[str, DataFrame], group: str) -> DataFrame:

@@ -180,3 +180,21 @@ def test_choice_without_a_question(spark, sf, tables):
 
 def test_concepts_of_nothing(spark):
     assert spark.createDataFrame([([],)], "t array<string>").select(F.aggregate(question.concepts(F.col("t")), F.lit(0.0), lambda a, x: a + F.abs(x)).alias("x")).first().x == 0.0
+
+
+def test_log_det_hands_on_no_inverse_of_finished_groups(spark, monkeypatch):
+    """What a group has left to do is what the passes keep: none of groups that are done, and no broadcast of 32 KB a group."""
+    kept = []
+
+    def spy(df, label):
+        got = written(df, label)
+        kept.append((label, got))
+        return got
+
+    written = question.written
+    monkeypatch.setattr(question, "written", spy)
+    rows = spark.range(200).selectExpr("id % 50 as g", "id as k", "10L as tokens", "1.0D as tau", "transform(sequence(0, 63), i -> IF(i = id % 64, 1.0D, 0.0D)) as vector")
+    assert question.log_det(rows, 25, "g", "k").count() == 100
+    states = [df for label, df in kept if label in ("question-state", "question-picked")]
+    assert len(states) == 2
+    assert sum(df.where("_m is not null").count() for df in states) == 0
