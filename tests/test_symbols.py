@@ -109,3 +109,33 @@ def test_verify(spark):
     assert got == {i: (round(1 - math.exp(w[0]), 8), *w[1:]) for i, w in want.items()}
     assert 3 not in got and got[2][0] > 0.999
     assert verdicts.count() == sum(len(references(s or "")) for _, s in sources)
+
+
+def test_sources_of_one_shape_are_parsed_once(spark, monkeypatch):
+    """References are those of every source parsed on its own, whatever was remembered; odd sources are never of a shape."""
+    import pyarrow as pa
+
+    from siftwork.functions import code_refs
+
+    odd = [None, "", "x = 'f(a)'", 'f"{g(1)!r}"', "é(1)", "a(\\\n1)", "match(x)", "type(y)", "match x:\n case 1: f()\n", "f(_)", "def f(a): g(01)", "def f(a): g(10)", "0x1f(a)", "1if a else b(1)", "a.b.a(a, b)", "a.b.c(a, b)", "a.b.a(b, a)", "f(if)", "f(a\x00)", "__debug__(a)", "x__debug__(1)", "f(1.5)", "f(1_0)", "f(1e5)", "f(1 .real)", "# f(a)\n", "True(a)", "None.b", "self.x", "print (x)", "print x(1)"]
+    made = [f"class Big{i}(Base{i % 7}):\n    async def run(self, a=make{i % 5}()):\n        self.x.attr{i}({i})\n" for i in range(1, 301)]
+    called = []
+
+    def counting(source):
+        called.append(source)
+        return references(source)
+
+    monkeypatch.setattr(code_refs, "references", counting)
+    texts = odd * 2 + made
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    got = [r for b in code_refs.ref_batches(iter([batch])) for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+    assert got == [(i, *r) for i, t in enumerate(texts) for r in references(t or "")]
+    assert sum(s.startswith("class Big") for s in called) == 1
+
+
+def test_surprisal_broadcasts_no_runs(spark):
+    """Names are small before they are cut to runs; what they are cut to is no table to broadcast."""
+    model = symbols.train(spark.createDataFrame([("get load set",)], "t string"), "t")
+    got = symbols.surprisal(spark.range(2000).selectExpr("concat('load', id) as name"), "name", model)
+    assert len(got.collect()) == 2000
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
