@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import routing_values as V
-from .text import any_of, basename_of, has_any
+from .text import any_of, basename_of, folded, has_any
 
 
 def first_of(cases, otherwise) -> Column:
@@ -23,7 +23,7 @@ def by_words(text: Column, table, otherwise: str) -> Column:
 
 
 def by_patterns(text: Column, table, otherwise: str) -> Column:
-    return first_of([(name, text.rlike("(?i)" + pattern)) for name, pattern in table], otherwise)
+    return first_of([(name, text.rlike(folded(pattern))) for name, pattern in table], otherwise)
 
 
 def intent(question: Column) -> Column:
@@ -62,7 +62,7 @@ def flow(intent: Column, risk: Column, exists: Column, fresh: Column, verified:
 def substeps(prompt: Column) -> Column:
     """The plan of a prompt: an array of (kind, executor, verifier, confidence), the last for what needs a model."""
     step = lambda kind, executor, verifier, confidence: F.struct(F.lit(kind).alias("kind"), F.lit(executor).alias("executor"), F.lit(verifier).alias("verifier"), F.lit(confidence).alias("confidence"))
-    steps = [F.when(any_of(prompt.rlike("(?i)" + p) for p in patterns), step(kind, executor, verifier, c)) for kind, executor, verifier, c, patterns in V.SUBSTEPS]
+    steps = [F.when(any_of(prompt.rlike(folded(p)) for p in patterns), step(kind, executor, verifier, c)) for kind, executor, verifier, c, patterns in V.SUBSTEPS]
     return F.array_compact(F.array(*steps, step("model_bound", "none", "none", 1.0)))
 
 
@@ -82,14 +82,14 @@ def command_verdict(category: Column, code: Column) -> Column:
 
 def command_confidence(verdict: Column, output: Column) -> Column:
     """How sure a verdict is, given the end of the output."""
-    fails, passes = output.rlike("(?i)" + V.OUTPUT_FAILS), output.rlike("(?i)" + V.OUTPUT_PASSES)
+    fails, passes = output.rlike(folded(V.OUTPUT_FAILS)), output.rlike(folded(V.OUTPUT_PASSES))
     return F.when((output == "") | (fails == passes), 0.85).when(fails, F.when(verdict == "pass", 0.4).otherwise(0.95)).otherwise(F.when(verdict == "fail", 0.4).otherwise(0.95))
 
 
 def injections(text: Column) -> Column:
     """The kinds of injected instructions in a text without its invisible characters."""
     seen = F.regexp_replace(text, V.INVISIBLE, "")
-    return F.array_compact(F.array(*[F.when(seen.rlike("(?i)" + p), F.lit(name)) for name, p in V.INJECTIONS]))
+    return F.array_compact(F.array(*[F.when(seen.rlike(folded(p)), F.lit(name)) for name, p in V.INJECTIONS]))
 
 
 def fenced(text: Column) -> Column:
@@ -102,7 +102,7 @@ def fenced(text: Column) -> Column:
 
 def redacted(question: Column, most: int = 200) -> Column:
     """A question as it may be logged: its first characters, secrets replaced."""
-    return F.regexp_replace(F.substring(question, 1, most), "(?i)" + V.QUESTION_SECRETS, "[REDACTED]")
+    return F.regexp_replace(F.substring(question, 1, most), folded(V.QUESTION_SECRETS), "[REDACTED]")
 
 
 def language(path: Column) -> Column:

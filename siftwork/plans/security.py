@@ -84,7 +84,7 @@ _GUARD = r"(password|secret|token|api_?key)\s*[:=]"
 def flt19(spark, sf):
     t = F.col("content")
     many = lambda p, n: F.regexp_count(t, F.lit(p)) >= n
-    return sources(spark, sf).select("doc_id", t.rlike("(?i)" + R.V.QUESTION_SECRETS).alias("secret"), t.rlike(r"unsafe\s*\{").alias("unsafe"), many("TODO|FIXME", 3).alias("todo"), many(r"console\.log|print\(", 5).alias("noisy"))
+    return sources(spark, sf).select("doc_id", t.rlike(R.folded(R.V.QUESTION_SECRETS)).alias("secret"), t.rlike(r"unsafe\s*\{").alias("unsafe"), many("TODO|FIXME", 3).alias("todo"), many(r"console\.log|print\(", 5).alias("noisy"))
 
 
 _KINDS = {"json": r"^\s*[{\[]", "xml": r"^\s*<"}
