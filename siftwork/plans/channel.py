@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import information as I
 from ..functions import text as X
 from ..operators import channel, selection
-from .registry import query, table
+from .registry import query, rounded, table
 from .samples import PATHS, pick, sql_pick
 from .scalars import _criticality_sql
 
@@ -34,9 +34,9 @@ def turns(spark, sf):
     t = table(spark, sf, "conversations").select("conv_id", "turn", "text", F.array_distinct(X.words_of(F.col("text"))).alias("w"))
     last = t.groupBy("conv_id").agg(F.max_by("w", "turn").alias("q"))
     f = t.join(last, "conv_id").withColumn("path", pick(PATHS, F.col("conv_id") + F.col("turn")))
-    relevance = F.round(F.size(F.array_intersect("w", "q")) / F.greatest(F.lit(1), F.size("q")), 6)
+    relevance = rounded(F.size(F.array_intersect("w", "q")) / F.greatest(F.lit(1), F.size("q")), 6)
     f = f.select("conv_id", "turn", "text", "path", X.token_count(F.col("text")).alias("tokens"), relevance.alias("relevance"))
-    return f.withColumn("importance", F.round(channel.importance(F.col("relevance"), F.col("path")), 6))
+    return f.withColumn("importance", rounded(channel.importance(F.col("relevance"), F.col("path")), 6))
 
 
 def symbols(spark, sf):
