@@ -78,8 +78,9 @@ def str12(spark, sf):
 @query("str16_trigram_hashes", """WITH b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents)
 SELECT doc_id, greatest(len(b) - 2, 0)::BIGINT AS n, coalesce(list_sum(list_transform(range(1, len(b) - 1), lambda i: xor(xor(b[i] * 1099511628211, b[i + 1] * 16777619), b[i + 2]))), 0)::BIGINT AS total FROM b""")
 def str16(spark, sf):
-    h = evidence.byte_trigrams("text")
-    return table(spark, sf, "documents").select("doc_id", F.size(h).cast("long").alias("n"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    """How many trigrams of bytes a document has, and their sum modulo 2^64."""
+    n = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)) - 2, F.lit(0))
+    return table(spark, sf, "documents").select("doc_id", n.cast("long").alias("n"), evidence.trigram_total("text").alias("total"))
 
 
 _HEAD_SQL = "CASE lang " + " ".join(f"WHEN '{g}' THEN regexp_matches(x, {quoted('^(?:' + p.pattern + ')')})" for g, p in evidence.HEADS.items()) + " ELSE false END"
