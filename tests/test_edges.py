@@ -35,3 +35,23 @@ def test_trigrams_of_long_texts(spark, tmp_path):
         b = (texts[r.doc_id] or "").encode()
         total = sum((b[i] * 1099511628211) ^ (b[i + 1] * 16777619) ^ b[i + 2] for i in range(len(b) - 2))
         assert (r.n, r.total) == (max(len(b) - 2, 0), (total + 2**63) % 2**64 - 2**63)
+
+
+def test_shares_of_ngrams_in_packed_rows(spark, monkeypatch):
+    """Shares against plain sets, with copies in one pack and in several; no row for an n-gram is shuffled."""
+    import random
+
+    from siftwork.operators import dedup
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "a", "zz yy xx ww vv", "zz yy xx ww vv", "uu tt ss rr uu tt ss rr"]
+    sets = {n: [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in ((t or "").split() for t in texts)] for n in (2, 3, 4)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for held in (dedup.HELD, 40):
+        monkeypatch.setattr(dedup, "HELD", held)
+        found = dedup.gram_shares(df)
+        assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+        for r in found.collect():
+            for n, each in sets.items():
+                mine, others = each[r.doc_id], set().union(*(s for i, s in enumerate(each) if i != r.doc_id))
+                assert r[f"s{n}"] is None if not mine else abs(r[f"s{n}"] - len(mine & others) / len(mine)) < 1e-12
