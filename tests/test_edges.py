@@ -55,3 +55,10 @@ def test_shares_of_ngrams_in_packed_rows(spark, monkeypatch):
             for n, each in sets.items():
                 mine, others = each[r.doc_id], set().union(*(s for i, s in enumerate(each) if i != r.doc_id))
                 assert r[f"s{n}"] is None if not mine else abs(r[f"s{n}"] - len(mine & others) / len(mine)) < 1e-12
+
+
+def test_state_on_disk_is_not_preallocated():
+    """RocksDB sets aside 4 MB for each store's list of files, whatever the store holds."""
+    from siftwork.llm import exact_dedup
+
+    assert exact_dedup.STATE["spark.sql.streaming.stateStore.rocksdb.allowFAllocate"] == "false"
