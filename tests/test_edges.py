@@ -62,3 +62,26 @@ def test_state_on_disk_is_not_preallocated():
     from siftwork.llm import exact_dedup
 
     assert exact_dedup.STATE["spark.sql.streaming.stateStore.rocksdb.allowFAllocate"] == "false"
+
+
+def test_blocks_of_pairs_meet_once(spark, monkeypatch):
+    """Pairs over many blocks against all pairs, copies and ends of the range of longs included; no pair of blocks is held twice."""
+    import random
+
+    from siftwork.operators import dedup, fragments
+
+    rng = random.Random(3)
+    prints = [rng.getrandbits(64) - 2**63 for _ in range(60)] + [-(2**63), 2**63 - 1, 0]
+    prints += [p ^ (1 << rng.randrange(63)) for p in prints] + prints[:9]
+    first = {}
+    for i, p in enumerate(prints):
+        first.setdefault(p, i)
+    far = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    want = sorted((min(i, j), max(i, j), far(p, q)) for p, i in first.items() for q, j in first.items() if p < q and far(p, q) <= 20)
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id long, simhash long")
+    met = []
+    blocked = fragments.blocked
+    monkeypatch.setattr(fragments, "blocked", lambda *a: met.extend(blocked(*a)) or met)
+    found = dedup.pairs_within(df, 20, rows=10)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    assert "i" in met[0].columns and found._jdf.queryExecution().optimizedPlan().toString().count("Filter (") >= 2
