@@ -85,3 +85,15 @@ def test_blocks_of_pairs_meet_once(spark, monkeypatch):
     found = dedup.pairs_within(df, 20, rows=10)
     assert sorted(tuple(r) for r in found.collect()) == want
     assert "i" in met[0].columns and found._jdf.queryExecution().optimizedPlan().toString().count("Filter (") >= 2
+
+
+def test_queries_bound_their_batches_by_bytes(spark, sf):
+    """Long texts must not pile up in a Python worker: ten thousand rows may be any size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.unset(name)
+    try:
+        QUERIES["conv9_skeletonize"](spark, sf)
+        assert 0 < int(spark.conf.get(name)) <= 8 << 20
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
