@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import levels
+from ..sources.shared import bucketed
 from .registry import query, table
 
 BUDGET = 1200
@@ -42,7 +43,8 @@ def relevant(f):
 
 def links(f):
     """An item uses the next one where its supplier's number is even, and the first one where its part's is divisible by five."""
-    return f.where("l_suppkey % 2 = 0").select("l_orderkey", F.col("file").alias("src"), (F.col("file") + 1).alias("dst")).unionByName(f.where("l_partkey % 5 = 0").select("l_orderkey", F.col("file").alias("src"), F.lit(1).alias("dst")))
+    ends = F.array_compact(F.array(F.when(F.col("l_suppkey") % 2 == 0, F.col("file") + 1), F.when(F.col("l_partkey") % 5 == 0, F.lit(1))))
+    return f.select("l_orderkey", F.col("file").alias("src"), F.explode(ends).alias("dst"))
 
 
 def _sql_text(text: str) -> str:
@@ -75,7 +77,7 @@ SELECT l_orderkey, string_agg(l, chr(10) ORDER BY file) AS level1, any_value(byt
 def sel13(spark, sf):
     """A line for every item, cut to fifty tokens an order. (No line alone is longer.)"""
     f = files(spark, sf)
-    return levels.level1(f, f.select("l_orderkey").distinct().withColumn("limit", F.lit(50)), "l_orderkey", "file")
+    return levels.level1(f, 50, "l_orderkey", "file")
 
 
 _CLUSTER = """k AS (SELECT l_orderkey, file FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, file) AS r FROM f) WHERE r <= 2),
@@ -87,13 +89,13 @@ c2 AS (SELECT DISTINCT b.l_orderkey, b.dst AS file FROM b JOIN c1 ON b.l_orderke
 @query("sel14_level2", f"WITH {_FILES}, {_CLUSTER} SELECT l_orderkey, string_agg('## ' || source || chr(10) || skeleton || chr(10), chr(10) ORDER BY file) AS level2 FROM f SEMI JOIN c ON f.l_orderkey = c.l_orderkey AND f.file = c.file WHERE skeleton IS NOT NULL GROUP BY l_orderkey")
 def sel14(spark, sf):
     """The skeletons around an order's two dearest items, whole."""
-    f = files(spark, sf)
-    members = levels.cluster(relevant(f), links(f), "l_orderkey", "file")
-    return levels.level2(f, members, f.select("l_orderkey").distinct().withColumn("limit", F.lit(100_000)), "l_orderkey", "file").select("l_orderkey", "level2")
+    f = bucketed(files(spark, sf), "order-files", "l_orderkey")
+    near = levels.around(f.select("l_orderkey", "file", "source", "skeleton"), relevant(f), links(f), "l_orderkey", "file")
+    return levels.level2(near.where("depth is not null"), 100_000, "l_orderkey", "file").select("l_orderkey", "level2")
 
 
 def _compressed(spark, sf):
-    f = files(spark, sf)
+    f = bucketed(files(spark, sf), "order-files", "l_orderkey")
     return f, *levels.compress(f, relevant(f), links(f), BUDGET, "l_orderkey", "file")
 
 
