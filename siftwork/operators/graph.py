@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, written
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
@@ -39,15 +39,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 15, damping: floa
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
-    """Rows (id, depth): what the seeds (column id) reach within so many edges, at the least depth; seeds at 0."""
+    """Rows (id, depth): what the seeds (column id) reach within so many edges, at the least depth; seeds at 0.
+
+    Each layer is written, and edges are read again for the next: only those that touch the layer before go on,
+    so edges may be repeated and are never sorted, shuffled or made distinct as a whole where a layer is small.
+    """
     step = edges.select("src", "dst")
     if both_ways:
-        step = step.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    step = step.distinct()
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    layers = [seen]
+        step = edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+    layers = [written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "reach-layer")]
     for d in range(1, depth + 1):
-        layers.append(step.join(layers[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().withColumn("depth", F.lit(d)))
+        near = step.join(layers[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+        layers.append(written(near.distinct().withColumn("depth", F.lit(d)), "reach-layer"))
     return reduce(DataFrame.unionByName, layers).groupBy("id").agg(F.min("depth").alias("depth"))
 
 

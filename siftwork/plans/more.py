@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import dedup, evidence, graph, learning
 from .registry import query, table
-from .relational import _EDGES, _SETS, SIMHASH, _edges, _pair_sets
+from .relational import _EDGES, _SETS, SIMHASH, _links, _pair_sets
 from .samples import PATHS, QUESTIONS, pick, sql_any, sql_pick
 
 
@@ -100,8 +100,7 @@ def join29(spark, sf):
 
 @query("ret18_identify_cluster", f"WITH {_EDGES}, u AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), x AS (SELECT 2 AS id, 0 AS d UNION ALL SELECT b, 1 FROM u WHERE a = 2), y AS (SELECT u.b AS id, 2 AS d FROM x JOIN u ON u.a = x.id WHERE d = 1) SELECT id, min(d)::INT AS depth FROM (SELECT * FROM x UNION ALL SELECT * FROM y) GROUP BY id")
 def ret18(spark, sf):
-    e = _edges(spark, sf)
-    return graph.reach(e, e.sparkSession.sql("select 2L as id"), 2, both_ways=True)
+    return graph.reach(_links(spark, sf), spark.sql("select 2L as id"), 2, both_ways=True)
 
 
 @query("ret25_build_provenance", "WITH s AS (SELECT l_orderkey, avg((l_discount > 0.03)::INT) AS verified, avg(l_tax * 10) AS confidence FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN verified < 0.7 THEN 'high' WHEN confidence < 0.25 OR verified < 0.9 THEN 'medium' ELSE 'low' END AS risk FROM s")
