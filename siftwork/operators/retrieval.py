@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import code_terms
+from ..sources.shared import written
 
 K1, B = 1.2, 0.75
+#: Counts of terms in fragments that a task weighs for all questions.
+TASK_COUNTS = 250_000
 
 
 def bm25(df: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -34,22 +37,33 @@ def bm25(df: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text
 def bm25_many(df: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", question: str = "text", k1: float = K1, b: float = B, most_terms: int = 500_000, terms: Callable[[Column], Column] = code_terms, coverage: float = 0.5, parts: bool = False) -> DataFrame:
     """Rows (item, key, matched, score): bm25() of every question of a table (item, question) at once, each over all fragments.
 
-    Every text is tokenised once, and only terms that some question has are counted. The questions' terms are
+    Every text is tokenised once, and only terms that some question has are counted; counts are written. The questions' terms are
     broadcast up to most_terms rows, else joined by shuffle. A row for each question and fragment that share a
     term is made, so a question's cost is that of its terms' postings. Questions that repeat an item are one.
     terms makes an array of terms of a text; coverage is how much a question whose terms are all met gains.
     With parts, rows that repeat a key are parts of one text: their counts are added up, their texts never joined.
     """
-    asked = questions.select(F.col(item).alias("_item"), F.explode(terms(F.col(question))).alias("term")).distinct()
-    small = lambda d: F.broadcast(d) if asked.count() <= most_terms else d
+    asked = written(questions.select(F.col(item).alias("_item"), F.explode(terms(F.col(question))).alias("term")).distinct(), "retrieval-asked")
+    few = asked.count() <= most_terms
+    small = lambda d: F.broadcast(d) if few else d
     wanted = asked.groupBy(F.col("_item").alias("_of")).agg(F.count("*").alias("wanted"))
-    tokens = df.select(key, terms(F.col(text)).alias("t")).select(key, F.size("t").alias("len"), "t")
-    sizes = tokens.groupBy(key).agg(F.sum("len").alias("len")) if parts else tokens
-    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    # a term of null stands for the text itself: sizes and counts come from one pass, and are written
+    found = df.select(key, terms(F.col(text)).alias("t")).select(key, F.size("t").alias("len"), F.explode(F.array_append(F.coalesce("t", F.array().cast("array<string>")), F.lit(None))).alias("term"))
+    met = asked.select(F.col("term").alias("_met")).distinct()
+    if few:
+        known = F.broadcast(met.unionByName(met.sparkSession.sql("select cast(null as string) as _met")))
+        found = found.join(known, F.col("term").eqNullSafe(F.col("_met"))).drop("_met")
+    else:
+        found = found.join(met, F.col("term") == F.col("_met")).drop("_met").unionByName(found.where("term is null"))
     size = [] if parts else ["len"]
-    tf = tokens.select(key, *size, F.explode("t").alias("term")).join(small(asked.select("term").distinct()), "term").groupBy(key, *size, "term").agg(F.count("*").alias("tf"))
+    counts = written(found.groupBy(key, *size, "term").agg(F.count("*").alias("tf"), F.sum("len").alias("_sum")), "retrieval-counts")
+    texts, tf = counts.where("term is null"), counts.where("term is not null").drop("_sum")
+    n, sized = (F.count("*"), F.count("_sum")) if parts else (F.coalesce(F.sum("tf"), F.lit(0)), F.sum(F.when(F.col("len").isNotNull(), F.col("tf"))))
+    stats = texts.agg(n.alias("n"), (F.sum("_sum") / F.nullif(sized, F.lit(0))).alias("avg"))
     df_of = tf.groupBy("term").agg(F.count("*").alias("df"))
-    tf = tf.join(sizes, key) if parts else tf
+    # as many partitions as bound a task's sums, which are of a fragment and so stay in its partition
+    tf = tf.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), tf.count() // TASK_COUNTS + 1), key)
+    tf = tf.join(texts.select(key, F.col("_sum").alias("len")), key) if parts else tf
     weights = asked.join(df_of, "term").join(wanted, F.col("_item").eqNullSafe(F.col("_of"))).select("_item", "term", "df", "wanted").crossJoin(F.broadcast(stats))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avg", F.lit(1.0))))
