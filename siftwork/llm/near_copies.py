@@ -1,8 +1,9 @@
 """Near copies: groups of documents linked by a Jaccard similarity of 0.8 or more between their sets of word shingles.
 
-The join is exact. Shingles are ordered by rarity; two sets of that similarity share one among the first of each
-(prefix filter), unless sizes or places rule the pair out (length and positional filters). Whole sets are
-compared for what is left.
+SimHash comes first: the fingerprints of op4, joined by its pigeonring, give pairs, and an exact check of whole sets
+follows. No Hamming distance is sure to have all pairs of that similarity, so a join of the sets adds the rest: shingles
+are ordered by rarity; two sets of that similarity share one among the first of each (prefix filter), unless sizes or
+places rule the pair out (length and positional filters). Whole sets are compared for what is left.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, drop, tidy, written
+from . import simhash
+from .common import bounded_batches, components, counts_of, drop, tidy, written
 from .line_dedup import DEN, NUM, PICK_BITS, _bit_table, _flag_bits, _flagged
-from ..functions.scan import Counts, hashes, mix, pieces, windows, words
+from ..functions.scan import hashes, mix, pieces, windows, words
 
 #: log2 of the table of shingle counts that orders shingles by rarity; bits of a shingle's hash beside its rank.
 COUNT_BITS, _ID_BITS = 20, 58
+#: Differing bits at which fingerprints are linked; flags for a set that is asked for, beside those of line dedup.
+DISTANCE, FLAGS = 2, 8
 #: Places of a set's parity, and copies of documents to drop up to which they are broadcast.
 PARITY, BROADCAST_GONE = 1024, 2_000_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -50,26 +54,12 @@ def shingle_sets(b: np.ndarray, off: np.ndarray, width: int, ranks: np.ndarray)
     return np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(off) - 1))]), token[new]
 
 
-def _count_batches(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Counts(1 << COUNT_BITS)
-        for batch in batches:
-            for _, _, b, off in pieces(batch.column(0)):
-                of.add((shingles(b, off, width)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
-        counts = of.result()
-        some = np.flatnonzero(counts)
-        for k in range(0, len(some), 1 << 16):
-            s = some[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s])], names=["bucket", "n"])
-
-    return run
-
-
 def rarity(docs: DataFrame, width: int) -> np.ndarray:
     """The rank of each bucket of shingles, rare ones first: a table of fixed size. Any order is exact."""
-    table = docs.select("text").mapInArrow(tidy(_count_batches(width)), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[np.asarray(table["bucket"])] = np.asarray(table["n"])
+    def buckets(b: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return (shingles(b, off, width)[1] >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+
+    counts = counts_of(docs.select("text"), COUNT_BITS, buckets)
     return np.minimum(2 * np.log2(counts + 1), 63).astype(np.uint64)
 
 
@@ -102,8 +92,8 @@ def _print_batches(width: int, shared):
                 at, token = shingle_sets(b, off, width, shared.value)
                 n = np.diff(at)
                 prefix = np.where(n > 0, n - (NUM * n + DEN - 1) // DEN + 1, 0)
-                columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(_signed(token, at)), pa.array(n.astype(np.int32)), _parity(token, at), _lists(token, at[:-1], prefix)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "sig", "n", "parity", "prefix"])
+                columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(_signed(token, at)), pa.array(n.astype(np.int32)), pa.array(simhash.fingerprints(b, off, width).view(np.int64)), _parity(token, at), _lists(token, at[:-1], prefix)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "sig", "n", "fp", "parity", "prefix"])
 
     return run
 
@@ -127,34 +117,54 @@ def _may_match(x, y):
     return sizes & ((NUM + DEN) * F.least(nx - px, ny - py) >= NUM * (nx + ny))
 
 
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints SimHash links: of a fingerprint all with the least set, of linked ones the least sets."""
+    least = written(nodes.groupBy("fp").agg(F.min("sig").alias("least")), "fingerprints")
+    same = nodes.select("fp", "sig").join(least, "fp").where("sig <> least").select(F.col("least").alias("a"), F.col("sig").alias("b"))
+    side = lambda x: least.select(F.col("fp").alias(x), F.col("least").alias(f"{x}_least"))
+    near = simhash.links(least.select("fp"), DISTANCE).join(side("a"), "a").join(side("b"), "b").select("a_least", "b_least")
+    return same.unionByName(near.select(F.least("a_least", "b_least").alias("a"), F.greatest("a_least", "b_least").alias("b")))
+
+
+def _one_of_each(prints: DataFrame) -> DataFrame:
+    """A row of each signature. If the rows left out are few they are broadcast, and no set is moved."""
+    first = prints.groupBy("sig").agg(F.min("row").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    again = written(prints.select("sig", "row").join(first, "sig").where("row <> first").select("row"), "repeated-sets")
+    if again.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE:
+        return prints.join(F.broadcast(again), "row", "left_anti")
+    return prints.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n", "fp", "parity", "prefix")])
+
+
 def links(docs: DataFrame, prints: DataFrame, width: int, shared) -> DataFrame:
-    """Edges (a, b) between signatures of sets whose components are those of all pairs of similarity 0.8 or more.
+    """Edges (a, b) between signatures of sets whose components are those of all pairs of similarity 0.8 or more; prints go.
 
-    First, under each shingle, the sets in order of size are held against the smallest and against the one
-    before: two candidates for a posting, however crowded the shingle is. Then only sets that a shingle
-    has in different components so far are joined in pairs, so a group of near copies makes no pairs of all.
-    Of the candidates those whose parities differ in more places than alike sets can are dropped before whole
-    sets are read.
+    First come the pairs of SimHash, and under each shingle the sets in order of size are held against the
+    smallest and against the one before: two candidates for a posting, however crowded the shingle is. Then only
+    sets that a shingle has in different components so far are joined in pairs, so a group of near copies makes
+    no pairs of all. Of the candidates those whose parities differ in more places than alike sets can are
+    dropped before whole sets are read.
     """
-    nodes = prints.groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posts = nodes.select("sig", "n", F.posexplode("prefix").alias("place", "token"))
+    sets = _one_of_each(prints)
+    posts = sets.select("sig", "n", F.posexplode("prefix").alias("place", "token"))
     posts = posts.select("token", "sig", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("place").cast("long")).alias("at"))
     w = Window.partitionBy("token").orderBy(F.shiftright("at", 32), "sig")
     posts = posts.select("token", "sig", "at", *[f(c).over(w).alias(f"{name}_{c}") for name, f in (("head", F.first), ("before", F.lag)) for c in ("sig", "at")], F.lead("sig").over(w).alias("after"))
     posts = written(posts.where("before_sig is not null or after is not null").drop("after"), "shared-shingles")
+    nodes = written(sets.select("sig", "n", "fp", "parity"), "nodes")
+    drop(prints)
 
     def ordered(a, b):
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     def alike(pairs: DataFrame) -> DataFrame:
-        of = prints.select("sig", "n", "parity").dropDuplicates(["sig"])
+        of = nodes.select("sig", "n", "parity")
         side = lambda x: of.select(F.col("sig").alias(x), F.col("n").alias(f"{x}_n"), F.col("parity").alias(f"{x}_parity"))
         both = F.col("a_n") + F.col("b_n")
         far = F.aggregate(F.zip_with("a_parity", "b_parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(far <= both - 2 * F.ceil(NUM * both / (NUM + DEN))).select("a", "b")
         pairs = written(pairs, "candidates")
         picks = pairs.select(*[F.shiftrightunsigned(c, 64 - PICK_BITS).cast("int").alias(c) for c in ("a", "b")])
-        picked = docs.sparkSession.sparkContext.broadcast(_bit_table(picks, ["a", "b"], _flag_bits(2 * pairs.count())))
+        picked = docs.sparkSession.sparkContext.broadcast(_bit_table(picks, ["a", "b"], _flag_bits(FLAGS * 2 * pairs.count())))
         kept = written(docs.select("text").mapInArrow(tidy(_set_batches(width, shared, picked)), "sig bigint, tokens array<bigint>"), "sets")
         sets = kept.dropDuplicates(["sig"])
         whole = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("a_tokens")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens")), "b")
@@ -164,7 +174,7 @@ def links(docs: DataFrame, prints: DataFrame, width: int, shared) -> DataFrame:
         return out
 
     near = [posts.where(F.col("sig") != F.col(f"{y}_sig")).where(_may_match(F.col("at"), F.col(f"{y}_at"))).select(*ordered("sig", f"{y}_sig")) for y in ("head", "before")]
-    first = written(near[0].unionByName(near[1]).distinct(), "pairs")
+    first = written(fingerprint_pairs(nodes).unionByName(near[0]).unionByName(near[1]).distinct(), "pairs")
     if first.isEmpty():
         found, joined = None, posts.select("token", "sig", "at", F.col("sig").alias("component"))
     else:
@@ -178,10 +188,11 @@ def links(docs: DataFrame, prints: DataFrame, width: int, shared) -> DataFrame:
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.sig") < F.col("y.sig")) & (F.col("x.component") != F.col("y.component")) & _may_match(F.col("x.at"), F.col("y.at")))
     rest = written(pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     drop(joined)
-    if rest.isEmpty():
-        return first.limit(0) if found is None else found
-    more = alike(rest)
-    return more if found is None else found.unionByName(more)
+    more = None if rest.isEmpty() else alike(rest)
+    drop(nodes)
+    if found is None or more is None:
+        return first.limit(0) if found is more else found if more is None else more
+    return found.unionByName(more)
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -197,22 +208,22 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, width))
     kind = dict(docs.dtypes)["doc_id"]
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version"))
-    prints = texts.mapInArrow(tidy(_print_batches(width, shared)), f"doc_id {kind}, version bigint, sig bigint, n int, parity array<bigint>, prefix array<bigint>")
-    prints = written(prints, "shingle-prefixes")
+    prints = texts.mapInArrow(tidy(_print_batches(width, shared)), f"doc_id {kind}, version bigint, sig bigint, n int, fp bigint, parity array<bigint>, prefix array<bigint>")
+    prints = written(prints.withColumn("row", F.monotonically_increasing_id()), "shingle-prefixes")
+    rows = written(prints.select("doc_id", "version", "sig"), "rows")
     edges = written(links(docs, prints, width, shared), "links")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "version")
-    lowest = prints.groupBy("sig").agg(F.min(place).alias("first"))
+    lowest = rows.groupBy("sig").agg(F.min(place).alias("first"))
     if not edges.isEmpty():
         found = components(edges)
         joined = lowest.join(found, lowest.sig == found.node, "left").select("first", F.coalesce("component", "sig").alias("component"))
         lowest = joined.groupBy("component").agg(F.min("first").alias("first"))
     stay = lowest.select(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"))
-    rows = prints.select("doc_id", "version")
     same = F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.version") == F.col("s.version"))
-    gone = written(rows.distinct().alias("r").join(stay.alias("s"), same, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")), "gone")
+    gone = written(rows.select("doc_id", "version").distinct().alias("r").join(stay.alias("s"), same, "left_anti").select(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version")), "gone")
     few = gone.limit(BROADCAST_GONE + 1).count() <= BROADCAST_GONE
     repeated = not rows.groupBy("doc_id", "version").count().where("count > 1").isEmpty()
-    drop(prints, edges)
+    drop(rows, edges)
     dropped = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (F.xxhash64(docs["text"]) == F.col("gone_version"))
     kept = docs.join(F.broadcast(gone) if few else gone, dropped, "left_anti")
     if not repeated:

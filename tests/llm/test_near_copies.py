@@ -2,11 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from siftwork.llm import near_copies
+from siftwork.llm import common, near_copies
 
 from .common import WORDS, documents, frame, prose
 
@@ -60,3 +62,20 @@ def test_near_stage_judges_rows_by_their_texts(spark, sf, monkeypatch, limit):
     for df in (frame(spark, [(d, t, "en", "a", 1) for d, t in rows]), frame(spark, [(d, t, "en", "a", 1) for d, t in reversed(rows)])):
         kept = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, df, sf).collect()]
         assert sorted(kept, key=str) == sorted([(1, prose(1, 50)), (1, prose(2, 50)), (None, prose(3, 50))], key=str)
+
+
+def test_near_stage_takes_the_pairs_of_simhash(spark, sf, monkeypatch):
+    nodes = spark.createDataFrame([(10, 0b1011), (4, 0b1000), (7, 0b1011), (9, 1 << 40), (3, 0b1111 << 20)], "sig long, fp long")
+    assert sorted(map(tuple, near_copies.fingerprint_pairs(nodes).collect())) == [(4, 7), (4, 9), (7, 10)]
+    asked, pairs = [], near_copies.fingerprint_pairs
+    monkeypatch.setattr(near_copies, "fingerprint_pairs", lambda nodes: asked.append(1) or pairs(nodes))
+    assert corpus_pipeline.near(spark, frame(spark, [(d, prose(4, 50), "en", "a", 1) for d in range(3)]), sf).count() == 1 and asked
+
+
+def test_counts_are_handed_on_in_packed_rows(spark):
+    texts = spark.createDataFrame([("a b a" * 200,), (None,), ("c",), ("",)], "text string").repartition(3)
+    found = common.counts_of(texts, 12, lambda b, off: np.concatenate([b.astype(np.int32), np.full(len(b), 4095, np.int32)]))
+    want = Counter(("a b a" * 200 + "c").encode())
+    assert {k: int(n) for k, n in enumerate(found) if n} == want | {4095: want.total()} and len(found) == 4096
+    packed = list(common._packed_counts(12, lambda b, off: b.astype(np.int32))(iter(texts.select("text").toArrow().to_batches())))
+    assert sum(b.num_rows for b in packed) == 1
