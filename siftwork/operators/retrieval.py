@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,15 +95,37 @@ def rank_percentile(df: DataFrame, score: str, key: str) -> DataFrame:
     return ordered.join(F.broadcast(before), "part").withColumn("percentile", F.greatest(F.lit(0.05), F.least(F.lit(1.0), 0.95 * (1 - rank / F.col("all")) + 0.05))).drop("at", "part", "place", "before", "all")
 
 
-def tfidf_cosine(df: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", least: float = 0.01) -> DataFrame:
-    """Rows (key, cosine) of raw term frequencies weighted by ln((n + 1) / (df + 1)) + 1, over a least value."""
-    tokens = df.select(key, code_terms(F.col(text)).alias("t"))
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's key, its different terms and how often it has them."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+        coded = lists.flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        kinds, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + np.asarray(coded.indices, np.int64), return_counts=True)
+        at = pa.array(np.concatenate([[0], np.cumsum(np.bincount(kinds // n, minlength=len(sizes)))]).astype(np.int32))
+        terms = pa.ListArray.from_arrays(at, coded.dictionary.take(pa.array(kinds % n)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), terms, pa.ListArray.from_arrays(at, pa.array(counts.astype(np.int64)))], names=["key", "terms", "tfs"])
+
+
+def tfidf_cosine(df: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text", least: float = 0.01, most_terms: int = 2_000_000) -> DataFrame:
+    """Rows (key, cosine) of raw term frequencies weighted by ln((n + 1) / (df + 1)) + 1, over a least value.
+
+    Texts are tokenised once, and a text's counts are written as one row. Weights are broadcast up to most_terms
+    terms, so that counts stay where they are and only a text's sums are shuffled; more are joined by shuffle.
+    Rows that repeat a key are one text, and then counts are shuffled.
+    """
     n = df.agg(F.count("*").alias("n"))
-    tf = tokens.select(key, F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    packed = written(df.select(F.col(key).alias("key"), code_terms(F.col(text)).alias("t")).mapInArrow(_term_counts, f"key {dict(df.dtypes)[key]}, terms array<string>, tfs array<bigint>"), "retrieval-terms")
+    tf = packed.select(F.col("key").alias(key), F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(key, F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    if not packed.groupBy("key").count().where("count > 1").isEmpty():
+        tf = tf.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
     idf = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = written(idf, "retrieval-idf")
+    few = idf.count() <= most_terms
     counts = {t: terms.count(t) for t in sorted(set(terms))}
     asked = F.create_map(*[x for t, c in counts.items() for x in (F.lit(t), F.lit(float(c)))])
-    weighted = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")).withColumn("q", F.coalesce(F.element_at(asked, F.col("term")), F.lit(0.0)) * F.col("idf"))
+    weighted = tf.join(F.broadcast(idf) if few else idf, "term").withColumn("w", F.col("tf") * F.col("idf")).withColumn("q", F.coalesce(F.element_at(asked, F.col("term")), F.lit(0.0)) * F.col("idf"))
     norm = idf.where(F.col("term").isin(*counts)).agg(F.sqrt(F.sum(F.pow(F.element_at(asked, F.col("term")) * F.col("idf"), F.lit(2.0)))).alias("qn"))
     dots = weighted.groupBy(key).agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
     return dots.crossJoin(F.broadcast(norm)).select(key, (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("cosine")).where(F.col("cosine") > least)

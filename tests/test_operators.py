@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import compress
 from siftwork.functions import information as I
-from siftwork.operators import conversation, graph, learning, selection
+from siftwork.operators import conversation, graph, learning, retrieval, selection
 from siftwork.sources import files
 
 
@@ -251,3 +251,20 @@ def test_engine(spark, tmp_path):
     assert again.docs.count() == 6 and again.record(events).events.count() == 60
     assert e.check(docs.limit(1).withColumn("said", F.lit("The text is number 0.")), "text", "said").first().kind == "quantity"
     assert "siftwork_token_count" in register_all(spark) and spark.sql("select siftwork_token_count('abcdefgh') n").first().n == 2
+
+
+def test_tfidf_counts_stay_in_place_or_are_joined(spark):
+    """Weights broadcast or shuffled, repeated keys as one text: the same cosines as by hand."""
+    rows = [(1, "alpha beta beta gamma"), (2, "beta delta"), (3, None), (4, ""), (1, "beta epsilon"), (5, "zeta zeta eta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tf: dict = {}
+    for d, t in rows:
+        tf.setdefault(d, Counter()).update((t or "").split())
+    df_of = Counter(t for c in tf.values() for t in c)
+    idf = {t: math.log((len(rows) + 1) / (n + 1)) + 1 for t, n in df_of.items()}
+    asked = ["beta", "gamma"]
+    qn = math.sqrt(sum(idf[t] ** 2 for t in asked))
+    want = {d: sum(c[t] * idf[t] ** 2 for t in asked) / (qn * math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))) for d, c in tf.items() if any(t in c for t in asked)}
+    for most in (0, 100):
+        found = {r.doc_id: r.cosine for r in retrieval.tfidf_cosine(df, asked, most_terms=most).collect()}
+        assert found.keys() == want.keys() and all(abs(found[d] - want[d]) < 1e-9 for d in want)
