@@ -9,6 +9,7 @@ from .functions import claims, compress, information
 from .functions.text import token_count
 from .operators import dedup, fragments, retrieval, sast, selection
 from .sources import files
+from .sources.shared import written
 
 #: SQL functions of one text, as expressions and as Arrow functions.
 EXPRESSIONS = {
@@ -59,7 +60,7 @@ class Engine:
     def optimize(self, terms: list[str], budget: int, pinned_share: float = 0.5) -> DataFrame:
         """The context for a question: pinned files in part of the budget, then the best others, copies left out."""
         first = dedup.mark_duplicates(self.docs.select("doc_id", "text")).where("duplicate_of is null").select("doc_id")
-        rows = self.scored(terms).join(first, "doc_id", "left_semi").select("doc_id", "path", "tokens", "score")
+        rows = written(self.scored(terms).join(first, "doc_id", "left_semi").select("doc_id", "path", "tokens", "score"), "engine-rows")
         kept = selection.greedy_fill(rows.where(fragments.pinned()), int(budget * pinned_share))
         used = kept.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         rest = selection.greedy_fill(rows.where(~fragments.pinned()), budget - used)

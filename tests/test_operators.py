@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import compress
 from siftwork.functions import information as I
-from siftwork.operators import conversation, graph, learning, retrieval, selection
+from siftwork.operators import conversation, fragments, graph, learning, retrieval, selection
 from siftwork.sources import files
 
 
@@ -268,3 +268,15 @@ def test_tfidf_counts_stay_in_place_or_are_joined(spark):
     for most in (0, 100):
         found = {r.doc_id: r.cosine for r in retrieval.tfidf_cosine(df, asked, most_terms=most).collect()}
         assert found.keys() == want.keys() and all(abs(found[d] - want[d]) < 1e-9 for d in want)
+
+
+def test_features_join_the_log_without_texts(spark):
+    docs = spark.createDataFrame([(1, "src/a.py", "alpha beta"), (2, "b.md", None)], "doc_id long, path string, text string")
+    events = spark.createDataFrame([(1, 5, "purchase", 1.0), (1, 9, "error", 1.0)], "user_id long, event_id long, event_type string, value double")
+    found = fragments.features(docs, events, ["alpha", "gone"])
+    plan = found._jdf.queryExecution().optimizedPlan()
+    while not (plan.nodeName() == "Join" and plan.joinType().toString() == "LeftOuter"):
+        plan = plan.children().head()
+    assert "text" not in plan.children().head().output().mkString(",")
+    row = found.where("doc_id = 1").first()
+    assert (row.semantic, row.wins, row.losses, row.accesses) == (0.5, 1, 1, 2)
