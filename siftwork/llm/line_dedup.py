@@ -16,8 +16,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop, tidy, written
-from ..functions.scan import Counts, hashes, lines, mix, pieces, words
+from .common import bounded_batches, counts_of, drop, tidy, written
+from ..functions.scan import hashes, lines, mix, pieces, words
 
 #: The similarity from which lines match, as a fraction.
 NUM, DEN = 4, 5
@@ -42,16 +42,8 @@ _COLUMNS = (("token", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("line", "<u4"
 _FOUND = "kind int, near int, doc bigint, version bigint, line int, y_doc bigint, y_version bigint, y_line int, pick int, y_pick int, doc_pick int, y_doc_pick int"
 
 
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of_words = Counts(1 << COUNT_BITS)
-    for batch in batches:
-        for _, _, b, off in pieces(batch.column(0)):
-            of_words.add((hashes(b, *words(b, off)) >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
-    counts = of_words.result()
-    some = np.flatnonzero(counts)
-    for k in range(0, len(some), 1 << 16):
-        s = some[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(counts[s])], names=["bucket", "n"])
+def _word_buckets(b: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return (hashes(b, *words(b, off)) >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
 
 
 def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -60,9 +52,7 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     The table has a fixed size. Words that share a bucket share a rank, which costs speed, not matches: any
     order of words that is the same for all lines is exact.
     """
-    table = docs.select("text").mapInArrow(tidy(_count_batches), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[np.asarray(table["bucket"])] = np.asarray(table["n"])
+    counts = counts_of(docs.select("text"), COUNT_BITS, _word_buckets)
     return np.minimum(2 * np.log2(counts + 1), (1 << _RANK_BITS) - 1).astype(np.uint64), int(counts.sum())
 
 
