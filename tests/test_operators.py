@@ -280,3 +280,23 @@ def test_features_join_the_log_without_texts(spark):
     assert "text" not in plan.children().head().output().mkString(",")
     row = found.where("doc_id = 1").first()
     assert (row.semantic, row.wins, row.losses, row.accesses) == (0.5, 1, 1, 2)
+
+
+def test_far_pairs_meet_in_blocks_of_one_group(spark):
+    from siftwork.operators import dedup
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(h), "hot" if k % 9 else None if k % 2 else "cold") for k, h in enumerate(rng.integers(-(1 << 63), (1 << 63) - 1, 90))]
+    rows += [(3, 7, "hot"), (91, rows[5][1], "hot"), (92, 0, "cold"), (93, -1, "alone")]  # a key twice, a copy, a group of one
+    df = spark.createDataFrame(rows, "doc_id long, simhash long, path string")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[2] and a[2] == b[2] and a[0] < b[0] and bin((a[1] ^ b[1]) & (1 << 64) - 1).count("1") >= 29)
+    for rows_of_a_block in (7, 4_000):
+        assert sorted(map(tuple, dedup.far_pairs(df, "path", 29, rows=rows_of_a_block).collect())) == want
+    assert dedup.far_pairs(df, "path", 29, rows=7).rdd.getNumPartitions() > 29  # a hot group is not left to one task
+    assert dedup.far_pairs(df.limit(0), "path", 29).count() == 0
+
+
+def test_contradiction_guard_is_shared_among_tasks(spark, sf):
+    from siftwork.plans import QUERIES
+
+    assert QUERIES["flt20_contradiction_guard"](spark, sf).rdd.getNumPartitions() >= 4
