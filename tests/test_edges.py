@@ -57,6 +57,33 @@ def test_shares_of_ngrams_in_packed_rows(spark, monkeypatch):
                 assert r[f"s{n}"] is None if not mine else abs(r[f"s{n}"] - len(mine & others) / len(mine)) < 1e-12
 
 
+def test_ngrams_are_shuffled_small(spark):
+    """The n-grams that start at a word take under 18 bytes together, texts are scanned once, and the tasks behind do not grow with the session's setting."""
+    import random
+
+    from siftwork.operators import dedup
+
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = dedup.gram_shares(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and f", {dedup.GRAM_TASKS})" in plan
+    packed = df.mapInArrow(dedup._gram_buckets((2, 3, 4)), "bucket int, batch bigint, data binary, keys array<bigint>, words array<bigint>, t2 array<bigint>, t3 array<bigint>, t4 array<bigint>")
+    assert packed.agg(F.sum(F.octet_length("data"))).first()[0] < 18 * 100 * 399
+
+
+def test_ngrams_of_more_texts_than_a_batch_has(spark):
+    """Numbers of texts in a batch have 16 bits; one of them is the mark of several texts."""
+    from siftwork.operators import dedup
+
+    n = 140_000
+    df = spark.range(n, numPartitions=1).select(F.col("id").alias("doc_id"), F.format_string("w%d x", F.col("id") % 131_072).alias("text"))
+    found = dedup.gram_shares(df).groupBy("s2").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).orderBy("s2").collect()
+    twice = n - 131_072
+    assert [tuple(r) for r in found] == [(0.0, n - 2 * twice, twice), (1.0, 2 * twice, 0)]
+
+
 def test_state_on_disk_is_not_preallocated():
     """RocksDB sets aside 4 MB for each store's list of files, whatever the store holds."""
     from siftwork.llm import exact_dedup
