@@ -19,8 +19,8 @@ from .retrieval import bm25_many
 
 # --- fixed values: BM25's saturation and length, files for a question, least share, weight of relevance, least sentence ---
 K1, B, FILES, FLOOR, RELEVANCE, LEAST = 1.5, 0.75, 12, 256, 0.7, 20
-# --- fixed values: dimensions of concepts, strength of the prior, worth of stale fragments, least gain, terms without a question ---
-DIMENSIONS, PRIOR, STALE, GAIN, FIRST_TERMS = 64, 1e-2, 0.1, 1e-6, 32
+# --- fixed values: dimensions of concepts, strength of the prior, worth of stale fragments, least gain ---
+DIMENSIONS, PRIOR, STALE, GAIN = 64, 1e-2, 0.1, 1e-6
 
 
 def file_scores(files: DataFrame, questions: DataFrame, key: str, text: str, item: str, question: str, parts: bool = False) -> DataFrame:
@@ -237,7 +237,7 @@ def best_of(choices: dict[str, DataFrame], group: str) -> DataFrame:
 
 
 def without_question(fragments: DataFrame, budget: int, group: str, key: str, text: str, tokens: str, keep: int = 2000, block: int = 20_000) -> DataFrame:
-    """Rows (group, key, place, criterion): a diverse choice of every group's fragments, the best of three greedy ones."""
-    rows = fragments.select(group, key, F.col(tokens).alias("tokens"), F.when(is_stale(F.col(text)), STALE).otherwise(1.0).alias("tau"), concepts(F.slice(sentence_terms(F.col(text)), 1, FIRST_TERMS)).alias("vector"))
+    """Rows (group, key, place, criterion): a diverse choice of every group's fragments, the best of three greedy ones. A fragment's concepts are all terms of its text."""
+    rows = fragments.select(group, key, F.col(tokens).alias("tokens"), F.when(is_stale(F.col(text)), STALE).otherwise(1.0).alias("tau"), concepts(F.array_distinct(sentence_terms(F.col(text)))).alias("vector"))
     rows = written(rows, "question-concepts")  # three choices read it
     return best_of({c: log_det(rows, budget, group, key, c, keep=keep, block=block) for c in ("density", "gain", "singleton")}, group)

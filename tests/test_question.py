@@ -178,6 +178,19 @@ def test_choice_without_a_question(spark, sf, tables):
         assert got[c] == [(k, name) for k, _ in want]
 
 
+def test_choice_without_a_question_reads_whole_texts(spark):
+    """Texts with the same first forty terms, which differ behind them: all are chosen, and of two copies only one."""
+    head = " ".join(f"head{k}x" for k in range(40))
+    tails = [" ".join(f"tail{i}x{k}" for k in range(200)) for i in range(3)]
+    texts = [head, *[f"{head} {t}" for t in (tails[0], tails[0], tails[1], tails[2])]]
+    df = spark.createDataFrame([(1, k, t, 10) for k, t in enumerate(texts)], "g long, k long, text string, tokens long")
+    every = [(n, dense([(k, 10, 1.0, concepts(set(terms(t)))) for k, t in enumerate(texts)], 40, n)) for n in ("density", "gain", "singleton")]
+    name, want = max(every, key=lambda x: round(sum(g for _, g in x[1]), 9))
+    got = question.without_question(df, 40, "g", "k", "text", "tokens").orderBy("place").collect()
+    assert [(r.k, r.criterion) for r in got] == [(k, name) for k, _ in want]
+    assert {r.k for r in got} == {0, 1, 3, 4}
+
+
 def test_concepts_of_nothing(spark):
     assert spark.createDataFrame([([],)], "t array<string>").select(F.aggregate(question.concepts(F.col("t")), F.lit(0.0), lambda a, x: a + F.abs(x)).alias("x")).first().x == 0.0
 
