@@ -105,8 +105,9 @@ def ret18(spark, sf):
 
 @query("ret25_build_provenance", "WITH s AS (SELECT l_orderkey, avg((l_discount > 0.03)::INT) AS verified, avg(l_tax * 10) AS confidence FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, CASE WHEN verified < 0.7 THEN 'high' WHEN confidence < 0.25 OR verified < 0.9 THEN 'medium' ELSE 'low' END AS risk FROM s")
 def ret25(spark, sf):
+    """The mean of taxes is compared at twelve places: its last bit depends on the order of the lines, in SQL as well."""
     s = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.avg((F.col("l_discount") > 0.03).cast("int")).alias("v"), F.avg(F.col("l_tax") * 10).alias("c"))
-    return s.select("l_orderkey", F.when(F.col("v") < 0.7, "high").when((F.col("c") < 0.25) | (F.col("v") < 0.9), "medium").otherwise("low").alias("risk"))
+    return s.select("l_orderkey", F.when(F.col("v") < 0.7, "high").when((F.round("c", 12) < 0.25) | (F.col("v") < 0.9), "medium").otherwise("low").alias("risk"))
 
 
 @query("ret26_trace_provenance")
