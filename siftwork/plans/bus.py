@@ -82,12 +82,10 @@ pr AS (SELECT doc_id, nv.source, (1 + n_chars * ln(n_chars / m) / m - n_chars /
 def priorities(spark, sf):
     """Documents by surprise (their length against their source's), age, novelty and what they tell of the task."""
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    means = d.groupBy("source").agg(F.avg("n_chars").alias("m"))
-    d = d.join(F.broadcast(means), "source").crossJoin(F.broadcast(d.agg(F.max("doc_id").alias("now"))))
-    x, m = F.col("n_chars"), F.col("m")
+    means = d.groupBy(F.col("source").alias("_of")).agg(F.avg("n_chars").alias("m"))
+    d = d.join(F.broadcast(means), F.col("source").eqNullSafe(F.col("_of"))).crossJoin(F.broadcast(d.agg(F.max("doc_id").alias("now"))))
     p = informed(spark, sf).drop("source").join(d, "doc_id")
-    surprise = x * F.log(x / m) / m - x / m + 1
-    return p.select("doc_id", "source", bus.priority(surprise, F.col("now") - F.col("doc_id"), F.col("novelty"), F.col("information"), F.lit(1.0)).alias("priority"))
+    return p.select("doc_id", "source", bus.priority(bus.surprise(F.col("n_chars"), F.col("m")), F.col("now") - F.col("doc_id"), F.col("novelty"), F.col("information"), F.lit(1.0)).alias("priority"))
 
 
 @query("stm4_priority", f"WITH {_PRIO} SELECT doc_id, round(priority, 6)::DOUBLE AS priority FROM pr")

@@ -1,11 +1,12 @@
 """Values at which SQL's and Spark's own functions part, and texts longer than those of the small tables."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from siftwork.functions import routing
 from siftwork.functions.text import folded
-from siftwork.plans import QUERIES
+from siftwork.plans import ORACLES, QUERIES
 from siftwork.plans.registry import rounded
 
 
@@ -132,3 +133,17 @@ def test_risk_does_not_depend_on_the_order_of_lines(spark, tmp_path):
     spark.createDataFrame([(o, 0.05, t) for o, ts in enumerate(taxes) for t in ts], "l_orderkey long, l_discount double, l_tax double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     got = dict(tuple(r) for r in QUERIES["ret25_build_provenance"](spark, str(tmp_path)).collect())
     assert got == {0: "low", 1: "low", 2: "low", 3: "medium", 4: "low"}
+
+
+@pytest.mark.parametrize("name", ["stm3_drain", "stm8_enqueue", "stm4_priority"])
+def test_priorities_of_empty_texts_and_of_no_source(spark, tmp_path, name):
+    """Documents without characters, of unknown size, without a source, and a source with nothing in it, as DuckDB ranks them."""
+    texts = [" ".join(f"w{k * j % 17}" for j in range(k % 23 + 2)) for k in range(120)]
+    rows = [(k, None if k % 11 == 5 else "" if k % 13 == 4 or k % 5 == 3 else t, None if k % 7 == 2 else f"src{k % 5}") for k, t in enumerate(texts)]
+    folder = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(k, t, s, None if t is None else len(t)) for k, t, s in rows], "doc_id long, text string, source string, n_chars long").write.parquet(folder)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+    want, got = con.execute(ORACLES[name]).fetchall(), [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert name == "stm8_enqueue" or "nan" in str(want)
